@@ -115,6 +115,21 @@ def _cuts(strings: set[str]) -> list[frozenset[str]]:
     return [] if frozenset() in out else sorted(out, key=sorted)
 
 
+#: Letters from common to rare in running text; other characters are rarer still.
+_COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+#: Trigrams of an alternative that the index holds.
+_TERMS = 3
+
+
+def _rarity(trigram: str) -> int:
+    return sum(_COMMON.index(c) if c in _COMMON else len(_COMMON) for c in trigram)
+
+
+def _absorbed(alternatives: set[frozenset[str]]) -> set[frozenset[str]]:
+    """Without alternatives that imply another one."""
+    return {a for a in alternatives if not any(b < a for b in alternatives)}
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Alternatives, each a set of lower-case trigrams that all occur in any match.
 
@@ -154,7 +169,11 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     for clause in clauses:
         if len(best) * len(clause) <= _MAX_ALTERNATIVES:
             best = [a | b for a in best for b in clause]
-    return [] if best == [frozenset()] else sorted(set(best), key=sorted)
+    if best == [frozenset()]:
+        return []
+    # fewer trigrams make a weaker query that still holds; the rarest decide
+    kept = {frozenset(sorted(a, key=lambda t: (-_rarity(t), t))[:_TERMS]) for a in _absorbed(set(best))}
+    return sorted(_absorbed(kept), key=sorted)
 
 
 @cache
@@ -163,17 +182,30 @@ def _plan(rules: tuple[Rule, ...]) -> tuple[tuple[str, ...], tuple[tuple[Rule, t
     return tuple(sorted({t for _, q in queries for a in q for t in a})), queries
 
 
+def _trie(trigrams: tuple[str, ...]) -> str:
+    """One expression that captures the dictionary trigram at a position, overlaps included."""
+    first: dict[str, list[str]] = {}
+    for t in trigrams:
+        first.setdefault(t[0], []).append(re.escape(t[1:]))
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + "))"
+
+
 def trigram_postings(text: Column, trigrams: tuple[str, ...]) -> Column:
-    """The dictionary trigrams that occur in the lower-cased text: the index's entry of a document."""
-    return F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(text, t))
+    """The dictionary trigrams that occur in the lower-cased text: the index's entry of a document.
+
+    One pass over the text finds them all.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_trie(trigrams)), F.lit(1)))
 
 
 def holds(postings: Column, query: tuple[frozenset[str], ...]) -> Column:
     """The Boolean query: in some alternative, all trigrams have the document in their lists."""
     out = F.lit(False)
     for alternative in query:
-        terms = F.array(*[F.lit(t) for t in sorted(alternative)])
-        out = out | F.forall(terms, lambda t: F.array_contains(postings, t))
+        every = F.lit(True)
+        for t in sorted(alternative):
+            every = every & F.array_contains(postings, t)
+        out = out | every
     return out
 
 
