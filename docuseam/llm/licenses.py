@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import fresh_name
 from .spans import match_spans
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words; a word is a run of all other characters.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose places count, with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -116,7 +117,7 @@ _FORMS: tuple[tuple[str, float], ...] = (
 #: Names that say a license by themselves, without the word.
 _STANDALONE = frozenset("cc0 cc-by cc-by-sa cc-by-nd cc-by-nc cc-by-nc-sa cc-by-nc-nd gpl-2 gpl-3 lgpl-2.1 lgpl-3 agpl-3 wtfpl unlicense odbl".split())
 _KEYWORDS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain", "creative commons", " cc", "gpl", "wtfpl", "odbl", "warranty", "product includes", "rights reserved", "same terms as perl", "reproduce", "names of its contributors", "advertising materials", "purpose", "waive", "what the fuck", "provided as is", "any later version", "making python", "file except in compliance")
-#: At least one of these is in the lower-cased text of every detection.
+#: One of these, or a word that starts with cc, is in the word text of every detection.
 _GATE = ("licen", "copyright", "permission", "redistribut", "spdx", "domain", "commons", "gpl", "wtfpl", "odbl", "warrant", "includes", "reserved", "perl", "reproduce", "contributors", "advertising", "purpose", "waive", "fuck", "provided", "version", "python", "compliance")
 
 
@@ -136,11 +137,11 @@ def build_rules() -> list[tuple[str, str, str, float]]:
     return [(label, word, f"(?<= )(?:{p})(?= )", sure) for label, word, p, sure in out]
 
 
-def _may_mention(low: Column) -> Column:
-    """Keyword prefilter on the lower-cased text."""
-    out = low.rlike(r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])cc(?:0|$|[\x00-\x2F\x3A-\x60\x7B-\x7F])")
+def _may_mention(words: Column) -> Column:
+    """Keyword prefilter on word text."""
+    out = F.contains(words, F.lit(" cc ")) | F.contains(words, F.lit(" cc0"))
     for word in _GATE:
-        out = out | F.contains(low, F.lit(word))
+        out = out | F.contains(words, F.lit(word))
     return out
 
 
@@ -189,10 +190,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[tuple[str, st
     rules = build_rules() if rules is None else rules
     norm = fresh_name(docs, "_word_text")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), " "), F.lit(" "))
-    rows = docs.withColumn("n_words", F.regexp_count(low, F.lit(WORD)).cast("long")).withColumn(norm, F.when(_may_mention(low), joined))
-    body = F.col(norm)
+    joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, F.lit(GAP), F.lit(" "))), F.lit(" "))
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    body = F.col(norm)
+    rows = docs.withColumn(norm, joined)
+    rows = rows.withColumn("n_words", F.when(body == "  ", F.lit(0)).otherwise(spaces(body) - 1).cast("long"))
+    rows = rows.withColumn(norm, F.when(_may_mention(body), body))
     places = []
     for phrase, label in BASE:
         places.append(_places(body, phrase, label, spaces))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_text import html_report
 from .licenses import license_report
+from .quality import quality_query
 from .secrets import secret_report
 from .simhash_dedup import simhash_groups
 from .url_filter import url_report, url_report_sql
@@ -19,6 +21,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_report(table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(spark, sf_dir)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -31,11 +37,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op7_licenses": op7_licenses,
     "op8_secrets": op8_secrets,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLES: dict[str, str] = {"op1_url_filter": url_report_sql()}
