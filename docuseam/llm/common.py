@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def ship(spark: SparkSession, model: object) -> Broadcast:
+    """Broadcast a model of bounded size together with its class."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def shipped(shared: Broadcast):
+    """The broadcast model, in a task."""
+    return cloudpickle.loads(shared.value)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, crc_mod, table
+from .common import bounded_batches, crc_mod, ship, shipped, table
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 4096
@@ -152,7 +153,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int
             pairs = [term_weights(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32()))], ["doc_id", "y", "ids", "w"])
 
-    schema = sample.select("doc_id", "y").schema.add("ids", "array<int>").add("w", "array<float>")
+    schema = sample.select("doc_id", "y").schema.add("ids", T.ArrayType(T.IntegerType())).add("w", T.ArrayType(T.FloatType()))
     # repeated ids could add rows: the limit keeps what reaches the driver bounded
     got = sample.mapInArrow(run, schema).limit(2 * at_most).toArrow()
     rows = [(np.array(i, np.int32), np.array(w, np.float32), int(y)) for i, w, y, d in sorted(zip(got["ids"].to_pylist(), got["w"].to_pylist(), got["y"].to_pylist(), got["doc_id"].to_pylist(), strict=True), key=lambda r: (r[3], r[0]))]
@@ -166,12 +167,13 @@ def score_quality(docs: DataFrame, model: Neighbours, text: str = "text", out: s
     input column named like ``out`` is replaced.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     names = [c for c in docs.columns if c != out]
 
     def run(batches):
+        fitted = shipped(shared)
         for b in batches:
-            scores = shared.value.score(b.column(names.index(text)).to_pylist())
+            scores = fitted.score(b.column(names.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, out])
 
     return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add(out, "double"))

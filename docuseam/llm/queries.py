@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leak_report
 from .html_text import html_report
 from .licenses import license_report
 from .quality import quality_query
 from .secrets import secret_report
 from .simhash_dedup import simhash_groups
+from .toxicity import toxicity_query
 from .url_filter import url_report, url_report_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(spark, sf_dir)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -41,13 +47,19 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_report(table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_decontaminate": op4_decontaminate,
     "op7_licenses": op7_licenses,
     "op8_secrets": op8_secrets,
     "op9_html_text": op9_html_text,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op1_url_filter": url_report_sql()}
