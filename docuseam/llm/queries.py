@@ -12,6 +12,7 @@ from .html_text import html_report
 from .licenses import license_report
 from .quality import quality_query
 from .secrets import secret_report
+from .sentencepiece_codec import token_report
 from .simhash_dedup import simhash_groups
 from .toxicity import toxicity_query
 from .url_filter import url_report, url_report_sql
@@ -35,6 +36,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(spark, sf_dir)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(spark, sf_dir)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_licenses": op7_licenses,
     "op8_secrets": op8_secrets,
     "op9_html_text": op9_html_text,

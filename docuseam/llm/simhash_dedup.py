@@ -138,14 +138,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
     """Documents without their near copies: of each group the row with the smallest id stays.
 
     Of rows that share that id, the one with the smallest hash of its text
     stays. Rows with a null id stay only where their group has no other row.
     All columns stay.
     """
-    groups = simhash_groups(docs, id_col, text)
+    groups = simhash_groups(docs, id_col, text, shingle_words)
     mark, order = fresh_name(docs, "kept_id"), fresh_name(docs, "kept_order")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias(mark)).distinct()
