@@ -96,6 +96,7 @@ class Codec:
         out: list[int] = []
         base = 0  # position of the last committed boundary
         score, back = [0.0], [0]  # of the positions from base on
+        first = [0]  # the first boundary after base on the best path to each
         n = len(text)
         for end in range(1, n + 1):
             best, start = _NEVER, end - 1
@@ -109,25 +110,28 @@ class Codec:
                 best = score[end - 1 - base] + self.byte_cost
             score.append(best)
             back.append(start)
-            if end - base >= 4 * longest and (end - base) % longest == 0:
-                meet = self._meeting(back, base, end)
-                if meet > base:
+            first.append(end if start == base else first[start - base])
+            if end - base >= 2 * longest and end % longest == 0:
+                live = first[-longest:]
+                if live.count(live[0]) == longest:  # all surviving paths share a boundary
+                    meet = self._meeting(back, base, end)
                     out += self._commit(text, back, base, meet)
-                    score, back, base = score[meet - base :], back[meet - base :], meet
+                    score, back = score[meet - base :], back[meet - base :]
+                    base, first = meet, [meet]
+                    for i in range(1, len(back)):
+                        first.append(base + i if back[i] <= base else first[back[i] - base])
         return out + self._commit(text, back, base, n)
 
     def _meeting(self, back: list[int], base: int, end: int) -> int:
         """Last boundary that the paths from all live states share."""
-        live = range(max(base, end - self.longest + 1), end + 1)
-        meet = None
-        for state in live:
-            path = set()
-            at = state
+        meet: set[int] | None = None
+        for state in range(end - self.longest + 1, end + 1):
+            path, at = set(), state
             while at > base:
                 path.add(at)
                 at = back[at - base]
             meet = path if meet is None else meet & path
-        return max((x for x in meet or () if x <= live[0]), default=base)
+        return max(meet or (), default=base)
 
     def _commit(self, text: str, back: list[int], base: int, end: int) -> list[int]:
         cuts = []
