@@ -14,6 +14,7 @@ from .quality import quality_query
 from .secrets import secret_report
 from .sentencepiece_codec import token_report
 from .simhash_dedup import simhash_groups
+from .topk_search import search_report
 from .toxicity import toxicity_query
 from .url_filter import url_report, url_report_sql
 
@@ -40,6 +41,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(spark, sf_dir)
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_report(spark, sf_dir)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_topk_search": op6_topk_search,
     "op7_licenses": op7_licenses,
     "op8_secrets": op8_secrets,
     "op9_html_text": op9_html_text,
