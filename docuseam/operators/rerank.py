@@ -30,7 +30,7 @@ def positive_hit(text: Column, term: Column) -> Column:
     cut = F.split(text, F.concat(F.lit("\\Q"), term, F.lit("\\E")), -1)
 
     def free(i):
-        before = F.array_join(F.slice(cut, 1, i + 1), term)
+        before = F.call_function("array_join", F.slice(cut, 1, i + 1), term)
         window = F.regexp_replace(F.right(before, F.lit(NEGATION_LOOKBACK)), tx.WHITE, "")
         return ~(tx.any_term(window, NEGATION_CUES) | window.endswith(NEGATION_SUFFIX))
 
