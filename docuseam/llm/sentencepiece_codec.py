@@ -29,7 +29,7 @@ from .common import bounded_batches, ship, shipped, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
-_CACHE = 200_000
+_CACHE = 500_000
 _NEVER = -1e30
 
 
@@ -49,8 +49,6 @@ class Codec:
                 self.ids.setdefault(piece, i)
                 self.logp.setdefault(piece, -math.log(rank + 2.7))
                 rank += 1
-        #: log probability of every piece, and no chance for every other start of one
-        self.starts = {p[:i]: _NEVER for p in self.ids for i in range(1, len(p))} | self.logp
         self.byte_cost = -math.log(rank + 2.7) - 10.0
         self.longest = max(map(len, self.ids), default=1)
         # characters that no longer piece holds stand alone: both their boundaries are meeting points
@@ -70,25 +68,54 @@ class Codec:
         n = p.get_piece_size()
         return cls([p.id_to_piece(i) for i in range(n)], [kind(i) for i in range(n)])
 
-    def short(self, text: str) -> list[int]:
-        """Ids of a chunk that fits in the window: the same recurrence, pushed forward from each state."""
-        n, starts = len(text), self.starts
-        score, back = [_NEVER] * (n + 1), [0] * (n + 1)
-        score[0] = 0.0
-        for a in range(n):
-            here = score[a]
-            if here == _NEVER:  # no piece ends here: the character before becomes bytes
-                here = score[a] = score[a - 1] + self.byte_cost
-                back[a] = a - 1
-            for end in range(a + 1, n + 1):
-                s = starts.get(text[a:end])
-                if s is None:
-                    break
-                if here + s > score[end]:
-                    score[end], back[end] = here + s, a
-        if score[n] == _NEVER:
-            back[n] = n - 1
-        return self._commit(text, back, 0, n)
+    def tree(self) -> dict:
+        """The pieces as a tree of characters: each leads to (children, log probability, id)."""
+        root: dict = {}
+        for piece, i in self.ids.items():
+            at = root
+            for c in piece[:-1]:
+                at = at.setdefault(c, [{}, _NEVER, 0])[0]
+            node = at.setdefault(piece[-1], [{}, _NEVER, 0])
+            node[1], node[2] = self.logp[piece], i
+        return root
+
+    def short(self):
+        """A function from a chunk that fits in the window to its ids: the same recurrence, pushed forward."""
+        root, byte_cost, byte_ids, longest = self.tree(), self.byte_cost, self.byte_ids, self.longest
+
+        def encode(text: str) -> list[int]:
+            n = len(text)
+            score, back, which = [_NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+            score[0] = 0.0
+            for a in range(n):
+                here = score[a]
+                if here == _NEVER:  # no piece ends here: the character before becomes bytes
+                    here = score[a] = score[a - 1] + byte_cost
+                    back[a] = a - 1
+                tree, end = root, a
+                for c in text[a : a + longest]:
+                    node = tree.get(c)
+                    if node is None:
+                        break
+                    tree, s, i = node
+                    end += 1
+                    s += here
+                    if s > score[end]:
+                        score[end], back[end], which[end] = s, a, i
+            if score[n] == _NEVER:
+                back[n] = n - 1
+            out = []
+            while n:
+                i = which[n]
+                if i < 0:
+                    out += [byte_ids[b] for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))]
+                else:
+                    out.append(i)
+                n = back[n]
+            out.reverse()
+            return out
+
+        return encode
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of one chunk, in one pass with a bounded window of live states."""
@@ -149,7 +176,7 @@ class Codec:
     def encoder(self):
         """A function from text to ids with a cache of its own; null and empty texts have no ids."""
         cache: dict[str, list[int]] = {}
-        find, short, viterbi, mark = self.chunks.findall, self.short, self.viterbi, [self.byte_ids[b] for b in _SPACE.encode()]
+        find, short, viterbi, mark = self.chunks.findall, self.short(), self.viterbi, [self.byte_ids[b] for b in _SPACE.encode()]
 
         def encode(text: str | None) -> list[int]:
             out: list[int] = []
