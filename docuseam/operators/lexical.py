@@ -35,9 +35,12 @@ def bm25(queries: DataFrame, rows: DataFrame, key: str = "chunk_id", text: str =
     Query terms form the small side: postings of other terms are dropped before
     any pair is built, and document frequencies are those of all chunks.
     """
-    posted = postings(rows, key, text)
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    wanted = posted.join(terms.select("term").distinct(), "term", "left_semi")
+    words = F.col("_words")
+    listed = rows.select(key, tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
+    found = listed.select(key, F.size(words).alias("dl"), F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    # dealt by chunk once: term frequencies and scores of a chunk then need no further shuffle
+    wanted = found.repartition(key).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     lengths = rows.select(F.size(tokens(F.col(text))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(lengths))  # one row of statistics

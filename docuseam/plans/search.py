@@ -40,7 +40,7 @@ def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Ranked cases of every query with their fields."""
     config = config.validate()
-    hits = route_hits(queries, chunks, vectors, config)
+    hits = route_hits(queries, chunks, vectors, config).persist()  # several steps below read them
     ranked = fusion.case_rrf(hits, config.chunk_top_k)
     if config.rerank:
         ranked = reranked(hits, ranked, queries, chunks, config)
