@@ -176,7 +176,7 @@ def differing_share(similarity: float, margin: float = 0.01) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi + margin
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 64) -> DataFrame:
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
     """One row per document: ``doc_id`` and ``component_id`` of near copies at this similarity of their shingles.
 
     The byte-position index over 128 bits: a pair that differs in 13 bits or
