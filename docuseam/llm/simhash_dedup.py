@@ -19,6 +19,7 @@ and spreads the list over many keys.
 from __future__ import annotations
 
 import math
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import bounded_batches, connected_components, cut_lineage, fresh_name
+from .common import bounded_batches, connected_components, cut_lineage, ensure_checkpoint_dir, fresh_name, ship, shipped
 
 #: ASCII white space of the contract; other white space is part of a word.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -141,90 +143,156 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 # --- near copies by similarity ---------------------------------------------
 
-#: Words of a fingerprint for near copies, 64 bits each; the first two are indexed.
-LANES, INDEXED = 4, 2
-#: Keys of the index: triples of the 16 indexed positional bytes.
-TRIPLES = 96
+#: Odd factors of a shingle's words by place.
+_PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+#: Shingles of so many texts of the sample count as common; at most so many are told to the tasks.
+SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 20
 
 
-def lanes(text: str | None, shingle_words: int = 5) -> list[int]:
-    """Fingerprint of LANES x 64 bits over the distinct shingles of a text, signed.
-
-    A shingle's further words of bits are mixed from its hash. Texts without
-    words give zeros.
-    """
+def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """Distinct shingles of a text as sorted 64-bit hashes; a text with fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return [0] * LANES
-    n, join, hashed = min(shingle_words, len(words)), b" ".join, xxhash.xxh64_intdigest
-    h = np.array(list({hashed(join(s), 42) for s in zip(*(words[i:] for i in range(n)), strict=False)}), np.uint64)
-    out = []
-    for k in range(LANES):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * k) & ((1 << 64) - 1))
-        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-        x ^= x >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for a in range(0, len(x), 1 << 16):
-            ones += np.unpackbits(x[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(x)).view(">u8").astype(np.uint64).view(np.int64)[0]))
-    return out
-
-
-def differing_share(similarity: float, margin: float = 0.01) -> float:
-    """Share of bits that differ at this Jaccard similarity of equally large shingle sets, and a margin."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi + margin
+        return np.empty(0, np.uint64)
+    hashed = xxhash.xxh64_intdigest
+    w = np.array([hashed(x, 42) for x in words], np.uint64)
+    n = min(shingle_words, len(w))
+    h = np.zeros(len(w) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h ^ (h >> np.uint64(29))) * _PLACES[k % len(_PLACES)] + w[k : k + len(h)]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
-    """One row per document: ``doc_id`` and ``component_id`` of near copies at this similarity of their shingles.
+def prefix_length(n: int, similarity: float) -> int:
+    """So many first shingles, in any one order of all, hold a shared one for every pair at this Jaccard similarity."""
+    return n - math.ceil(n * similarity - 1e-9) + 1 if n else 0
+
 
-    The byte-position index over 128 bits: a pair that differs in 13 bits or
-    fewer shares three positional bytes at least, so postings are keyed by
-    triples of positions, a pair needs three shared bytes, and the share of
-    differing bits among all 256 verifies it. 96 of the 560 triples are posted:
-    they find about 85 % of pairs at similarity 0.8, 97 % at 0.85 and all at 0.9.
-    Long posting lists link to a leader, one per key and each key another one.
-    Nulls, empty texts and repeated rows are as in ``simhash_groups``.
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is this or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _common_shingles(docs: DataFrame, text: str, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sixteenth of the texts and their ranks, rarest first.
+
+    They only say which shingles come last in the order, so no result depends on them.
     """
-    bounded_batches(docs.sparkSession)
-    names = [f"f{k}" for k in range(LANES)]
 
     def run(batches):
         for b in batches:
-            got = np.array([lanes(t.as_py(), shingle_words) for t in b.column(1)], np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, k]) for k in range(LANES))], ["doc_id", *names])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text))
-    schema = rows.select("doc_id").schema
-    for f in names:
-        schema = schema.add(f, "long")
-    marked = cut_lineage(rows.mapInArrow(run, schema).withColumn("node", F.xxhash64(*names)))
-    prints = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(f).alias(f) for f in names]))
-
-    def byte(i: int) -> Column:
-        return _byte(F.col(names[i // 8]), i % 8)
-
-    some = list(combinations(range(8 * INDEXED), 3))
-    some = [some[i] for i in sorted(np.random.default_rng(11).permutation(len(some))[:TRIPLES])]
-    keys = F.array(*[byte(a) * 65536 + byte(b) * 256 + byte(c) + F.lit(slot << 24) for slot, (a, b, c) in enumerate(some)])
-    postings = prints.select("node", F.explode(keys).alias("key"))
+            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["shingle"])
+
+    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    shingles = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    rank = np.arange(len(shingles), 0, -1)
+    order = np.argsort(shingles)
+    return shingles[order], rank[order]
+
+
+def _mark_rows(docs: DataFrame, text: str, shingle_words: int, similarity: float) -> tuple[DataFrame, dict[str, str]]:
+    """All columns and, under fresh names, a tag of the row, its set of shingles (node, size) and the posted keys; kept as Parquet in the shared folder."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    ensure_checkpoint_dir(spark)
+    shared = ship(spark, _common_shingles(docs, text, shingle_words))
+    name = {c: fresh_name(docs, f"_{c}") for c in ("tag", "node", "size", "keys")}
+    tagged = docs.select("*", F.monotonically_increasing_id().alias(name["tag"]))
+    at, names = docs.columns.index(text), [*tagged.columns, name["node"], name["size"], name["keys"]]
+
+    def run(batches):
+        common, rank = shipped(shared)
+        for b in batches:
+            nodes, sizes, keys = [], [], []
+            for t in b.column(at):
+                s = shingle_set(t.as_py(), shingle_words)
+                n = prefix_length(len(s), similarity)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
+                sizes.append(len(s))
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    late = np.where(common[place] == s, rank[place], 0)
+                    s = s[np.argsort(late, kind="stable")]
+                keys.append(s[:n].view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
+            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
+
+    schema = StructType([*tagged.schema.fields]).add(name["node"], "long").add(name["size"], "long").add(name["keys"], ArrayType(LongType()))
+    path = f"{spark.sparkContext.getCheckpointDir()}/near-copies-{uuid.uuid4().hex}"
+    tagged.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path), name
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingles are alike."""
+    side = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches):
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            keep = []
+            for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
+                sets = []
+                for node, text in ((a.as_py(), x), (b.as_py(), y)):
+                    if node not in known:
+                        known[node] = shingle_set(text.as_py(), shingle_words)
+                    sets.append(known[node])
+                keep.append(alike(*sets, similarity))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float, hot_list: int) -> DataFrame:
+    """``node`` and ``root`` of all sets of shingles (node, size, keys, tag, text) that have a near copy."""
+    prints = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    postings = prints.select("node", "size", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("leader")).where("n > 1")
     shared = cut_lineage(postings.join(lists, "key"))
-    cold = shared.where(F.col("n") <= hot_list)
-    pairs = cold.select("key", F.col("node").alias("a")).join(cold.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    stars = shared.where((F.col("n") > hot_list) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    pairs = pairs.union(stars).distinct()
-    side = lambda end: prints.select(F.col("node").alias(end), *[F.col(f).alias(f"{end}_{f}") for f in names])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    bits = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names), F.lit(0))
-    alike = sum((shared_bytes(F.col(f"a_{f}"), F.col(f"b_{f}")) for f in names[:INDEXED]), F.lit(0))
-    edges = both.where((alike >= 3) & (bits <= int(64 * LANES * differing_share(similarity)))).select("a", "b")
+    first = rows.groupBy("node").agg(F.min("tag").alias("tag")).join(shared.select("node").distinct(), "node")
+    texts = cut_lineage(rows.select("tag", "text").join(first, "tag").select("node", "text"))
 
-    roots = connected_components(edges)
-    classes = prints.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    def paired(side: DataFrame, apart: Column | None = None) -> DataFrame:
+        """Pairs of one list whose sizes allow the similarity."""
+        left, right = (side.select("key", *[F.col(c).alias(f"{c}_{end}") for c in side.columns if c != "key"]) for end in "ab")
+        fit = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+        both = left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & fit)
+        both = both if apart is None else both.where(apart)
+        return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+    pairs = paired(shared.where(F.col("n") <= hot_list).select("key", "node", "size"))
+    long = shared.where((F.col("n") > hot_list) & (F.col("node") != F.col("leader")))
+    pairs = pairs.union(long.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))).distinct()
+    return connected_components(_verified(pairs, texts, shingle_words, similarity))
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
+    """One row per document: ``doc_id`` and ``component_id`` of near copies at this similarity of their shingles.
+
+    Links are pairs whose sets of distinct shingles have this Jaccard similarity.
+    The index posts a prefix of each set, in one order of all shingles: of n
+    shingles the first n - ceil(similarity n) + 1, so every such pair meets.
+    Shingles that are common in a sample come last in the order, which keeps
+    lists short and changes no result. Candidates are decided by the shingles of
+    their texts. Equal sets are merged first. Nulls, empty texts and repeated
+    rows are as in ``simhash_groups``.
+    """
+    marked, name = _mark_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle_words, similarity)
+    rows = marked.select("doc_id", "text", *[F.col(n).alias(c) for c, n in name.items()])
+    roots = _near_copy_roots(rows, shingle_words, similarity, hot_list)
+    prints = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    classes = prints.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "node").join(classes.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "node").join(classes.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
