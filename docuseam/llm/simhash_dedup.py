@@ -147,6 +147,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 #: Shingles of so many texts of the sample count as common; at most so many are told to the tasks.
 SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 20
+#: Rounds in which the members of long lists are compared with a leader before what is still apart is paired.
+LEADER_ROUNDS = 2
 
 
 def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
@@ -256,7 +258,7 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float, hot
     """``node`` and ``root`` of all sets of shingles (node, size, keys, tag, text) that have a near copy."""
     prints = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     postings = prints.select("node", "size", F.explode("keys").alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("leader")).where("n > 1")
+    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut_lineage(postings.join(lists, "key"))
     first = rows.groupBy("node").agg(F.min("tag").alias("tag")).join(shared.select("node").distinct(), "node")
     texts = cut_lineage(rows.select("tag", "text").join(first, "tag").select("node", "text"))
@@ -269,10 +271,22 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float, hot
         both = both if apart is None else both.where(apart)
         return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
-    pairs = paired(shared.where(F.col("n") <= hot_list).select("key", "node", "size"))
-    long = shared.where((F.col("n") > hot_list) & (F.col("node") != F.col("leader")))
-    pairs = pairs.union(long.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))).distinct()
-    return connected_components(_verified(pairs, texts, shingle_words, similarity))
+    edges = cut_lineage(_verified(paired(shared.where(F.col("n") <= hot_list).select("key", "node", "size")), texts, shingle_words, similarity))
+    long = shared.where(F.col("n") > hot_list).select("key", "node", "size")
+    if long.isEmpty():
+        return connected_components(edges)
+    for k in range(LEADER_ROUNDS):
+        led = long.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(k))).alias("leader"))
+        stars = long.join(led, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        edges = edges.union(cut_lineage(_verified(stars.distinct(), texts, shingle_words, similarity)))
+        roots = connected_components(edges)
+        part = long.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        apart = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        long = cut_lineage(part.join(apart, "key", "left_semi"))
+        if long.isEmpty():
+            return roots
+    rest = _verified(paired(long, F.col("root_a") != F.col("root_b")), texts, shingle_words, similarity)
+    return connected_components(edges.union(rest))
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
@@ -283,7 +297,10 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     shingles the first n - ceil(similarity n) + 1, so every such pair meets.
     Shingles that are common in a sample come last in the order, which keeps
     lists short and changes no result. Candidates are decided by the shingles of
-    their texts. Equal sets are merged first. Nulls, empty texts and repeated
+    their texts. Equal sets are merged first. Members of a list of over
+    ``hot_list`` are compared with leaders, and whatever these leave in
+    different groups is then paired in full, so no link between groups is lost.
+    Lists of many sets that are not alike thus cost pairs. Nulls, empty texts and repeated
     rows are as in ``simhash_groups``.
     """
     marked, name = _mark_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle_words, similarity)
