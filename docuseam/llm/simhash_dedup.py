@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -312,18 +312,20 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return rows.select("doc_id", "node").join(classes.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
     """Documents without their near copies: of each group the row with the smallest id stays.
 
-    Of rows that share that id, the one with the smallest hash of its text
-    stays. Rows with a null id stay only where their group has no other row.
+    Of rows of a group that share that id, the one with the smallest hash of its
+    text stays. Rows with a null id stay only where their group has no other
+    row. Rows of different groups never displace each other, whatever their ids.
     All columns stay.
     """
-    groups = near_copy_groups(docs, id_col, text, shingle_words, similarity)
-    mark, order = fresh_name(docs, "kept_id"), fresh_name(docs, "kept_order")
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias(mark)).distinct()
-    named = docs.withColumn(mark, name(F.col(id_col)))
-    kept = named.join(keep, mark, "left_semi")
-    first = Window.partitionBy(mark).orderBy(F.xxhash64(text))
-    return kept.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1).select(*docs.columns)
+    void = {c for c, kind in docs.dtypes if kind == "void"}  # Parquet has no such columns
+    marked, name = _mark_rows(docs.drop(*void), text, shingle_words, similarity)
+    rows = marked.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *[F.col(n).alias(c) for c, n in name.items()])
+    roots = _near_copy_roots(rows, shingle_words, similarity, hot_list)
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64("text").alias("hash"), "tag")
+    best = rows.groupBy("node").agg(F.min(order).alias("o"))
+    best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
+    kept = marked.join(best.select(F.col("o.tag").alias(name["tag"])), name["tag"], "left_semi")
+    return kept.select(*[F.lit(None).alias(c) if c in void else c for c in docs.columns])

@@ -46,3 +46,11 @@ def test_pairs_in_long_lists(spark):
             want[len(rows)] = want.get(len(rows) - 1, len(rows)) if words is not base else len(rows)
             rows.append((len(rows), " ".join(words)))
     assert groups(spark, rows) == want
+
+
+def test_rows_stay_by_group(spark):
+    rng = random.Random(4)
+    one, two, three, four = (" ".join(word(rng) for _ in range(50)) for _ in range(4))
+    rows = [(1, one), (1, two), (2, two), (None, three), (None, four), (None, four), (None, one), (3, one), (1, one)]
+    kept = simhash_dedup.keep_one_per_group(spark.createDataFrame(rows, WORDS)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, three), (0, four)])
