@@ -18,6 +18,7 @@ and spreads the list over many keys.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from itertools import combinations
@@ -25,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -228,9 +229,7 @@ def _mark_rows(docs: DataFrame, text: str, shingle_words: int, similarity: float
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
 
     schema = StructType([*tagged.schema.fields]).add(name["node"], "long").add(name["size"], "long").add(name["keys"], ArrayType(LongType()))
-    path = f"{spark.sparkContext.getCheckpointDir()}/near-copies-{uuid.uuid4().hex}"
-    tagged.mapInArrow(run, schema).write.parquet(path)
-    return spark.read.schema(schema).parquet(path), name
+    return _kept(spark, tagged.mapInArrow(run, schema)), name
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -254,14 +253,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
     return both.mapInArrow(run, "a long, b long")
 
 
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The frame as Parquet in the shared folder, which takes less room than a checkpoint; shuffles nobody needs any more are dropped."""
+    path = f"{spark.sparkContext.getCheckpointDir()}/near-copies-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float, hot_list: int) -> DataFrame:
-    """``node`` and ``root`` of all sets of shingles (node, size, keys, tag, text) that have a near copy."""
-    prints = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
-    postings = prints.select("node", "size", F.explode("keys").alias("key"))
+    """``node`` and ``root``, tags of their first rows, of all sets of shingles (node, size, keys, tag, text) that have a near copy."""
+    spark = rows.sparkSession
+    kept = lambda df: _kept(spark, df)
+    # a set is named by its first row's tag from here on, which takes less room than its hash
+    prints = rows.groupBy("node").agg(F.min("tag").alias("id"), F.first("size").cast("int").alias("size"), F.first("keys").alias("keys"))
+    postings = prints.select("id", "size", F.explode("keys").alias("key")).repartition("key")
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut_lineage(postings.join(lists, "key"))
-    first = rows.groupBy("node").agg(F.min("tag").alias("tag")).join(shared.select("node").distinct(), "node")
-    texts = cut_lineage(rows.select("tag", "text").join(first, "tag").select("node", "text"))
+    shared = kept(postings.join(lists, "key").select("key", F.col("id").alias("node"), "size", F.col("n").cast("int").alias("n")))
+    texts = kept(rows.select(F.col("tag").alias("node"), "text").join(shared.select("node").distinct(), "node"))
 
     def paired(side: DataFrame, apart: Column | None = None) -> DataFrame:
         """Pairs of one list whose sizes allow the similarity."""
@@ -271,18 +281,18 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float, hot
         both = both if apart is None else both.where(apart)
         return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
-    edges = cut_lineage(_verified(paired(shared.where(F.col("n") <= hot_list).select("key", "node", "size")), texts, shingle_words, similarity))
+    edges = kept(_verified(paired(shared.where(F.col("n") <= hot_list).select("key", "node", "size")), texts, shingle_words, similarity))
     long = shared.where(F.col("n") > hot_list).select("key", "node", "size")
     if long.isEmpty():
         return connected_components(edges)
     for k in range(LEADER_ROUNDS):
         led = long.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(k))).alias("leader"))
         stars = long.join(led, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        edges = edges.union(cut_lineage(_verified(stars.distinct(), texts, shingle_words, similarity)))
+        edges = edges.union(kept(_verified(stars.distinct(), texts, shingle_words, similarity)))
         roots = connected_components(edges)
         part = long.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
         apart = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        long = cut_lineage(part.join(apart, "key", "left_semi"))
+        long = kept(part.join(apart, "key", "left_semi"))
         if long.isEmpty():
             return roots
     rest = _verified(paired(long, F.col("root_a") != F.col("root_b")), texts, shingle_words, similarity)
@@ -306,10 +316,10 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     marked, name = _mark_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle_words, similarity)
     rows = marked.select("doc_id", "text", *[F.col(n).alias(c) for c, n in name.items()])
     roots = _near_copy_roots(rows, shingle_words, similarity, hot_list)
-    prints = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    classes = prints.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    prints = rows.groupBy(F.col("node").alias("set")).agg(F.min("tag").alias("node"), F.min("doc_id").alias("first_id"))
+    classes = prints.join(roots, "node", "left").select("set", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(classes.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", F.col("node").alias("set")).join(classes.join(lowest, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
@@ -325,7 +335,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = marked.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *[F.col(n).alias(c) for c, n in name.items()])
     roots = _near_copy_roots(rows, shingle_words, similarity, hot_list)
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64("text").alias("hash"), "tag")
-    best = rows.groupBy("node").agg(F.min(order).alias("o"))
+    best = rows.groupBy(F.col("node").alias("set")).agg(F.min("tag").alias("node"), F.min(order).alias("o"))
     best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
     kept = marked.join(best.select(F.col("o.tag").alias(name["tag"])), name["tag"], "left_semi")
     return kept.select(*[F.lit(None).alias(c) if c in void else c for c in docs.columns])
