@@ -106,10 +106,13 @@ _LICENSES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", r"proprietary", (r"all rights reserved", r"may not be reproduced(?: \S+){0,6} without (?:the )?(?:prior )?(?:written )?permission")),
 )
 
+#: How a grant starts; its words need not hold any other word of a license.
+_GRANT = r"(?:licensed|released|distributed|available|provided|covered|published|shared|issued|offered|governed)(?: to you)? (?:by|under|with) "
+
 #: (form, confidence); {n} is the name. Earlier forms have the higher priority.
 _FORMS: tuple[tuple[str, float], ...] = (
     (r"spdx license identifier {n}(?: license)?", 1.0),
-    (r"(?:licensed|released|distributed|available|provided|covered|published|shared|issued|offered|governed)(?: to you)? (?:by|under|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{n})(?: licen[cs]e)?", 0.95),
+    (_GRANT + r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{n})(?: licen[cs]e)?", 0.95),
     (r"(?:licen[cs]e|licensing) (?:type |is |text )?(?:the )?(?:{n})", 0.8),
     (r"(?:{n}) (?:software )?(?:public )?licen[cs]e", 0.7),
 )
@@ -117,8 +120,8 @@ _FORMS: tuple[tuple[str, float], ...] = (
 #: Names that say a license by themselves, without the word.
 _STANDALONE = frozenset("cc0 cc-by cc-by-sa cc-by-nd cc-by-nc cc-by-nc-sa cc-by-nc-nd gpl-2 gpl-3 lgpl-2.1 lgpl-3 agpl-3 wtfpl unlicense odbl".split())
 _KEYWORDS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain", "creative commons", " cc", "gpl", "wtfpl", "odbl", "warranty", "product includes", "rights reserved", "same terms as perl", "reproduce", "names of its contributors", "advertising materials", "purpose", "waive", "what the fuck", "provided as is", "any later version", "making python", "file except in compliance")
-#: One of these, or a word that starts with cc, is in the word text of every detection.
-_GATE = ("licen", "copyright", "permission", "redistribut", "spdx", "domain", "commons", "gpl", "wtfpl", "odbl", "warrant", "includes", "reserved", "perl", "reproduce", "contributors", "advertising", "purpose", "waive", "fuck", "provided", "version", "python", "compliance")
+#: One of these, a word that is cc or starts with cc0, or the start of a grant is in the word text of every detection.
+_GATE = ("licen", "copyright", "permission", "redistribut", "spdx", "domain", "commons", "gpl", "wtfpl", "odbl", "warrant", "includes", "reserved", "perl", "reproduce", "contributors", "advertising", "purpose", "waive", "fuck", "provided", "version", "python", "compliance", "consortium", " zero ")
 
 
 def _keyword(pattern: str) -> str:
@@ -142,7 +145,7 @@ def _may_mention(words: Column) -> Column:
     out = F.contains(words, F.lit(" cc ")) | F.contains(words, F.lit(" cc0"))
     for word in _GATE:
         out = out | F.contains(words, F.lit(word))
-    return out
+    return out | F.rlike(words, F.lit(f" {_GRANT}"))
 
 
 def _detections(norm: Column, rules: list[tuple[str, str, str, float]]) -> Column:
