@@ -32,8 +32,10 @@ def ship(spark: SparkSession, model: object) -> Broadcast:
 
 
 def shipped(shared: Broadcast):
-    """The broadcast model, in a task."""
-    return cloudpickle.loads(shared.value)
+    """The broadcast model, in a task; a worker makes it once and keeps it with the broadcast."""
+    if not hasattr(shared, "model"):
+        shared.model = cloudpickle.loads(shared.value)
+    return shared.model
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,11 +4,17 @@ The vocabulary is that of a given model file. Its pieces are ranked (the file
 holds byte-pair merges, so the scores are ranks, not probabilities); a piece of
 rank r gets the log probability of Zipf's law, -log(r + 2.7), and Viterbi picks
 the segmentation of highest total. Characters outside the vocabulary become
-their bytes. Encoding keeps the states of the last ``longest piece`` positions
-alive; when the paths from all of them meet in one boundary, the ids before it
-are committed and forgotten. A boundary that no piece of the vocabulary can
-span is such a meeting point by itself, so texts are cut there, and the ids of
-repeated chunks are remembered in a bounded cache.
+their bytes.
+
+There is one encoder for all texts, whatever their length. It moves over the
+characters and keeps the scores of the last ``longest piece`` positions, the
+states from which a piece may still start. Backpointers are held only since the
+last commit. Ids are committed whenever all surviving backpointer paths meet in
+one boundary: at once where no piece spans a position, as before every word,
+else when a look at the paths of the live states, taken every window, finds the
+last boundary they share. From such a boundary on, the ids depend only on the
+characters up to the next certain one, so stretches between boundaries that no
+piece can span are remembered, in a memo bounded in bytes.
 
 Ids therefore differ from those of the byte-pair merge order of the library for
 this kind of file; decoding gives back the text exactly.
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +36,34 @@ from .common import bounded_batches, ship, shipped, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
-_CACHE = 500_000
 _NEVER = -1e30
+_END = (0, 0.0, 0)
+#: Bytes of each of the two halves of a worker's memo.
+MEMO_BYTES = 24 << 20
+
+
+class Memo:
+    """Ids of stretches; the older half is dropped when the younger one is full."""
+
+    def __init__(self, half: int = MEMO_BYTES) -> None:
+        self.half, self.held = half, 0
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def find(self, key: str) -> list[int] | None:
+        ids = self.old.get(key)
+        if ids is not None:
+            self.keep(key, ids)
+        return ids
+
+    def keep(self, key: str, ids: list[int]) -> None:
+        cost = 260 + 4 * len(key) + 8 * len(ids)  # the numbers themselves are the codec's
+        if cost > self.half:
+            return
+        if self.held + cost > self.half:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = ids
+        self.held += cost
 
 
 class Codec:
@@ -68,91 +101,76 @@ class Codec:
         n = p.get_piece_size()
         return cls([p.id_to_piece(i) for i in range(n)], [kind(i) for i in range(n)])
 
-    def tree(self) -> dict:
-        """The pieces as a tree of characters: each leads to (children, log probability, id)."""
-        root: dict = {}
+    def matcher(self):
+        """All pieces in one automaton; a match says (length, log probability, id)."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            at = root
-            for c in piece[:-1]:
-                at = at.setdefault(c, [{}, _NEVER, 0])[0]
-            node = at.setdefault(piece[-1], [{}, _NEVER, 0])
-            node[1], node[2] = self.logp[piece], i
-        return root
-
-    def short(self):
-        """A function from a chunk that fits in the window to its ids: the same recurrence, pushed forward."""
-        root, byte_cost, byte_ids, longest = self.tree(), self.byte_cost, self.byte_ids, self.longest
-
-        def encode(text: str) -> list[int]:
-            n = len(text)
-            score, back, which = [_NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-            score[0] = 0.0
-            for a in range(n):
-                here = score[a]
-                if here == _NEVER:  # no piece ends here: the character before becomes bytes
-                    here = score[a] = score[a - 1] + byte_cost
-                    back[a] = a - 1
-                tree, end = root, a
-                for c in text[a : a + longest]:
-                    node = tree.get(c)
-                    if node is None:
+            found.add_word(piece, (len(piece), self.logp[piece], i))
+        found.make_automaton()
+        return found
+
+    def walker(self):
+        """A function from a stretch of text to its ids, by Viterbi over a bounded window of live states.
+
+        ``seen``, a list of two numbers, counts the commits and keeps the widest window of backpointers.
+        """
+        pieces, byte_cost, longest, meeting, emit = self.matcher().iter, self.byte_cost, self.longest, self._meeting, self._emit
+
+        def walk(text: str, seen: list[int] | None = None) -> list[int]:
+            out: list[int] = []
+            score, back, which = [0.0], [0], [-1]  # of the positions from the last committed one on
+            base = top = 0  # the last committed boundary, and the last position that has a state
+            limit = 2 * longest  # a window this long is looked at
+            for at, (size, logp, i) in chain(pieces(text), [(len(text), _END)]):  # by end, the longest piece first
+                if at >= top:
+                    while top < at or top - base >= limit:
+                        if top - base >= limit:  # commit where the paths of the live states meet
+                            meet = meeting(back, base, top)
+                            limit = top - base + longest if meet == base else 2 * longest
+                            base = emit(out, text, score, back, which, base, meet, seen)
+                        if top < at:  # no piece ends there: the character becomes bytes
+                            score.append(score[-1] + byte_cost)
+                            back.append(top)
+                            which.append(-1)
+                            top += 1
+                    if not size:
                         break
-                    tree, s, i = node
-                    end += 1
-                    s += here
-                    if s > score[end]:
-                        score[end], back[end], which[end] = s, a, i
-            if score[n] == _NEVER:
-                back[n] = n - 1
-            out = []
-            while n:
-                i = which[n]
-                if i < 0:
-                    out += [byte_ids[b] for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))]
-                else:
-                    out.append(i)
-                n = back[n]
-            out.reverse()
+                    score.append(_NEVER)
+                    back.append(at)
+                    which.append(-1)
+                    top = at + 1
+                k = top - size - base
+                s = score[k] + logp
+                if s > score[-1]:
+                    score[-1], back[-1], which[-1] = s, k + base, i
+            emit(out, text, score, back, which, base, top, seen)
             return out
 
-        return encode
-
-    def viterbi(self, text: str) -> list[int]:
-        """Ids of one chunk, in one pass with a bounded window of live states."""
-        logp, ids, longest = self.logp, self.ids, self.longest
-        out: list[int] = []
-        base = 0  # position of the last committed boundary
-        score, back = [0.0], [0]  # of the positions from base on
-        first = [0]  # the first boundary after base on the best path to each
-        n = len(text)
-        for end in range(1, n + 1):
-            best, start = _NEVER, end - 1
-            for a in range(max(base, end - longest), end):
-                s = logp.get(text[a:end])
-                if s is not None:
-                    s += score[a - base]
-                    if s > best:
-                        best, start = s, a
-            if best == _NEVER:
-                best = score[end - 1 - base] + self.byte_cost
-            score.append(best)
-            back.append(start)
-            first.append(end if start == base else first[start - base])
-            if end - base >= 2 * longest and end % longest == 0:
-                live = first[-longest:]
-                if live.count(live[0]) == longest:  # all surviving paths share a boundary
-                    meet = self._meeting(back, base, end)
-                    out += self._commit(text, back, base, meet)
-                    score, back = score[meet - base :], back[meet - base :]
-                    base, first = meet, [meet]
-                    for i in range(1, len(back)):
-                        first.append(base + i if back[i] <= base else first[back[i] - base])
-        return out + self._commit(text, back, base, n)
+        return walk
+
+    def _emit(self, out: list[int], text: str, score: list, back: list, which: list, base: int, end: int, seen: list[int] | None) -> int:
+        """Give out the ids of the path from ``base`` to ``end`` and forget what is before; returns ``end``."""
+        path, at = [], end
+        while at > base:
+            path.append((at, which[at - base]))
+            at = back[at - base]
+        for at, i in reversed(path):
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [self.byte_ids[b] for b in text[at - 1].encode("utf-8", "surrogatepass")]
+        if end > base and seen is not None:
+            seen[0], seen[1] = seen[0] + 1, max(seen[1], len(score))
+        keep = end - base
+        del score[:keep], back[:keep], which[:keep]
+        return end
 
     def _meeting(self, back: list[int], base: int, end: int) -> int:
-        """Last boundary that the paths from all live states share."""
+        """Last boundary that the paths from all live states up to ``end`` share."""
         meet: set[int] | None = None
-        for state in range(end - self.longest + 1, end + 1):
+        for state in range(max(base, end - self.longest + 1), end + 1):
             path, at = set(), state
             while at > base:
                 path.add(at)
@@ -160,23 +178,10 @@ class Codec:
             meet = path if meet is None else meet & path
         return max(meet or (), default=base)
 
-    def _commit(self, text: str, back: list[int], base: int, end: int) -> list[int]:
-        cuts = []
-        while end > base:
-            cuts.append(end)
-            end = back[end - base]
-        out: list[int] = []
-        for cut in reversed(cuts):
-            piece = text[end:cut]
-            known = self.ids.get(piece)
-            out += [known] if known is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            end = cut
-        return out
-
     def encoder(self):
-        """A function from text to ids with a cache of its own; null and empty texts have no ids."""
-        cache: dict[str, list[int]] = {}
-        find, short, viterbi, mark = self.chunks.findall, self.short(), self.viterbi, [self.byte_ids[b] for b in _SPACE.encode()]
+        """A function from text to ids with a memo of its own; null and empty texts have no ids."""
+        memo = Memo()
+        cut, walk, mark = self.chunks.findall, self.walker(), [self.byte_ids[b] for b in _SPACE.encode()]
 
         def encode(text: str | None) -> list[int]:
             out: list[int] = []
@@ -185,14 +190,13 @@ class Codec:
                     out += mark
                 if not part:
                     continue
-                for chunk in find((_SPACE + part if not n else part).replace(" ", _SPACE)):
-                    ids = cache.get(chunk)
+                for stretch in cut((_SPACE + part if not n else part).replace(" ", _SPACE)):
+                    ids = memo.young.get(stretch)
                     if ids is None:
-                        ids = short(chunk) if len(chunk) <= 48 else viterbi(chunk)
-                        if len(chunk) <= 48:
-                            if len(cache) >= _CACHE:
-                                cache.clear()
-                            cache[chunk] = ids
+                        ids = memo.find(stretch)
+                        if ids is None:
+                            ids = walk(stretch)
+                            memo.keep(stretch, ids)
                     out += ids
             return out
 

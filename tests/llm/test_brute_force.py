@@ -165,12 +165,23 @@ def test_codec_round_trip_and_viterbi(spark, sf):
                     best[j], back[j] = best[a] + s, a
             if best[j] == -1e30:
                 best[j], back[j] = best[j - 1] + k.byte_cost, j - 1
-        return k._commit(t, back, 0, len(t))
-
+        cuts, at = [], len(t)
+        while at:
+            cuts.append((back[at], at))
+            at = back[at]
+        pieces = [t[a:b] for a, b in reversed(cuts)]
+        return [i for p in pieces for i in ([k.ids[p]] if p in k.ids else [k.byte_ids[b] for b in p.encode()])]
+
+    walk = k.walker()
     for t in some[:10]:
-        chunk = ("▁" + t).replace(" ", "▁")[:1500]
-        assert k.viterbi(chunk) == whole(chunk)
-        assert encode(t[:1499]) == whole(chunk)
+        stretch = ("▁" + t).replace(" ", "▁")[:1500]
+        seen = [0, 0]
+        assert walk(stretch, seen) == encode(t[:1499]) == whole(stretch)
+        assert seen[0] >= len(stretch) / 60 and seen[1] <= 6 * k.longest  # commits all along, windows stay short
+    for t in ("x" * 3000, "ab" * 900 + " c", "日本" * 700, "\U0001f600" * 500 + "end", "é\U0001f600" * 300, "=" * 1000):
+        seen = [0, 0]
+        assert walk(t, seen) == whole(t)
+    assert walk("") == []
 
 
 def test_search_is_exact(spark, sf):
