@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, extra columns and empty tables for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,29 @@ def test_search(docs, empty):
     got = topk_search.search(docs, docs, 3).collect()
     assert {r.query_id for r in got} == {1, 5, 6} and max(r["rank"] for r in got) <= 3
     assert topk_search.search(empty, empty).count() == 0 and topk_search.search(docs, empty).count() == 0
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert {(r.query_id, r.doc_id) for r in topk_search.search(named, named, 1).collect()} == {("d1", "d1"), ("d5", "d5"), ("d6", "d6")}
+
+
+def test_search_passes_over_blocks():
+    """Blocks whose maxima stay under the threshold are not scored, and the result is that of scoring all."""
+    rng = np.random.default_rng(2)
+    topics = [rng.integers(0, 300, 40) + 1000 * t for t in range(1, 9)]  # and ten terms of little weight that any document may hold
+    terms = [np.unique(np.append(rng.choice(topics[i % 8], 25), rng.integers(9990, 10000, 5))) for i in range(2000)]
+    freqs = [rng.integers(1, 4, len(t)).astype(np.int32) for t in terms]
+    ids, parts = topk_search._shard_row(list(range(2000)), [int(f.sum()) for f in freqs], terms, freqs)
+    shard = topk_search.Shard(*parts, 40.0)
+    every = 0
+    for q in range(0, 2000, 97):
+        weight = np.where(terms[q] < 9990, 1.0, 0.01)
+        at, score = shard.top(terms[q], weight, 10)
+        scores = []
+        for d, (t, f) in enumerate(zip(terms, freqs, strict=True)):
+            tf = f[np.isin(t, terms[q])]
+            every += len(tf)
+            scores.append((-round(float((tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * f.sum() / 40.0))).sum()), 6), d))
+        assert [(-s, d) for s, d in sorted(scores)[:10]] == [(float(s), ids[i]) for i, s in zip(at, score, strict=True)]
+    assert shard.scored < every
 
 
 def test_pages(spark):
