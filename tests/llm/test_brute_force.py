@@ -141,6 +141,39 @@ def test_leaks_with_edits(spark, sf):
     assert total > 20 and missed <= 0.02 * total
 
 
+def test_leaks_are_all_close_parts(spark, sf, monkeypatch):
+    """Against the edit distance of every item and text; and without the hash tables nothing is found."""
+    docs = {d: decontaminate.words_of(t) for d, t in texts(spark, sf).items()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rng = random.Random(6)
+    for i, (_, text) in enumerate(items[:30]):  # parts with up to a fifth of the words changed, in documents of their own
+        w = decontaminate.words_of(text)
+        for p in rng.sample(range(len(w)), int(0.2 * len(w)) if i % 2 else int(0.1 * len(w))):
+            w[p] = "changed"
+        docs[-1 - i] = ["before"] * 30 + w + ["after"] * 30
+    want = set()
+    index = decontaminate.Items(items)
+    for item_id, ids in index.items:
+        for d, words in docs.items():
+            got, _ = decontaminate.best_part(ids, np.array([index.vocab.get(w, 0) for w in words], np.int64))
+            if got <= int(0.2 * len(ids)):
+                want.add((d, item_id, got))
+    found = {(d, x["item_id"], x["distance"]) for d, words in docs.items() for x in index.leaks(" ".join(words))}
+    assert found <= want and len(found) >= 0.97 * len(want) and len(want) > 30
+    monkeypatch.setattr(decontaminate.Length, "candidates", lambda self, rows: set())
+    assert not any(index.leaks(" ".join(words)) for words in docs.values())
+
+
+def test_leaks_of_repetitive_and_short_items():
+    index = decontaminate.Items([(1, "la " * 20), (2, "one"), (3, "two words"), (4, "a b c d e"), (5, "la la lu " * 8)])
+    ids = lambda t: [(x["item_id"], x["start_word"], x["distance"]) for x in index.leaks(t)]
+    assert ids("x " + "la " * 20 + "y") == [(1, 1, 0)]
+    assert ids("x " + "la " * 17 + "y " + "la " * 20) == [(1, 19, 0)]  # the best place, not the first
+    assert ids("z two words z two words one") == [(2, 6, 0), (3, 1, 0)]  # of equal places the first
+    assert ids("a b x d e") == [(4, 0, 1)] and ids("a b x y e") == [] and ids("one"[:2]) == []
+    assert [x[0] for x in ids("la la lu " * 8)] == [5] and ids("la la la lu " * 3) == []
+
+
 def test_leaks_verbatim(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
