@@ -13,9 +13,20 @@ RERANK_BUDGETS = {"fine_tags": 300, "fine_rule": 500, "focus_tags": 300, "focus_
 OTHER_BUDGET = 360
 PASSAGE_LIMIT = 3600
 RERANK_GROUPS = {"fine_tags": "【核心争议】", "fine_rule": "【核心争议】", "focus_tags": "【核心争议】", "focus_analysis": "【核心争议】", "reasoning": "【裁判规则】", "facts": "【关键事实】", "judgment": "【裁判结果】", "claims": "【诉请摘要】", "defense": "【抗辩摘要】"}
+GROUP_ORDER = ["【案件画像】", "【核心争议】", "【裁判规则】", "【关键事实】", "【裁判结果】", "【诉请摘要】", "【抗辩摘要】", "【相关片段】"]
+CASE_KEY_SECTIONS = ["fine_tags", "fine_rule", "focus_tags", "focus_analysis", "reasoning", "facts"]
+GUARDRAIL_LIMIT = 5000
+GUARDRAIL_CHUNKS = 12
 CHUNK_SIZES = {"claims": (760, 0), "defense": (760, 0), "facts": (900, 120), "reasoning": (900, 120)}
 OTHER_CHUNK_SIZE = (1600, 0)
 
+# --- fixed values: splitting --------------------------------------------------
+FACT_BOUNDARY = r"(?=(?:19|20)\d{2}年\d{1,2}月\d{1,2}日)"
+REASONING_BOUNDARY = r"(?=(?:本案争议焦点为|本院认为|首先|其次|再次|最后|关于|对于|故|综上))"
+PLEADING_TAIL = r"当事人围绕诉讼请求依法提交了证据|本院组织当事人进行了证据交换|对当事人无异议的证据"
+CLAIM_MARKER = r"(?:原告|上诉人|申请人|再审申请人|反诉原告)[^。；\n\r]{0,30}(?:诉称|补充陈述|上诉请求|请求)"
+DEFENSE_MARKER = r"(?:被告|被上诉人|被申请人|第三人|反诉被告)[^。；\n\r]{0,30}(?:辩称|述称|答辩称)"
+
 # --- fixed values: routes (name, type, weight, section) ----------------------
 ROUTES = [
     ("bm25_raw", "bm25", 1.0, None), ("vector_raw", "vector", 0.8, None), ("bm25_focus", "bm25", 0.95, None), ("vector_focus", "vector", 1.20, None),

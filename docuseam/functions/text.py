@@ -42,17 +42,22 @@ def clauses(text: Column) -> Column:
     return ordered_distinct(F.transform(parts, lambda x: F.regexp_replace(x, "^[ ，,、]+|[ ，,、]+$", "")), 16)
 
 
+def strings(values: list[str]) -> Column:
+    """An array of fixed strings, as one expression."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"cast(array({', '.join(quoted)}) as array<string>)")
+
+
 def find_terms(text: Column, terms: list[str], limit: int | None = None) -> Column:
     """Terms that occur in the text, in the order of the list."""
-    found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    found = F.filter(strings(terms), lambda t: F.contains(text, t))
     return found if limit is None else F.slice(found, 1, limit)
 
 
 def any_term(text: Column, terms: list[str]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(text, F.lit(t))
-    return out
+    """Whether one of the terms occurs; one expression for the whole list."""
+    listed = [rf"\Q{t}\E" for t in terms if t]
+    return text.rlike("|".join(listed)) if listed else F.lit(False)
 
 
 def statutes(text: Column) -> Column:

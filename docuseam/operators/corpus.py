@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CHUNK_SIZES, OTHER_CHUNK_SIZE, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
+from ..constants import CHUNK_SIZES, CLAIM_MARKER, DEFENSE_MARKER, FACT_BOUNDARY, OTHER_CHUNK_SIZE, PLEADING_TAIL, REASONING_BOUNDARY, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
 from ..functions import text as tx
 
 
@@ -75,60 +76,85 @@ def section_counts(rows: DataFrame) -> DataFrame:
 # --- splitting with sequential state -----------------------------------------
 
 
+def _clean(text: str) -> str:
+    return "\n".join(x for line in text.splitlines() if (x := line.strip()))
+
+
+def _cuts(text: str, most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Pieces of at most ``most`` characters, ended after the last full stop or line feed of their second half if there is one."""
+    start = end = 0
+    while end < len(text):
+        end = start + most
+        if end < len(text):
+            stop = max(text.rfind(mark, start + most // 2, end) for mark in "。\n")
+            end = stop + 1 if stop > start else end
+        end = min(end, len(text))
+        yield start, end
+        start = max(start + 1, end - overlap)
+
+
 def split_text(text: str, most: int, overlap: int) -> list[str]:
-    """Pieces of at most ``most`` characters, cut after a full stop or line feed of the second half if there is one."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(n, at + most)
-        if end < n:
-            cut = max(text.rfind(c, at + most // 2, end) for c in "。\n")
-            end = cut + 1 if cut >= 0 else end
-        piece = "\n".join(x.strip() for x in text[at:end].splitlines() if x.strip())
-        if piece:
-            out.append(piece)
-        if end >= n:
-            break
-        at = max(at + 1, end - overlap)
-    return out
+    """The cleaned text in cleaned pieces; a text that fits is one piece."""
+    text = _clean(text)
+    return [piece for a, b in _cuts(text, most, overlap) if (piece := _clean(text[a:b]))]
+
 
+def marker_units(text: str, boundary: str) -> list[str]:
+    """Each paragraph cut before every place where the boundary matches, stripped, without empty ones."""
+    return [unit for line in _clean(text).splitlines() for part in re.split(boundary, line) if (unit := part.strip())]
 
-def pack(units: list[str], most: int) -> list[str]:
-    """Greedy packing of units into pieces of at most ``most`` characters."""
+
+def pack(units: list[str], most: int, overlap: int) -> list[str]:
+    """Greedy packing of units, joined by line feeds, into pieces of at most ``most`` characters; longer units are split by themselves."""
     out: list[str] = []
-    for u in units:
-        if out and len(out[-1]) + len(u) <= most:
-            out[-1] += u
+    open_ = False  # whether the last piece may still grow
+    for unit in units:
+        if len(unit) > most:
+            out += split_text(unit, most, overlap)
+            open_ = False
+        elif open_ and len(out[-1]) + 1 + len(unit) <= most:
+            out[-1] += "\n" + unit
         else:
-            out.append(u)
+            out.append(unit)
+            open_ = True
     return out
 
 
 def merge_short_heads(units: list[str], least: int = 12) -> list[str]:
-    """A unit under ``least`` characters joins the one after it."""
-    out, held = [], ""
-    for u in units:
-        held += u
-        if len(held.strip()) >= least:
-            out.append(held)
-            held = ""
-    if held:
-        out = [*out[:-1], out[-1] + held] if out else [held]
+    """A unit under ``least`` characters joins exactly the one after it; a short last one stays."""
+    rest, out = iter(units), []
+    for unit in rest:
+        out.append(unit + next(rest, "") if len(unit) < least else unit)
     return out
 
 
-_DATE = re.compile(r"(?=(?:19|20)\d{2}年\d{1,2}月\d{1,2}日)")
-_STEP = re.compile(r"(?=(?:本案争议焦点为|本院认为|首先|其次|再次|最后|关于|对于|故|综上))")
-
-
 def split_section(section: str, text: str) -> list[str]:
     most, overlap = CHUNK_SIZES.get(section, OTHER_CHUNK_SIZE)
     if section == "facts":
-        units = pack([u for u in _DATE.split(text) if u.strip()], most)
-    elif section == "reasoning":
-        units = merge_short_heads([u for u in _STEP.split(text) if u.strip()])
-    else:
-        units = [text]
-    return [p for u in units for p in (split_text(u, most, overlap) if len(u) > most else split_text(u, most, 0))]
+        return pack(marker_units(text, FACT_BOUNDARY), most, overlap)
+    if section == "reasoning":
+        units = merge_short_heads(marker_units(text, REASONING_BOUNDARY))
+        return [p for u in units for p in (split_text(u, most, overlap) if len(u) > most else [u])]
+    return split_text(text, most, overlap)
+
+
+def marker_parts(text: Column, boundary: str) -> Column:
+    """``marker_units`` as an expression: the units of all paragraphs in order."""
+    lines = F.split(tx.clean_lines(text), "\n")
+    parts = F.flatten(F.transform(lines, lambda x: F.split(x, boundary)))
+    return F.filter(F.transform(parts, tx.clean_lines), lambda x: x != "")
+
+
+def pleading_sections(text: Column) -> Column:
+    """Array of (section_type, text): pleadings cut before each party's statement, claims or defense by who speaks.
+
+    What stands before the first marker counts as claims; the tail from the
+    first mention of the exchange of evidence on is left out.
+    """
+    body = tx.clean_lines(F.split(tx.or_empty(text), PLEADING_TAIL)[0])
+    parts = F.transform(F.split(body, f"(?={CLAIM_MARKER}|{DEFENSE_MARKER})"), tx.clean_lines)
+    kind = lambda x: F.when(x.rlike(f"^{DEFENSE_MARKER}"), "defense").otherwise("claims")
+    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(kind(x).alias("section_type"), x.alias("section_text")))
 
 
 def split_sections(sections: DataFrame, section: str = "section_type", text: str = "section_text") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import FOCUS_SECTIONS, KEY_SECTIONS, RERANK_ORDER
+from ..constants import FOCUS_SECTIONS, KEY_SECTIONS, LEGAL_SECTIONS, RERANK_ORDER
 from .corpus import section_weight
 
 RRF_K = 10
@@ -117,11 +117,17 @@ def rerank_chunks(hits: DataFrame, n: int = 8) -> DataFrame:
     return merged_chunks(hits).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= n)
 
 
-def best_per_section(hits: DataFrame, n: int = 6) -> DataFrame:
-    """The best chunk of each section in the fixed order, then the others, up to n."""
-    section = F.col("section_type")
+def pick_best(chunks: DataFrame) -> DataFrame:
+    """Add ``pick`` to a case's chunks: the best of each section in the fixed order, then the others: legal sections first, then by score, then by place."""
+    section, place = F.col("section_type"), section_place(F.col("section_type"), RERANK_ORDER)
     own = Window.partitionBy("query_id", "doc_id", "section_type").orderBy(F.desc("score"), F.asc("chunk_id"))
-    rows = merged_chunks(hits).withColumn("_own", F.row_number().over(own))
     first = (F.col("_own") == 1) & section.isin(RERANK_ORDER)
-    w = Window.partitionBy("query_id", "doc_id").orderBy((~first).cast("int"), section_place(section, RERANK_ORDER), F.desc("score"), F.asc("chunk_id"))
-    return rows.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= n)
+    turn = F.when(first, place).otherwise((~section.isin(LEGAL_SECTIONS)).cast("int"))
+    w = Window.partitionBy("query_id", "doc_id").orderBy((~first).cast("int"), turn, F.when(first, 0.0).otherwise(-F.col("score")), place, F.asc("chunk_id"))
+    rows = chunks.withColumn("_own", F.row_number().over(own))
+    return rows.withColumn("pick", F.row_number().over(w)).drop("_own")
+
+
+def best_per_section(hits: DataFrame, n: int = 6) -> DataFrame:
+    """The first n picks of every case."""
+    return pick_best(merged_chunks(hits)).where(F.col("pick") <= n)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from ..session import bounded_batches
 
 K1, B = 1.2, 0.75
+#: Queries of a broadcast block; their terms times queries are the numbers a task holds.
+BLOCK_QUERIES = 128
 
 
 def postings(rows: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
@@ -25,28 +32,88 @@ def corpus_stats(posted: DataFrame, key: str = "chunk_id") -> DataFrame:
     return per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+def term_statistics(queries: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(term, df, words) of the queries' terms, in one pass; the term '' says how many rows have words, and how many words."""
+    terms = queries.select(F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
+    wanted = terms.union(queries.select(F.lit("").alias("term"))).distinct()
+    listed = rows.select(tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
+    seen = listed.select(F.size("_words").alias("dl"), F.explode(F.array_append(F.array_distinct("_words"), F.lit(""))).alias("term"))
+    return seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
 
 
-def bm25(queries: DataFrame, rows: DataFrame, key: str = "chunk_id", text: str = "chunk_text", boost: float = 1.0) -> DataFrame:
-    """(query_id, key, score) for every pair that shares a term; scores are rounded to 6 digits.
+def bm25_top(queries: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id", text: str = "chunk_text", group: str | None = None, boost: float = 1.0) -> DataFrame:
+    """(query_id, key, score): every pair that may be among the k best of its query, or of its query and ``group``.
 
-    Query terms form the small side: postings of other terms are dropped before
-    any pair is built, and document frequencies are those of all chunks.
+    Scores are rounded to 6 digits; rows without a common term have none. Terms
+    are counted inside the row and multiplied with the weights of a block of
+    queries at once, and each task passes on only what reaches its own k-th best
+    score, so what is shuffled afterwards does not grow with the rows of a task.
+    Document frequencies are those of all rows. Null texts count as empty.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    words = F.col("_words")
-    listed = rows.select(key, tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
-    found = listed.select(key, F.size(words).alias("dl"), F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    # dealt by chunk once: term frequencies and scores of a chunk then need no further shuffle
-    wanted = found.repartition(key).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = rows.select(F.size(tokens(F.col(text))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(lengths))  # one row of statistics
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm
-    return wanted.join(weighed, "term").groupBy("query_id", key).agg(F.round(boost * F.sum(part), 6).alias("score"))
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    asked = queries.select("query_id", "query_text").persist()
+    stats = term_statistics(asked, rows, text).persist()
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    whole = stats.where("term = ''").first()
+    n, mean = (whole["df"], whole["words"] / whole["df"]) if whole else (0, 1.0)
+    idf_of = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).join(stats, "term").select("query_id", "term", idf_of.alias("idf"))
+    listed = rows.select(key, *([group] if group else []), tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *listed.drop("_words").schema.fields, T.StructField("score", T.DoubleType())])
+    out = None
+    for b in range(blocks):
+        part = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        ids, terms = (pa.chunked_array(part[c]).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        weights = np.zeros((len(terms.dictionary), len(ids.dictionary)))
+        weights[terms.indices.to_numpy(), ids.indices.to_numpy()] = part["idf"].to_numpy()
+        shared = spark.sparkContext.broadcast((ids.dictionary, terms.dictionary, weights))
+        found = listed.mapInArrow(_scan(shared, k, mean, boost, group is not None), schema)
+        out = found if out is None else out.unionByName(found)
+    asked.unpersist()
+    stats.unpersist()
+    return out
+
+
+def _scan(shared, k: int, mean: float, boost: float, grouped: bool):
+    """Scores of a block of queries, batch by batch; ``best`` holds the k best scores so far of all rows and of each group."""
+
+    def run(batches):
+        ids, terms, weights = shared.value
+        size, width = weights.shape
+        best: dict = {}
+        if not width:
+            return
+        for b in batches:
+            words = b.column(b.num_columns - 1)
+            lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            known = at >= 0
+            code, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths)[known] * size + at[known], return_counts=True)
+            owner, term = np.divmod(code, max(1, size))
+            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
+            scores = np.zeros((len(lengths), width))
+            for i in range(0, len(owner), 1 << 14):  # bounds what is multiplied at once
+                own = owner[i : i + (1 << 14)]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                part = weights[term[i : i + (1 << 14)]] * value[i : i + (1 << 14), None]
+                scores[own[first]] += np.add.reduceat(part, first, axis=0)
+            scores = np.round(boost * scores, 6)
+            keep = np.zeros(scores.shape, bool)
+            parts = {None: np.arange(len(lengths))}
+            if grouped:
+                names = b.column(1).dictionary_encode()
+                codes = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)
+                parts |= {("group", names.dictionary[int(c)].as_py() if c >= 0 else None): np.flatnonzero(codes == c) for c in np.unique(codes)}
+            for name, some in parts.items():
+                top = np.concatenate([best.get(name, np.zeros((k, width))), scores[some]])
+                best[name] = np.partition(top, len(top) - k, axis=0)[len(top) - k :]
+                keep[some] |= scores[some] >= best[name].min(axis=0)
+            row, query = np.nonzero(keep & (scores > 0))
+            held = [b.column(i).take(pa.array(row)) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), *held, pa.array(scores[row, query])], ["query_id", *b.schema.names[:-1], "score"])
+
+    return run
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), key: str = "chunk_id") -> DataFrame:
@@ -55,9 +122,9 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), key: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def best_field(queries: DataFrame, rows: DataFrame, fields: dict[str, float], key: str = "chunk_id") -> DataFrame:
-    """Each field scored by itself and boosted; the best field counts."""
-    parts = [bm25(queries, rows, key, f, b) for f, b in fields.items()]
+def best_field(queries: DataFrame, rows: DataFrame, fields: dict[str, float], k: int, key: str = "chunk_id") -> DataFrame:
+    """Each field scored by itself and boosted; the best field counts. Exact for the k best, which are among the k best of a field."""
+    parts = [bm25_top(queries, rows, k, key, f, boost=b) for f, b in fields.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -64,7 +64,7 @@ def routes(profiled: DataFrame, rewrite: str | None = None) -> DataFrame:
         "bm25_raw": p["raw_query"], "vector_raw": p["raw_query"],
         "bm25_focus": F.when(expanded != p["raw_query"], expanded), "vector_focus": F.when(expanded != p["raw_query"], expanded),
         "bm25_facts": F.coalesce(own("fact_elements"), section),
-        "bm25_negative": F.when(F.size(p["negatives"]) >= 0, _joined(p["negatives"], p["requests"], p["relations"], p["reasons"])),
+        "bm25_negative": _joined(p["negatives"], p["requests"], p["relations"], p["reasons"]),
         "bm25_legal": F.coalesce(statute, _joined(p["reasons"], p["relations"], p["statutes"], p["requests"])),
     }
     made = [F.struct(F.lit(n).alias("route"), F.lit(t).alias("route_type"), F.lit(w).alias("weight"), F.lit(s).cast("string").alias("section_type"), text.get(n, section).alias("query")) for n, t, w, s in ROUTES]
@@ -72,6 +72,12 @@ def routes(profiled: DataFrame, rewrite: str | None = None) -> DataFrame:
     return profiled.select("query_id", F.posexplode(kept).alias("route_ord", "r")).select("query_id", "route_ord", "r.*")
 
 
+def rerank_query(profile: Column) -> Column:
+    """What the reranker is asked: the raw query and the rules' reading of it, labelled."""
+    part = lambda label, sep, *names: F.concat(F.lit(label), F.array_join(F.concat(*[profile[n] for n in names]), sep))
+    return tx.compact(F.concat_ws(" ", profile["raw_query"], part("规则争议焦点：", "；", "focus"), part("规则请求类型：", "、", "requests"), part("规则否定事实：", "；", "negatives"), part("规则法律关系：", "、", "relations", "reasons")))
+
+
 def override_weight(weight: Column, name: Column, overrides: Column) -> Column:
     """Weight of the route in a map of strings if it is a number there, else its own."""
     return F.coalesce(F.try_element_at(overrides, name).try_cast("double"), weight)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CONFLICT_FACTORS, FOCUS_SECTIONS, LEGAL_SECTIONS, NEGATION_CUES, NEGATION_LOOKBACK, NEGATION_SUFFIX, OTHER_BUDGET, PASSAGE_LIMIT, REQUIRED_FACTORS, RERANK_BUDGETS, RERANK_GROUPS
+from ..constants import (
+    CASE_KEY_SECTIONS, CONFLICT_FACTORS, FOCUS_SECTIONS, GROUP_ORDER, GUARDRAIL_CHUNKS, GUARDRAIL_LIMIT, LEGAL_SECTIONS, NEGATION_CUES, NEGATION_LOOKBACK, NEGATION_SUFFIX,
+    OTHER_BUDGET, PASSAGE_LIMIT, REQUIRED_FACTORS, RERANK_BUDGETS, RERANK_GROUPS, RERANK_ORDER, SECTION_TITLES,
+)
 from ..functions import text as tx
-from .fusion import NUDGE
+from .fusion import NUDGE, pick_best, section_place
 
 
 def minmax(score: Column, group: Window) -> Column:
@@ -37,29 +40,43 @@ def positive_hit(text: Column, term: Column) -> Column:
     return F.contains(text, term) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(cut) - 2, F.lit(0))), free)
 
 
-def any_positive(text: Column, terms: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: positive_hit(text, t)) if terms else F.lit(False)
+def any_positive(text: Column, terms: Column) -> Column:
+    """Whether one of an array of terms has such an occurrence."""
+    return F.exists(terms, lambda t: positive_hit(text, t))
 
 
-def guardrail(query: Column, doc: Column) -> Column:
+def _factors(required: list[dict], conflicts: list[dict]) -> Column:
+    """Factors of guardrails as one array of structs."""
+    one = lambda f, wanted: F.struct(
+        F.lit(f["name"]).alias("name"), F.lit(wanted).alias("required"), F.lit(f["penalty"]).alias("penalty"), tx.strings(f["query_any"]).alias("query_any"),
+        tx.strings(f.get("query_all", [])).alias("query_all"), tx.strings(f["doc_any"]).alias("doc_any"), tx.strings(f.get("absent", [])).alias("absent"),
+    )
+    return F.array(*[one(f, True) for f in required], *[one(f, False) for f in conflicts])
+
+
+def guardrail(query: Column, doc: Column, required: list[dict] = REQUIRED_FACTORS, conflicts: list[dict] = CONFLICT_FACTORS) -> Column:
     """Struct of penalty, bonus, missing and conflicts of a case text under a query text."""
-    missing, matched, conflicts = [], F.lit(0), []
-    penalty = F.lit(0.0)
-    for f in REQUIRED_FACTORS:
-        applies = tx.any_term(query, f["query_any"])
-        for t in f.get("query_all", []):
-            applies = applies & F.contains(query, F.lit(t))
+    factors = _factors(required, conflicts)
+
+    def applies(asked):
+        return F.filter(factors, lambda f: F.exists(f["query_any"], lambda t: F.contains(asked, t)) & F.forall(f["query_all"], lambda t: F.contains(asked, t)))
+
+    def said(f):
         has = any_positive(doc, f["doc_any"])
-        missing.append(F.when(applies & ~has, f["name"]))
-        penalty = penalty + F.when(applies & ~has, f["penalty"]).otherwise(0.0)
-        matched = matched + F.when(applies & has, 1).otherwise(0)
-    for f in CONFLICT_FACTORS:
-        hit = tx.any_term(query, f["query_any"]) & any_positive(doc, f["doc_any"]) & ~any_positive(doc, f["absent"])
-        conflicts.append(F.when(hit, f["name"]))
-        penalty = penalty + F.when(hit, f["penalty"]).otherwise(0.0)
-    lost, bad = F.array_compact(F.array(*missing)), F.array_compact(F.array(*conflicts))
-    bonus = F.when((matched > 0) & (F.size(lost) == 0) & (F.size(bad) == 0), F.least(F.lit(0.02), 0.008 * matched)).otherwise(0.0)
-    return F.struct(F.least(F.lit(0.35), penalty).alias("penalty"), bonus.alias("bonus"), lost.alias("missing"), bad.alias("conflicts"))
+        bad = F.when(f["required"], ~has).otherwise(has & ~any_positive(doc, f["absent"]))
+        return F.struct(f["name"].alias("name"), f["required"].alias("required"), f["penalty"].alias("penalty"), bad.alias("bad"))
+
+    def told(says):
+        names = lambda required: F.transform(F.filter(says, lambda x: x["bad"] & (x["required"] == required)), lambda x: x["name"])
+        penalty = F.aggregate(says, F.lit(0.0), lambda a, x: a + F.when(x["bad"], x["penalty"]).otherwise(0.0))
+        matched = F.size(F.filter(says, lambda x: x["required"] & ~x["bad"]))
+        clean = ~F.exists(says, lambda x: x["bad"])
+        bonus = F.when((matched > 0) & clean, F.least(F.lit(0.02), 0.008 * matched)).otherwise(0.0)
+        return F.struct(F.least(F.lit(0.35), penalty).alias("penalty"), bonus.alias("bonus"), names(True).alias("missing"), names(False).alias("conflicts"))
+
+    # values used more than once are bound to lambda variables, so that they are made once
+    applying = F.transform(F.array(tx.compact(query, GUARDRAIL_LIMIT)), applies)[0]
+    return F.transform(F.array(F.transform(applying, said)), told)[0]
 
 
 def fuse(cases: DataFrame, top_n: int, weight: float = 0.25) -> DataFrame:
@@ -99,23 +116,59 @@ def rank_safe(cases: DataFrame, most: int = 20) -> DataFrame:
     return rows.withColumn("safe_rank", F.row_number().over(w))
 
 
-def passages(picked: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """One passage per query and case: chunks within their budgets, grouped under headings, in pick order."""
+def _section_label(section: Column) -> Column:
+    title = F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_TITLES.items() for x in kv]), section)
+    return F.coalesce(title, F.nullif(section, F.lit("")))
+
+
+def passage_entry(section: Column, pick: Column, text: Column) -> Column:
+    """A picked chunk in its passage: place of its group, pick, group, and its text within the budget; null if it has none."""
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    budget = F.coalesce(F.try_element_at(table(RERANK_BUDGETS), F.col("section_type")), F.lit(OTHER_BUDGET))
-    body = tx.compact(F.col(text))
+    budget = F.coalesce(F.try_element_at(table(RERANK_BUDGETS), section), F.lit(OTHER_BUDGET))
+    body = tx.compact(text)
     body = F.when(F.length(body) > budget, F.concat(F.substring(body, F.lit(1), budget - 1), F.lit("…"))).otherwise(body)
-    group = F.coalesce(F.try_element_at(table(RERANK_GROUPS), F.col("section_type")), F.lit("【相关片段】"))
-    rows = picked.select("query_id", "doc_id", "pick", body.alias("body"), group.alias("heading"))
-    per = rows.groupBy("query_id", "doc_id", "heading").agg(F.min("pick").alias("first"), F.array_sort(F.collect_list(F.struct("pick", "body"))).alias("parts"))
-    per = per.select("query_id", "doc_id", "first", F.concat_ws("\n", "heading", F.array_join(F.transform("parts", lambda x: x["body"]), "\n")).alias("block"))
-    whole = per.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "block"))).alias("blocks"))
-    return whole.select("query_id", "doc_id", F.substring(F.array_join(F.transform("blocks", lambda x: x["block"]), "\n"), 1, PASSAGE_LIMIT).alias("passage"))
+    group = F.coalesce(F.try_element_at(table(RERANK_GROUPS), section), F.lit(GROUP_ORDER[-1]))
+    entry = F.concat(F.coalesce(_section_label(section), F.lit("片段")), F.lit("："), body)
+    return F.when(body != "", F.struct(F.array_position(tx.strings(GROUP_ORDER), group).alias("place"), pick.alias("pick"), group.alias("group"), entry.alias("entry")))
+
+
+def passage_text(entries: Column, name: Column, reason: Column) -> Column:
+    """What the case is, then its entries: groups in the fixed order under their headings, compacted and cut at the limit."""
+    about = lambda label, x: F.when(tx.or_empty(x) != "", F.concat(F.lit(label), x))
+    head = F.concat_ws(" ", about("案名：", name), about("案由：", reason))
+    said = F.transform(F.array_sort(entries), lambda x: F.struct(x["group"].alias("group"), x["entry"].alias("entry")))
+    start = F.struct(F.lit("").alias("group"), F.when(head != "", F.concat(F.lit("【案件类型】 "), head)).otherwise("").alias("out"))
+    step = lambda a, x: F.struct(x["group"].alias("group"), F.concat_ws(" ", a["out"], F.when(a["group"] != x["group"], x["group"]), x["entry"]).alias("out"))
+    return tx.compact(F.aggregate(said, start, step, lambda a: a["out"]), PASSAGE_LIMIT)
+
 
+def passages(picked: DataFrame, cases: DataFrame, text: str = "chunk_text") -> DataFrame:
+    """One passage per query and case of its picked chunks. ``cases``: doc_id, case_name, reason."""
+    entry = passage_entry(F.col("section_type"), F.col("pick"), F.coalesce(F.col(text), F.lit("")))
+    per = picked.groupBy("query_id", "doc_id").agg(F.collect_list(entry).alias("xs"))  # at most the picks of a case
+    rows = per.join(cases.select("doc_id", "case_name", "reason"), "doc_id", "left")
+    return rows.select("query_id", "doc_id", passage_text(F.col("xs"), F.col("case_name"), F.col("reason")).alias("passage"))
 
-def lexical_model_scores(passaged: DataFrame, queries: DataFrame) -> DataFrame:
+
+def case_texts(chunks: DataFrame, cases: DataFrame, n: int = 6) -> DataFrame:
+    """query_id, doc_id, passage and guardrail_text, with one grouping of a case's chunks.
+
+    ``chunks``: query_id, doc_id, chunk_id, section_type, score, chunk_text, each
+    chunk once. Guardrails read the case's name, its reason and its first chunks,
+    key sections first.
+    """
+    section = F.col("section_type")
+    w = Window.partitionBy("query_id", "doc_id").orderBy((~section.isin(CASE_KEY_SECTIONS)).cast("int"), section_place(section, RERANK_ORDER), F.desc("score"), F.asc("chunk_id"))
+    rows = pick_best(chunks).withColumn("_at", F.row_number().over(w)).where((F.col("pick") <= n) | (F.col("_at") <= GUARDRAIL_CHUNKS))
+    entry = F.when(F.col("pick") <= n, passage_entry(section, F.col("pick"), F.col("chunk_text")))
+    said = F.when(F.col("_at") <= GUARDRAIL_CHUNKS, F.struct("_at", F.concat_ws(" ", _section_label(section), "chunk_text").alias("said")))
+    per = rows.groupBy("query_id", "doc_id").agg(F.collect_list(entry).alias("xs"), F.collect_list(said).alias("ys"))
+    rows = per.join(cases.select("doc_id", "case_name", "reason"), "doc_id", "left")
+    whole = F.concat_ws(" ", "case_name", "reason", F.array_join(F.transform(F.array_sort("ys"), lambda x: x["said"]), " "))
+    return rows.select("query_id", "doc_id", passage_text(F.col("xs"), F.col("case_name"), F.col("reason")).alias("passage"), tx.compact(whole, GUARDRAIL_LIMIT).alias("guardrail_text"))
+
+
+def lexical_model_score(query: Column, passage: Column) -> Column:
     """Deterministic stand-in for a cross encoder: share of query tokens in the passage."""
-    words = lambda c: F.array_distinct(tx.tokens(F.col(c)))
-    rows = passaged.join(queries, "query_id")
-    share = F.size(F.array_intersect(words("query_text"), words("passage"))) / F.greatest(F.lit(1), F.size(words("query_text")))
-    return rows.select("query_id", "doc_id", F.round(share, 6).alias("model_score"))
+    words = F.array_distinct(tx.tokens(query))
+    return F.round(F.size(F.array_intersect(words, F.array_distinct(tx.tokens(passage)))) / F.greatest(F.lit(1), F.size(words)), 6)

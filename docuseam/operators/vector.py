@@ -15,50 +15,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, dims: int = 64) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best of each query by (1 + cosine) / 2.
 
     ``queries``: query_id, embedding; ``vectors``: vec_id, embedding. Products
     are computed in double and rounded to 6 digits before ranking, ties by id.
+    Null vectors, and vectors of another length than the queries', have no row.
     Every task keeps its k best of each query, so what is shuffled does not grow
     with the vectors of a task. Queries are broadcast in blocks of bounded size.
     """
     spark = vectors.sparkSession
-    total = queries.count()
-    per = max(1, BLOCK_NUMBERS // dims)
-    blocks = max(1, -(-total // per))
+    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    total, dims = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    asked = asked.where(F.size("embedding") == (dims or 0))
+    blocks = max(1, -(-total // max(1, BLOCK_NUMBERS // (dims or 1))))
+    rows = vectors.where(F.size("embedding") == (dims or 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     out = None
     for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = part.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
+        got = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
         ids = got["query_id"].to_numpy()
-        if not len(ids):
-            continue
-        shared = spark.sparkContext.broadcast((ids, _unit(np.array(got["embedding"].to_pylist(), float))))
-        found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_scan(shared, k), "query_id long, vec_id long, score double")
+        shared = spark.sparkContext.broadcast((ids, _unit(_matrix(got["embedding"], len(ids)))))
+        found = rows.mapInArrow(_scan(shared, k), "query_id long, vec_id long, score double")
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(column, n: int) -> np.ndarray:
+    """The rows of a column of lists of one length."""
+    flat = pa.chunked_array(column).combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+
+
 def _scan(shared, k: int):
     def run(batches):
         ids, q = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        names, scores = np.zeros(0, np.int64), np.zeros((len(ids), 0))
+        held: list[tuple[np.ndarray, np.ndarray]] = [(names, scores[i]) for i in range(len(ids))]
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(ids):
                 continue
             names = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.array(batch.column(1).to_pylist(), float)
-            scores = np.round((1 + q @ _unit(x).T) / 2, 6)
-            for i in range(len(ids)):
-                n = np.concatenate([held[i][0], names])
-                s = np.concatenate([held[i][1], scores[i]])
+            x = _unit(_matrix(batch.column(1), batch.num_rows))
+            scores = np.round((1 + q @ x.T) / 2, 6)
+            # only what reaches a query's k-th best so far is sorted in
+            least = np.array([s[-1] if len(s) == k else -1.0 for _, s in held])
+            for i in np.flatnonzero((scores >= least[:, None]).any(axis=1)):
+                some = np.flatnonzero(scores[i] >= least[i])
+                n, s = np.concatenate([held[i][0], names[some]]), np.concatenate([held[i][1], scores[i][some]])
                 best = np.lexsort((n, -s))[:k]
                 held[i] = (n[best], s[best])
         sizes = [len(n) for n, _ in held]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([n for n, _ in held])), pa.array(np.concatenate([s for _, s in held]))], ["query_id", "vec_id", "score"])
+        found = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, [n for n, _ in held]), (float, [s for _, s in held]))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(found[0]), pa.array(found[1])], ["query_id", "vec_id", "score"])
 
     return run

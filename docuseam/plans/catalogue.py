@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..constants import DISPUTE_TERMS, FOCUS_SECTIONS, KEY_SECTIONS, LEGAL_SECTIONS, RERANK_ORDER, ROUTES, SECTION_ORDER, SECTION_WEIGHTS
+from ..constants import DISPUTE_TERMS, FOCUS_SECTIONS, GROUP_ORDER, KEY_SECTIONS, LEGAL_SECTIONS, OTHER_BUDGET, PASSAGE_LIMIT, RERANK_BUDGETS, RERANK_GROUPS, RERANK_ORDER, ROUTES, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
 from ..functions import text as tx
 from ..operators import corpus, evaluation, fusion, lexical, profile, rerank, results, tuning, upkeep, vector
 from ..streaming import incremental
 from . import search as plan
 
 SIZE = 30  # candidates of a route
+MARKS = ["the ", "der ", "que "]
+REQUIRED = [{"name": "one", "query_any": ["the", "der"], "doc_any": ["thth"], "penalty": 0.18}, {"name": "two", "query_all": ["e"], "query_any": ["que"], "doc_any": ["ción"], "penalty": 0.1}]
+CONFLICTS = [{"name": "three", "query_any": ["tion"], "doc_any": ["ung"], "absent": ["the "], "penalty": 0.14}]
 TERMS = ["the", "and", "tion", "que", "ung", "ción"]
 
 
@@ -147,18 +150,18 @@ def corpus_stats(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    return lexical.top_k(lexical.bm25(_queries(spark, sf), _chunks(spark, sf)), 10)
+    return lexical.top_k(lexical.bm25_top(_queries(spark, sf), _chunks(spark, sf), 10), 10)
 
 
 def bm25_multifield(spark, sf):
     docs = _t(spark, sf, "documents").withColumn("title", F.concat_ws(" ", "source", "lang"))
     queries = _queries(spark, sf).withColumn("query_text", F.concat_ws(" ", "query_text", F.lit("en src1")))
-    return lexical.top_k(lexical.best_field(queries, docs, {"text": 3.0, "title": 1.4}, "doc_id"), 10, key="doc_id")
+    return lexical.top_k(lexical.best_field(queries, docs, {"text": 3.0, "title": 1.4}, 10, "doc_id"), 10, key="doc_id")
 
 
 def bm25_filtered(spark, sf):
     rows = _chunks(spark, sf).where(lexical.exact_or_phrase(F.col("lang"), "en") & (F.col("section_type") == "fine_rule"))
-    return lexical.top_k(lexical.bm25(_queries(spark, sf), rows), 10)
+    return lexical.top_k(lexical.bm25_top(_queries(spark, sf), rows, 10), 10)
 
 
 def date_range_filter(spark, sf):
@@ -252,7 +255,33 @@ def hybrid_search(spark, sf):
 
 def passage_build(spark, sf):
     picked = fusion.best_per_section(_hits(spark, sf)).join(_chunks(spark, sf).select("chunk_id", "chunk_text"), "chunk_id", "left")
-    return rerank.passages(picked)
+    return rerank.passages(picked, corpus.case_docs(_t(spark, sf, "documents")))
+
+
+def guardrail_penalty(spark, sf):
+    """Guardrails with factors of these texts' own words, each query against its cases' documents."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("doc"))
+    rows = _cases(spark, sf).join(docs, "doc_id").join(_queries(spark, sf), "query_id")
+    g = rerank.guardrail(F.col("query_text"), F.col("doc"), REQUIRED, CONFLICTS)
+    return rows.select("query_id", "doc_id", g.alias("g")).select("query_id", "doc_id", F.round("g.penalty", 6).alias("penalty"), F.round("g.bonus", 6).alias("bonus"), F.array_join("g.missing", ",").alias("missing"), F.array_join("g.conflicts", ",").alias("conflicts"))
+
+
+def profile_bonus(spark, sf):
+    """The bonus of every chunk under one profile of these texts' own words."""
+    lists = {"reasons": ["fr", "tion."], "relations": ["the ", "der "], "requests": ["que "], "negatives": [], "statutes": ["la "]}
+    made = F.struct(*[tx.strings(v).alias(k) for k, v in lists.items()])
+    bonus = profile.profile_bonus(made, F.col("chunk_text"), F.col("lang"), F.col("section_type"), F.array(F.col("source")))
+    return _chunks(spark, sf).select("chunk_id", F.round(bonus, 6).alias("bonus"))
+
+
+def marker_split(spark, sf):
+    parts = corpus.marker_parts(F.col("text"), f"(?=(?:{'|'.join(MARKS)}))")
+    return _t(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("pos", "unit"))
+
+
+def chunk_fixed_split(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", F.lit("claims").alias("section_type"), F.col("text").alias("section_text"))
+    return corpus.split_sections(rows).select("doc_id", F.col("chunk_index_in_section").alias("pos"), F.length("chunk_text").alias("n"), F.sha2(F.col("chunk_text").cast("binary"), 256).alias("hash"))
 
 
 def advisor_fallback(spark, sf):
@@ -362,7 +391,7 @@ QUERIES = {f.__name__: f for f in (
     compact_text, clean_text, clause_split, term_hits, query_profile, route_expansion, case_projection, full_text_assembly, section_unpivot, chunk_ordinals, chunk_links, chunk_hashes, embedding_text,
     section_counts, line_numbers, context_window, anchor_slice, corpus_stats, bm25_topk, bm25_multifield, bm25_filtered, date_range_filter, knn_cosine_topk, knn_filtered, route_hits, chunk_rrf,
     route_case_ranking, case_rrf, case_aggregate_alt, chunk_merge, top_chunks_per_case, rerank_chunk_pick, best_chunk_per_section, minmax_normalize, structure_adjustment, rerank_fusion, rank_safe,
-    result_entry, public_result, hybrid_search, passage_build, advisor_fallback, citations_valid, query_metrics, metrics_by_group, diagnosis, diagnosis_summary, missed_positives, method_comparison,
+    result_entry, public_result, hybrid_search, passage_build, guardrail_penalty, profile_bonus, marker_split, chunk_fixed_split, advisor_fallback, citations_valid, query_metrics, metrics_by_group, diagnosis, diagnosis_summary, missed_positives, method_comparison,
     scorer, scorer_no_anchor, grade_counts, judge_agreement, dedup_first, grid_refuse, best_runs, resume_anti_join, cache_upsert, point_lookup, set_ops, json_fields, stream_windows, sessions,
 )}
 
@@ -410,14 +439,17 @@ _KNN = """
 qv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS e, label AS query_label FROM benchmark JOIN embeddings ON item_id = vec_id),
 sim AS (SELECT query_id, vec_id, label, round((1 + list_cosine_similarity(e, embedding::DOUBLE[])) / 2, 6) AS score FROM qv, embeddings),
 knn AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim)"""
+# these queries' profiles name no terms, so only the section decides the bonus; profile_bonus has the rest
+_BONUS = "(CASE WHEN section_type IN ('fine_tags', 'focus_tags', 'defense', 'judgment') THEN 0.03 WHEN section_type IN ('fine_rule', 'focus_analysis') THEN 0.02 WHEN section_type IN ('reasoning', 'facts') THEN 0.04 WHEN section_type IN ('header', 'statutes') THEN -0.03 ELSE 0 END)::DOUBLE"
 _SECTION_ROUTES = {s: (n, w) for n, _, w, s in ROUTES if s}
 _HITS = f"""{_CHUNKS}, {_Q}, {_bm25("ch", "chunk_id", "chunk_text", "q", "bm")}, {_KNN},
 sc AS (SELECT query_id, id AS chunk_id, score, split_part(id, '#', 1)::BIGINT AS doc_id, split_part(id, '#', 2) AS section_type FROM bm),
-hits AS (
+hits0 AS (
  SELECT query_id, 'bm25_raw' AS route, 1.0::DOUBLE AS weight, chunk_id, doc_id, section_type, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM sc) WHERE r <= {SIZE}
  UNION ALL SELECT query_id, 'bm25_' || section_type, (CASE section_type {" ".join(f"WHEN '{s}' THEN {w}" for s, (_, w) in _SECTION_ROUTES.items())} END)::DOUBLE, chunk_id, doc_id, section_type, score
    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, section_type ORDER BY score DESC, chunk_id) AS r FROM sc WHERE section_type IN {_IN(_SECTION_ROUTES)}) WHERE r <= {SIZE}
  UNION ALL SELECT query_id, 'vector_raw', 0.8::DOUBLE, printf('%d#header#00#000', vec_id), vec_id, 'header', score FROM knn WHERE rank <= {SIZE}),
+hits AS (SELECT * REPLACE (round(score + {_BONUS}, 6) AS score) FROM hits0),
 merged AS (SELECT query_id, doc_id, chunk_id, section_type, max(score) AS score, list_sort(list(DISTINCT route)) AS sources FROM hits GROUP BY ALL)"""
 _CASE = f"""{_HITS},
 rc0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, route, doc_id ORDER BY score DESC, chunk_id) AS n FROM hits),
@@ -466,6 +498,22 @@ _LABEL = """CASE WHEN positive_count = 0 THEN 'no_positive' WHEN NOT top100_has_
 _DIAG = f"{_EVAL}, dg AS (SELECT *, {_LABEL} AS label FROM m), dz AS (SELECT *, CASE label WHEN 'no_positive' THEN 'excluded' WHEN 'recall_failure' THEN 'recall' WHEN 'good' THEN 'good' ELSE 'ranking' END AS bucket FROM dg)"
 _MEANS = ", ".join(f"round(avg({x}), 6) AS {x}" for x in evaluation.MEANS)
 _PICK = "row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {o})::INT"
+_FIRST = f"own = 1 AND section_type IN {_IN(RERANK_ORDER)}"
+_BEST = _PICK.format(o=f"NOT ({_FIRST}), CASE WHEN {_FIRST} THEN {_PLACE} ELSE (section_type NOT IN {_IN(LEGAL_SECTIONS)})::INT END, CASE WHEN {_FIRST} THEN 0 ELSE -score END, {_PLACE}, chunk_id")
+
+
+def _case(x: str, table: dict, other) -> str:
+    lit = lambda v: "NULL" if v is None else repr(v)
+    return f"CASE {x} {' '.join(f'WHEN {k!r} THEN {lit(v)}' for k, v in table.items())} ELSE {lit(other)} END"
+
+
+def _stop(a: str, most: int = 760) -> str:
+    """End of the piece that starts at ``a``: after the last full stop or line feed of its second half."""
+    half = most // 2
+    back = f"list_min(list_filter([strpos(reverse(substring(t, {a} + {half} + 1, {most - half})), m) for m in ['。', chr(10)]], lambda i: i > 0))"
+    return f"CASE WHEN length(t) <= {a} + {most} THEN length(t) ELSE {a} + {most} + 1 - coalesce({back}, 1) END"
+
+
 _SCORER = "SELECT round(avg(coalesce(expected_ndcg_10, 0)), 6) AS ndcg_10, round(avg(recall_20), 6) AS recall_20, round(avg(mrr), 6) AS mrr, round(avg(map), 6) AS map, count(*) AS queries FROM {m}"
 
 ORACLES = {
@@ -507,7 +555,7 @@ ORACLES = {
     "chunk_merge": f"WITH {_HITS} SELECT query_id, chunk_id, score, array_to_string(sources, ',') AS sources, len(sources)::INT AS n_raw FROM merged",
     "top_chunks_per_case": f"WITH {_HITS} SELECT query_id, doc_id, chunk_id, {_PICK.format(o='score DESC, chunk_id')} AS chunk_rank FROM merged QUALIFY chunk_rank <= 3",
     "rerank_chunk_pick": f"WITH {_HITS} SELECT query_id, doc_id, chunk_id, {_PICK.format(o=f'section_type NOT IN {_IN(KEY_SECTIONS)}, {_PLACE}, score DESC, chunk_id')} AS pick FROM merged QUALIFY pick <= 8",
-    "best_chunk_per_section": f"WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, section_type ORDER BY score DESC, chunk_id) AS own FROM merged) SELECT query_id, doc_id, chunk_id, {_PICK.format(o=f'NOT (own = 1 AND section_type IN {_IN(RERANK_ORDER)}), {_PLACE}, score DESC, chunk_id')} AS pick FROM o QUALIFY pick <= 6",
+    "best_chunk_per_section": f"WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, section_type ORDER BY score DESC, chunk_id) AS own FROM merged) SELECT query_id, doc_id, chunk_id, {_BEST} AS pick FROM o QUALIFY pick <= 6",
     "minmax_normalize": f"WITH {_CASE}, w AS (SELECT *, min(case_score) OVER (PARTITION BY query_id) AS lo, max(case_score) OVER (PARTITION BY query_id) AS hi FROM cs) SELECT query_id, doc_id, round(CASE WHEN hi <= lo THEN 1.0::DOUBLE ELSE (case_score - lo) / (hi - lo) END, 6) AS normal FROM w",
     "structure_adjustment": f"WITH {_HITS}, {_SECTS} SELECT query_id, doc_id, round(a, 6) AS adjustment FROM adj",
     "rerank_fusion": f"WITH {_FUSED} SELECT query_id, doc_id, case_rank, fused_score, rerank_rank FROM f4",
@@ -516,6 +564,30 @@ ORACLES = {
       SELECT query_id, doc_id, safe_score, row_number() OVER (PARTITION BY query_id ORDER BY safe_score DESC, rerank_rank)::INT AS safe_rank FROM g1""",
     "result_entry": f"WITH {_CASE} SELECT query_id, case_rank, doc_id, case_score, coalesce(source || ' ' || lang, '') AS case_name, coalesce(source, '') AS court_name, coalesce(lang, '') AS reason FROM cs LEFT JOIN documents USING (doc_id) WHERE case_rank <= 10",
     "public_result": f"WITH {_CASE}, {_QRELS} SELECT query_id, doc_id, case_rank, coalesce(grade, 0) AS grade, doc_id = query_id AS is_anchor, grade IS NOT NULL AS is_judged, coalesce(grade, 0) >= 2 AS is_positive, coalesce(grade, 0) = 1 AS is_weak FROM cs LEFT JOIN qrels USING (query_id, doc_id)",
+    "route_expansion": f"""WITH {_Q}, r AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', '{t}', {w}::DOUBLE, {'NULL' if x is None else repr(x)})" for i, (n, t, w, x) in enumerate([r for r in ROUTES if r[3] or r[0].endswith('_raw')]))}) v(route_ord, route, route_type, weight, section_type))
+      SELECT query_id, route_ord, route, route_type, weight, section_type, {_compact('query_text')} AS query FROM q, r""",
+    "passage_build": f"""WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, section_type ORDER BY score DESC, chunk_id) AS own FROM merged),
+      p AS (SELECT query_id, doc_id, chunk_id, section_type, {_BEST} AS pick FROM o QUALIFY pick <= 6),
+      t AS (SELECT p.*, {_compact("coalesce(chunk_text, '')")} AS body, {_case('p.section_type', RERANK_BUDGETS, OTHER_BUDGET)} AS budget, {_case('p.section_type', RERANK_GROUPS, GROUP_ORDER[-1])} AS grp, coalesce({_case('p.section_type', SECTION_TITLES, None)}, p.section_type) AS label FROM p LEFT JOIN ch USING (chunk_id)),
+      e AS (SELECT query_id, doc_id, pick, grp, list_position({GROUP_ORDER}, grp) AS place, label || '：' || CASE WHEN length(body) > budget THEN body[1:budget - 1] || '…' ELSE body END AS entry FROM t WHERE body <> ''),
+      g AS (SELECT query_id, doc_id, place, grp || ' ' || string_agg(entry, ' ' ORDER BY pick) AS block FROM e GROUP BY query_id, doc_id, place, grp),
+      w AS (SELECT query_id, doc_id, string_agg(block, ' ' ORDER BY place) AS blocks FROM g GROUP BY ALL),
+      a AS (SELECT DISTINCT query_id, doc_id FROM p),
+      x AS (SELECT query_id, doc_id, {_compact("concat_ws(' ', CASE WHEN lang IS NOT NULL THEN '【案件类型】 案名：' || source || ' ' || lang || ' 案由：' || lang END, blocks)")} AS t FROM a LEFT JOIN w USING (query_id, doc_id) LEFT JOIN documents USING (doc_id))
+      SELECT query_id, doc_id, CASE WHEN length(t) > {PASSAGE_LIMIT} THEN t[1:{PASSAGE_LIMIT} - 1] || '…' ELSE t END AS passage FROM x""",
+    "guardrail_penalty": f"""WITH {_CASE}, d AS (SELECT query_id, doc_id, text AS doc, {_compact('query_text')} AS qt FROM cs JOIN documents USING (doc_id) JOIN q USING (query_id)),
+      f AS (SELECT *, contains(qt, 'the') OR contains(qt, 'der') AS a1, contains(doc, 'thth') AS h1, contains(qt, 'e') AND contains(qt, 'que') AS a2, contains(doc, 'ción') AS h2, contains(qt, 'tion') AND contains(doc, 'ung') AND NOT contains(doc, 'the ') AS b3 FROM d)
+      SELECT query_id, doc_id, round(least(0.35::DOUBLE, CASE WHEN a1 AND NOT h1 THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN a2 AND NOT h2 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN b3 THEN 0.14::DOUBLE ELSE 0 END), 6) AS penalty,
+        CASE WHEN (a1 AND h1 OR a2 AND h2) AND NOT (a1 AND NOT h1) AND NOT (a2 AND NOT h2) AND NOT b3 THEN round(least(0.02::DOUBLE, 0.008::DOUBLE * ((a1 AND h1)::INT + (a2 AND h2)::INT)), 6) ELSE 0::DOUBLE END AS bonus,
+        concat_ws(',', CASE WHEN a1 AND NOT h1 THEN 'one' END, CASE WHEN a2 AND NOT h2 THEN 'two' END) AS missing, CASE WHEN b3 THEN 'three' ELSE '' END AS conflicts FROM f""",
+    "profile_bonus": f"""WITH {_CHUNKS}, t AS (SELECT *, {_compact('chunk_text')} AS body FROM ch) SELECT chunk_id, round(greatest(-0.05::DOUBLE, least(0.28::DOUBLE, {_BONUS} + CASE WHEN lang = 'fr' OR contains(body, 'fr') OR contains(body, 'tion.') THEN 0.08 ELSE 0 END::DOUBLE
+      + CASE WHEN contains(body, 'the ') OR contains(body, 'der ') THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN contains(body, 'que ') THEN 0.04 ELSE 0 END::DOUBLE + CASE WHEN contains(body, 'la ') OR contains(source, 'la ') THEN 0.05 ELSE 0 END::DOUBLE)), 6) AS bonus FROM t""",
+    "marker_split": f"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS ln FROM (SELECT doc_id, {_clean('text')} AS t FROM documents)),
+      u AS (SELECT doc_id, ln, unnest(p) AS unit, unnest(range(len(p))) AS k FROM (SELECT doc_id, ln, string_split(regexp_replace(line, '({'|'.join(MARKS)})', chr(1) || '\\1', 'g'), chr(1)) AS p FROM l)),
+      c AS (SELECT doc_id, ln, k, {_clean('unit')} AS unit FROM u) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) - 1)::INT AS pos, unit FROM c WHERE unit <> ''""",
+    "chunk_fixed_split": f"""WITH RECURSIVE c AS (SELECT doc_id, {_clean('text')} AS t FROM documents), r AS (SELECT doc_id, t, 0::BIGINT AS a, {_stop('0')} AS b FROM c WHERE t <> '' UNION ALL SELECT doc_id, t, b, {_stop('b')} FROM r WHERE b < length(t)),
+      p AS (SELECT doc_id, a, {_clean('substring(t, a + 1, b - a)')} AS piece FROM r)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS pos, length(piece)::INT AS n, sha256(piece) AS hash FROM p WHERE piece <> ''""",
     "advisor_fallback": f"WITH {_CASE} SELECT query_id, string_agg(case_rank || '. ' || coalesce(source || ' ' || lang, '') || ' [' || doc_id || ']', chr(10) ORDER BY case_rank) AS answer FROM cs LEFT JOIN documents USING (doc_id) WHERE case_rank <= 3 GROUP BY ALL",
     "citations_valid": f"WITH {_CASE} SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS cited FROM cs WHERE case_rank <= 10 GROUP BY ALL",
     "query_metrics": f"WITH {_EVAL} SELECT * REPLACE (first_positive_rank::INT AS first_positive_rank) FROM m",

@@ -2,61 +2,128 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import weakref
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..constants import ROUTES
-from ..operators import fusion, lexical, rerank, results, vector
+from ..constants import CASE_KEY_SECTIONS
+from ..operators import fusion, lexical, profile, rerank, results, vector
+
+#: Hits up to this many rows are small enough to be broadcast to the chunks they name.
+SMALL_ROWS = 200_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """The frame with a broadcast hint if its bound of rows allows it; else a shuffle joins it."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
 
+def _doc(chunk_id: Column) -> Column:
+    return F.substring_index(chunk_id, "#", 1).cast("long")
 
-def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config: SearchConfig) -> DataFrame:
-    """Hits of the raw and section routes.
 
-    ``queries``: query_id, query_text, embedding. Section routes share their
-    query, so each chunk is scored once and the best are taken per section.
-    Document vectors hit their document as a whole, as section ``header``.
+def query_routes(queries: DataFrame, config: SearchConfig, rewrite: str | None = None) -> DataFrame:
+    """The routes of every query's profile with the weights of the settings.
+
+    ``text_id`` names a query's text: routes with the same text share its search.
+    """
+    rows = profile.routes(profile.add_profile(queries), rewrite)
+    given = F.create_map(*[F.lit(x) for kv in (config.route_weights or {"": 0.0}).items() for x in (kv[0], float(kv[1]))])
+    same = Window.partitionBy("query_id", "query")
+    lead = F.min("route_ord").over(same).cast("string")
+    return rows.withColumn("weight", F.coalesce(F.try_element_at(given, F.col("route")), F.col("weight"))).withColumn("text_id", F.concat_ws(":", F.col("query_id").cast("string"), lead))
+
+
+def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config: SearchConfig, rewrite: str | None = None) -> DataFrame:
+    """Hits of all routes of the queries' profiles: query_id, route, weight, chunk_id, doc_id, section_type, score.
+
+    ``queries``: query_id, query_text, embedding and, for the focus route of the
+    vectors, focus_embedding; ``rewrite`` names a struct as in ``profile.routes``.
+    Each distinct text of a query is scored once; its best chunks are taken for
+    the routes over all sections, and per section for the section routes. The
+    profile's bonus is added to a route's candidates afterwards. Document
+    vectors hit their document as a whole, as section ``header``.
     """
     size, parts = config.candidate_size, []
-    weight = {n: config.route_weights.get(n, w) for n, _, w, _ in ROUTES}
+    asked = query_routes(queries, config, rewrite).persist()  # two passes over the queries below read them
+    bound = asked.count() * size
     if config.mode in ("hybrid", "bm25"):
-        scored = lexical.bm25(queries.select("query_id", "query_text"), chunks)
-        scored = scored.withColumn("doc_id", F.substring_index("chunk_id", "#", 1).cast("long")).withColumn("section_type", F.split("chunk_id", "#")[1])
-        raw = lexical.top_k(scored, size).select("query_id", F.lit("bm25_raw").alias("route"), F.lit(weight["bm25_raw"]).alias("weight"), "chunk_id", "doc_id", "section_type", "score")
-        own = {s: n for n, t, _, s in ROUTES if s}
-        by_section = lexical.top_k(scored.where(F.col("section_type").isin(list(own))), size, ("query_id", "section_type"))
-        name = F.concat(F.lit("bm25_"), F.col("section_type"))
-        table = F.create_map(*[F.lit(x) for n in own.values() for x in (n, weight[n])])
-        parts += [raw, by_section.select("query_id", name.alias("route"), F.element_at(table, name).alias("weight"), "chunk_id", "doc_id", "section_type", "score")]
+        lexed = asked.where("route_type = 'bm25'")
+        texts = lexed.select(F.col("text_id").alias("query_id"), F.col("query").alias("query_text")).distinct()
+        scored = lexical.bm25_top(texts, chunks, size, group="section_type").withColumnRenamed("query_id", "text_id")
+        mine = lexed.select("text_id", "query_id", "route", "weight", F.col("section_type").alias("wanted"))
+        best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("chunk_id"))) <= size
+        # one shuffle by the text serves both ranks
+        scored = scored.repartition("text_id").withColumn("whole", best("text_id")).withColumn("own", best("text_id", "section_type")).where("whole OR own")
+        hit = F.when(F.col("wanted").isNull(), F.col("whole")).otherwise((F.col("wanted") == F.col("section_type")) & F.col("own"))
+        found = scored.join(mine, "text_id").where(hit)
+        parts.append(found.select("query_id", "route", "weight", "chunk_id", _doc(F.col("chunk_id")).alias("doc_id"), "section_type", "score"))
     if config.mode in ("hybrid", "vector"):
-        found = vector.knn(queries.select("query_id", "embedding").where("embedding IS NOT NULL"), vectors, size)
-        parts.append(found.select("query_id", F.lit("vector_raw").alias("route"), F.lit(weight["vector_raw"]).alias("weight"), F.format_string("%d#header#00#000", "vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.lit("header").alias("section_type"), "score"))
+        for route, column in (("vector_raw", "embedding"), ("vector_focus", "focus_embedding")):
+            if column not in queries.columns:
+                continue
+            found = vector.knn(queries.select("query_id", F.col(column).alias("embedding")), vectors, size)
+            found = found.join(asked.where(F.col("route") == route).select("query_id", "route", "weight"), "query_id")
+            parts.append(found.select("query_id", "route", "weight", F.format_string("%d#header#00#000", "vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.lit("header").alias("section_type"), "score"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = with_bonus(out, queries, chunks, bound)
+    weakref.finalize(out, asked.unpersist)
     return out
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Ranked cases of every query with their fields."""
+def with_bonus(hits: DataFrame, queries: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:
+    """Add the profile's bonus to every hit's score. ``bound``: at most so many hits there are."""
+    named = _small(hits.select("chunk_id").distinct(), bound)
+    told = chunks.join(named, "chunk_id", "left_semi").select("chunk_id", "chunk_text", F.col("lang").alias("reason"))
+    rows = hits.join(told, "chunk_id", "left").join(profile.add_profile(queries.select("query_id", "query_text")).drop("query_text"), "query_id")
+    bonus = profile.profile_bonus(F.col("profile"), F.coalesce("chunk_text", F.lit("")), F.coalesce("reason", F.lit("")), F.col("section_type"), F.lit(None).cast("array<string>"))
+    return rows.withColumn("score", F.round(F.col("score") + bonus, 6)).select(*hits.columns)
+
+
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig(), rewrite: str | None = None) -> DataFrame:
+    """Ranked cases of every query with their fields. The hits stay cached as long as the returned frame lives."""
     config = config.validate()
-    hits = route_hits(queries, chunks, vectors, config).persist()  # several steps below read them
+    hits = route_hits(queries, chunks, vectors, config, rewrite).persist()  # several steps below read them
     ranked = fusion.case_rrf(hits, config.chunk_top_k)
     if config.rerank:
-        ranked = reranked(hits, ranked, queries, chunks, config)
-    return results.result_entries(ranked, cases, config.top_k)
+        ranked = reranked(hits, ranked, queries, chunks, cases, config)
+    out = results.result_entries(ranked, cases, config.top_k)
+    weakref.finalize(out, hits.unpersist)
+    return out
+
+
+def case_chunks(hits: DataFrame, head: DataFrame, chunks: DataFrame, per_case: int = 8, bound: int = SMALL_ROWS + 1) -> DataFrame:
+    """What the reranker may read of a query's head cases: their hit chunks and their key chunks, each once, with text.
+
+    Key chunks are those of the key sections in order of case and place, so many
+    per case on average; looked up, not searched, they have score 0. ``bound``:
+    at most so many rows ``head`` has. Chunks are read once.
+    """
+    named = _small(head.select("query_id", "doc_id"), bound)
+    every = chunks.select("doc_id", "chunk_id", "section_type", "section_index", "chunk_text").join(named, "doc_id")
+    key = F.col("section_type").isin(CASE_KEY_SECTIONS)
+    turn = F.row_number().over(Window.partitionBy("query_id", key).orderBy("doc_id", "section_index", "chunk_id"))
+    most = F.size(F.collect_set("doc_id").over(Window.partitionBy("query_id"))) * per_case  # a head has a bounded number of cases
+    looked_up = every.withColumn("is_key", key & (turn <= most)).drop("section_index")
+    own = fusion.merged_chunks(hits).join(named, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "chunk_id", F.col("section_type").alias("hit_type"), "score")
+    both = looked_up.join(own, ["query_id", "doc_id", "chunk_id"], "full").where("is_key OR score IS NOT NULL")
+    return both.select("query_id", "doc_id", "chunk_id", F.coalesce("section_type", "hit_type").alias("section_type"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text"))
 
 
-def reranked(hits: DataFrame, ranked: DataFrame, queries: DataFrame, chunks: DataFrame, config: SearchConfig) -> DataFrame:
+def reranked(hits: DataFrame, ranked: DataFrame, queries: DataFrame, chunks: DataFrame, cases: DataFrame, config: SearchConfig) -> DataFrame:
     """Rerank the head by passages, structure and guardrails, with bounded promotion."""
-    head = ranked.where(F.col("case_rank") <= max(config.top_k, config.rerank_top_n))
-    picked = fusion.best_per_section(hits.join(head.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"))
-    picked = picked.join(chunks.select("chunk_id", "chunk_text"), "chunk_id", "left")
-    texts = rerank.passages(picked)
-    scores = rerank.lexical_model_scores(texts, queries.select("query_id", "query_text"))
-    guarded = texts.join(queries.select("query_id", "query_text"), "query_id").select("query_id", "doc_id", rerank.guardrail(F.col("query_text"), F.col("passage")).alias("g"))
+    most = max(config.top_k, config.rerank_top_n)
+    head = ranked.where(F.col("case_rank") <= most)
+    bound = queries.count() * most
+    texts = rerank.case_texts(case_chunks(hits, head, chunks, bound=bound), cases)
+    asked = profile.add_profile(queries.select("query_id", "query_text")).select("query_id", "query_text", profile.rerank_query(F.col("profile")).alias("asked"))
+    judged = texts.join(asked, "query_id").select("query_id", "doc_id", rerank.lexical_model_score(F.col("asked"), F.col("passage")).alias("model_score"), rerank.guardrail(F.col("query_text"), F.col("guardrail_text")).alias("g"))
     sections = hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("section_type")).alias("sections"))
-    rows = head.join(scores, ["query_id", "doc_id"], "left").join(guarded, ["query_id", "doc_id"], "left").join(sections, ["query_id", "doc_id"], "left")
+    rows = head.join(judged, ["query_id", "doc_id"], "left").join(sections, ["query_id", "doc_id"], "left")
     rows = rows.withColumn("penalty", F.coalesce("g.penalty", F.lit(0.0))).withColumn("bonus", F.coalesce("g.bonus", F.lit(0.0)))
     rows = rows.withColumn("flagged", F.coalesce(F.size("g.missing") + F.size("g.conflicts") > 0, F.lit(False)))
     safe = rerank.rank_safe(rerank.fuse(rows, config.rerank_top_n, config.rerank_weight), config.rank_safe)

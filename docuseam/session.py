@@ -18,3 +18,9 @@ def session(app: str = "docuseam", master: str | None = None, **more: str) -> Sp
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def bounded_batches(spark: SparkSession, size: int = 16 << 20, rows: int = 4000) -> None:
+    """Bound the Arrow batches that reach Python workers, so that long texts fit."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

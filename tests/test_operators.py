@@ -83,9 +83,9 @@ def test_splitters():
     text = "一。" * 1000
     parts = corpus.split_text(text, 900, 120)
     assert all(len(p) <= 900 for p in parts) and parts[0].endswith("。")
-    assert corpus.pack(["aa", "bb", "cccc"], 4) == ["aabb", "cccc"]
+    assert corpus.pack(["aa", "bb", "cccc", "d"], 5, 0) == ["aa\nbb", "cccc", "d"] and corpus.pack(["aa", "bb" * 4, "c"], 5, 0) == ["aa", "bbbbb", "bbb", "c"]
     assert corpus.merge_short_heads(["短", "这是一段足够长的文字内容在此"]) == ["短这是一段足够长的文字内容在此"]
-    assert corpus.split_section("facts", "起因。2020年1月1日签约。2021年2月3日交货。") == ["起因。2020年1月1日签约。2021年2月3日交货。"]
+    assert corpus.split_section("facts", "起因。2020年1月1日签约。2021年2月3日交货。") == ["起因。\n2020年1月1日签约。\n2021年2月3日交货。"]
 
 
 def test_split_sections_in_spark(spark):
