@@ -58,10 +58,14 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; set a local one only where none is set."""
+    """Keep the cluster's shared folder; a folder of the driver's is set only where driver and executors are one process."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -70,13 +74,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys with more than this share of the rows, and this many at least, are hot; so there are at most a thousand of them.
+HOT_SHARE, HOT_ROWS = 0.001, 10_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than a thousandth of all rows: counted with partial sums, a thousand at most."""
+    total = rows.count()
+    if total < HOT_ROWS:
+        return []
+    least = max(HOT_ROWS, int(HOT_SHARE * total))
+    found = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return [r[0] for r in found.select(key).collect()]
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a frame that has each key once, where some keys may hold most rows.
+
+    The partners of hot keys, a thousand at most, are broadcast, so that the rows
+    of such a key stay where they are; all others are shuffled as usual.
+    """
+    hot = hot_keys(rows, key)
+    if not hot:
+        return rows.join(few, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(few.where(is_hot)), key).unionByName(rows.where(~is_hot).join(few, key))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges`` has two columns ``a`` and ``b`` of one orderable type, in any
     direction. Alternates large-star and small-star steps until the set of
     edges no longer changes; each step is a group-by with partial aggregation
-    and a join on the node, so no group is gathered in one place. Returns
+    and a join on the node, in which hubs are dealt apart. Returns
     ``node`` and ``root``; nodes without edges are absent. Self loops and null
     ends are ignored.
     """
@@ -87,7 +118,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u links to u's smallest neighbour or u
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_hot(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: every smaller neighbour of u, and u, link to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -97,5 +128,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if sign == seen:
             break
         seen = sign
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import bounded_batches, connected_components, cut_lineage, ensure_checkpoint_dir, fresh_name, ship, shipped
+from .common import bounded_batches, connected_components, cut_lineage, ensure_checkpoint_dir, fresh_name, join_hot
 
 #: ASCII white space of the contract; other white space is part of a word.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -106,18 +106,17 @@ def link_fingerprints(prints: DataFrame, max_bits: int = 2, hot_list: int = 64)
     left = cold.select("slot", "key", F.col("fingerprint").alias("a"))
     right = cold.select("slot", "key", F.col("fingerprint").alias("b"))
     pairs = left.join(right, ["slot", "key"]).where("a < b").select("a", "b")
-    pairs = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits)  # count filter
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)  # verification
 
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)])
     hot = shared.where(F.col("n") > hot_list).select("fingerprint").distinct()
     near = hot.select("fingerprint", F.explode(F.transform(flips, lambda m: fp.bitwiseXOR(m))).alias("near"))
     first = near.groupBy("near").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = near.join(first, "near").where(F.col("fingerprint") != F.col("a")).select("a", F.col("fingerprint").alias("b"))
-    if max_bits < 2:  # neighbours of a common neighbour may be two bits apart
-        stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        stars = stars.union(near.where(F.col("near") != fp).join(hot.select(F.col("fingerprint").alias("near")), "near").select(F.col("near").alias("a"), F.col("fingerprint").alias("b")))
-    return pairs.union(stars).distinct()
+    if max_bits < 2:  # members of a common neighbour's list may be two bits apart, so links of one bit go to the neighbour itself
+        stars = near.where(F.col("near") != fp).join(hot.select(F.col("fingerprint").alias("near")), "near").select(F.col("near").alias("a"), F.col("fingerprint").alias("b"))
+    found = pairs.union(stars).distinct()
+    found = found.where(shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits)  # count filter
+    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)  # verification
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3, seed: int = 42, max_bits: int = 2) -> DataFrame:
@@ -137,18 +136,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     classes = classes.select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(lowest, "root").select("fingerprint", "component_id")
-    out = marked.join(classes, "fingerprint")
+    classes = join_hot(classes, lowest, "root").select("fingerprint", "component_id")
+    out = join_hot(marked, classes, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- near copies by similarity ---------------------------------------------
+#
+# At a similarity of 0.8 the bits of SimHash differ in 15 of 100 places, so no
+# tuple of its bytes is sure to be shared. The near-copy stage therefore fills
+# the positional bytes with minwise hashes of the shingles: each of them is
+# shared with the probability of the similarity itself. The rest is the same:
+# an index of tuples of positions, a tally of the shared bytes, verification.
 
 #: Odd factors of a shingle's words by place.
 _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-#: Shingles of so many texts of the sample count as common; at most so many are told to the tasks.
-SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 20
-#: Rounds in which the members of long lists are compared with a leader before what is still apart is paired.
+#: Positions of a key, and keys of a text: a pair at 0.8 shares a key with a probability of over 0.9999.
+POSITIONS, KEYS = 7, 42
+_FACTORS = np.random.default_rng(42).integers(1, 1 << 63, KEYS * POSITIONS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+#: Standard deviations that a pair's tally may lie under its mean at the similarity.
+SLACK = 4.5
+#: Rounds in which the members of a list are compared with a leader before what is still apart is paired.
 LEADER_ROUNDS = 2
 
 
@@ -168,9 +176,23 @@ def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """So many first shingles, in any one order of all, hold a shared one for every pair at this Jaccard similarity."""
-    return n - math.ceil(n * similarity - 1e-9) + 1 if n else 0
+def minwise(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The keys of a set of shingles and its positional bytes; an empty set has keys of its own."""
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 256):  # bounds what is held at once
+        np.minimum(low, (s[i : i + 256, None] * _FACTORS).min(axis=0), out=low)
+    mixed = low ^ (low >> np.uint64(31))
+    keys = np.zeros(KEYS, np.uint64)
+    for k, part in enumerate(mixed.reshape(KEYS, POSITIONS).T):
+        keys = (keys ^ (keys >> np.uint64(29))) * _PLACES[k % len(_PLACES)] + part
+    keys = (keys + np.arange(KEYS, dtype=np.uint64)) * _PLACES[0]
+    return keys ^ (keys >> np.uint64(32)), (mixed * _PLACES[1] >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def least_tally(similarity: float) -> int:
+    """So many positional bytes are shared at least, but for one pair of hundreds of thousands, at this similarity."""
+    n = KEYS * POSITIONS
+    return max(POSITIONS, math.floor(n * similarity - SLACK * math.sqrt(n * similarity * (1 - similarity))))
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -179,59 +201,46 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _common_shingles(docs: DataFrame, text: str, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sixteenth of the texts and their ranks, rarest first.
-
-    They only say which shingles come last in the order, so no result depends on them.
-    """
-
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["shingle"])
-
-    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
-    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
-    shingles = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
-    rank = np.arange(len(shingles), 0, -1)
-    order = np.argsort(shingles)
-    return shingles[order], rank[order]
-
-
-def _mark_rows(docs: DataFrame, text: str, shingle_words: int, similarity: float) -> tuple[DataFrame, dict[str, str]]:
-    """All columns and, under fresh names, a tag of the row, its set of shingles (node, size) and the posted keys; kept as Parquet in the shared folder."""
+def _mark_rows(docs: DataFrame, text: str, shingle_words: int) -> tuple[DataFrame, dict[str, str]]:
+    """All columns and, under fresh names, a tag of the row, its set of shingles (node), its keys and positional bytes; kept as Parquet in the shared folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
     ensure_checkpoint_dir(spark)
-    shared = ship(spark, _common_shingles(docs, text, shingle_words))
-    name = {c: fresh_name(docs, f"_{c}") for c in ("tag", "node", "size", "keys")}
+    name = {c: fresh_name(docs, f"_{c}") for c in ("tag", "node", "keys", "bytes")}
     tagged = docs.select("*", F.monotonically_increasing_id().alias(name["tag"]))
-    at, names = docs.columns.index(text), [*tagged.columns, name["node"], name["size"], name["keys"]]
+    at, names = docs.columns.index(text), [*tagged.columns, name["node"], name["keys"], name["bytes"]]
 
     def run(batches):
-        common, rank = shipped(shared)
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, keys, held = [], [], []
             for t in b.column(at):
                 s = shingle_set(t.as_py(), shingle_words)
-                n = prefix_length(len(s), similarity)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
-                sizes.append(len(s))
-                if len(common):
-                    place = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    late = np.where(common[place] == s, rank[place], 0)
-                    s = s[np.argsort(late, kind="stable")]
-                keys.append(s[:n].view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)])
+                k, x = minwise(s)
+                keys.append(k.view(np.int64))
+                held.append(x)
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
-            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), flat), pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
 
-    schema = StructType([*tagged.schema.fields]).add(name["node"], "long").add(name["size"], "long").add(name["keys"], ArrayType(LongType()))
+    schema = StructType([*tagged.schema.fields]).add(name["node"], "long").add(name["keys"], ArrayType(LongType())).add(name["bytes"], "binary")
     return _kept(spark, tagged.mapInArrow(run, schema)), name
 
 
+def _tallied(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Count filter: the pairs (a, b) that share as many positional bytes as the similarity asks for."""
+    side = lambda end: prints.select(F.col("id").alias(end), F.col("bytes").alias(f"bytes_{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bytes_a", "bytes_b")
+    least = least_tally(similarity)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, KEYS * POSITIONS) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' shingles are alike."""
     side = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
@@ -262,67 +271,60 @@ def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float, hot_list: int) -> DataFrame:
-    """``node`` and ``root``, tags of their first rows, of all sets of shingles (node, size, keys, tag, text) that have a near copy."""
+def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """``node`` and ``root``, tags of their first rows, of all sets of shingles (node, keys, bytes, tag, text) that have a near copy."""
     spark = rows.sparkSession
     kept = lambda df: _kept(spark, df)
-    # a set is named by its first row's tag from here on, which takes less room than its hash
-    prints = rows.groupBy("node").agg(F.min("tag").alias("id"), F.first("size").cast("int").alias("size"), F.first("keys").alias("keys"))
-    postings = prints.select("id", "size", F.explode("keys").alias("key")).repartition("key")
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = kept(postings.join(lists, "key").select("key", F.col("id").alias("node"), "size", F.col("n").cast("int").alias("n")))
-    texts = kept(rows.select(F.col("tag").alias("node"), "text").join(shared.select("node").distinct(), "node"))
-
-    def paired(side: DataFrame, apart: Column | None = None) -> DataFrame:
-        """Pairs of one list whose sizes allow the similarity."""
-        left, right = (side.select("key", *[F.col(c).alias(f"{c}_{end}") for c in side.columns if c != "key"]) for end in "ab")
-        fit = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
-        both = left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & fit)
-        both = both if apart is None else both.where(apart)
-        return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-    edges = kept(_verified(paired(shared.where(F.col("n") <= hot_list).select("key", "node", "size")), texts, shingle_words, similarity))
-    long = shared.where(F.col("n") > hot_list).select("key", "node", "size")
-    if long.isEmpty():
-        return connected_components(edges)
+    # a set is named by its first row's tag from here on
+    firsts = rows.groupBy("node").agg(F.min("tag").alias("tag"))
+    prints = rows.join(firsts.select("tag"), "tag", "left_semi").select(F.col("tag").alias("id"), "keys", "bytes")
+    postings = prints.select("id", F.explode("keys").alias("key"))
+    lists = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    shared = kept(postings.join(lists, "key").select("key", F.col("id").alias("node")))
+    some = shared.select("node").distinct()
+    signs = kept(prints.join(some.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "bytes"))
+    texts = kept(rows.select(F.col("tag").alias("node"), "text").join(some, "node", "left_semi"))
+    decided = lambda pairs: kept(_verified(_tallied(pairs.distinct(), signs, similarity), texts, shingle_words, similarity))
+
+    edges, apart = None, shared
     for k in range(LEADER_ROUNDS):
-        led = long.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(k))).alias("leader"))
-        stars = long.join(led, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        edges = edges.union(kept(_verified(stars.distinct(), texts, shingle_words, similarity)))
+        led = apart.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("leader"))
+        stars = apart.join(led, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        found = decided(stars)
+        edges = found if edges is None else edges.union(found)
         roots = connected_components(edges)
-        part = long.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        apart = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        long = kept(part.join(apart, "key", "left_semi"))
-        if long.isEmpty():
+        part = apart.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        apart = kept(part.join(mixed, "key", "left_semi"))
+        if apart.isEmpty():
             return roots
-    rest = _verified(paired(long, F.col("root_a") != F.col("root_b")), texts, shingle_words, similarity)
-    return connected_components(edges.union(rest))
+    left, right = (apart.select("key", F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
+    rest = left.join(right, "key").where("a < b AND root_a <> root_b").select("a", "b")
+    return connected_components(edges.union(decided(rest)))
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: ``doc_id`` and ``component_id`` of near copies at this similarity of their shingles.
 
     Links are pairs whose sets of distinct shingles have this Jaccard similarity.
-    The index posts a prefix of each set, in one order of all shingles: of n
-    shingles the first n - ceil(similarity n) + 1, so every such pair meets.
-    Shingles that are common in a sample come last in the order, which keeps
-    lists short and changes no result. Candidates are decided by the shingles of
-    their texts. Equal sets are merged first. Members of a list of over
-    ``hot_list`` are compared with leaders, and whatever these leave in
-    different groups is then paired in full, so no link between groups is lost.
-    Lists of many sets that are not alike thus cost pairs. Nulls, empty texts and repeated
-    rows are as in ``simhash_groups``.
+    Equal sets are merged first. The index posts each set under ``KEYS`` tuples
+    of ``POSITIONS`` positional bytes, minwise hashes of its shingles; pairs that
+    meet get their shared bytes tallied, and those with enough are decided by the
+    shingles of their texts. The members of a list are compared with leaders, and
+    whatever these leave in different groups is then paired in full, so no list
+    is capped. Nulls, empty texts and repeated rows are as in ``simhash_groups``.
     """
-    marked, name = _mark_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle_words, similarity)
+    marked, name = _mark_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle_words)
     rows = marked.select("doc_id", "text", *[F.col(n).alias(c) for c, n in name.items()])
-    roots = _near_copy_roots(rows, shingle_words, similarity, hot_list)
+    roots = _near_copy_roots(rows, shingle_words, similarity)
     prints = rows.groupBy(F.col("node").alias("set")).agg(F.min("tag").alias("node"), F.min("doc_id").alias("first_id"))
     classes = prints.join(roots, "node", "left").select("set", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", F.col("node").alias("set")).join(classes.join(lowest, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
+    classes = join_hot(classes, lowest, "root").select("set", "component_id")
+    return join_hot(rows.select("doc_id", F.col("node").alias("set")), classes, "set").select("doc_id", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, hot_list: int = 8) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents without their near copies: of each group the row with the smallest id stays.
 
     Of rows of a group that share that id, the one with the smallest hash of its
@@ -331,9 +333,9 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     All columns stay.
     """
     void = {c for c, kind in docs.dtypes if kind == "void"}  # Parquet has no such columns
-    marked, name = _mark_rows(docs.drop(*void), text, shingle_words, similarity)
+    marked, name = _mark_rows(docs.drop(*void), text, shingle_words)
     rows = marked.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *[F.col(n).alias(c) for c, n in name.items()])
-    roots = _near_copy_roots(rows, shingle_words, similarity, hot_list)
+    roots = _near_copy_roots(rows, shingle_words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64("text").alias("hash"), "tag")
     best = rows.groupBy(F.col("node").alias("set")).agg(F.min("tag").alias("node"), F.min(order).alias("o"))
     best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))

@@ -2,7 +2,9 @@
 
 import random
 
-from docuseam.llm import simhash_dedup
+import pytest
+
+from docuseam.llm import common, simhash_dedup
 
 WORDS = "doc_id long, text string"
 
@@ -54,3 +56,19 @@ def test_rows_stay_by_group(spark):
     rows = [(1, one), (1, two), (2, two), (None, three), (None, four), (None, four), (None, one), (3, one), (1, one)]
     kept = simhash_dedup.keep_one_per_group(spark.createDataFrame(rows, WORDS)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, three), (0, four)])
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = spark.range(400).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS k")
+    few = spark.range(300).selectExpr("id AS k", "id * 2 AS twice")
+    assert common.hot_keys(rows, "k") == [7]
+    want = sorted((r.id, r.twice) for r in rows.join(few, "k").collect())
+    assert sorted((r.id, r.twice) for r in common.join_hot(rows, few, "k").collect()) == want
+
+
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.connected_components(chain, rounds=1)
+    assert {r.root for r in common.connected_components(chain).collect()} == {0}
