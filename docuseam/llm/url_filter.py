@@ -5,9 +5,14 @@ variable (numbers, hexadecimal, uuids, words with digits) become wildcards at
 once. Then, level by level, children of a node become one wildcard branch if
 there are many of them and each is rare, and children whose labelled share of
 blocked urls does not differ significantly from that of all their siblings
-together are merged too. A template is rejected if its share of blocked among
-labelled urls, smoothed towards its parent's, is high enough and rests on
-enough labelled urls. The labels are the verdicts of the rules.
+together are merged too. The labels are the verdicts of the rules.
+
+A template's purity is its share of blocked urls among the labelled ones of its
+host, smoothed towards the same template's share in the host's registered
+domain, which is smoothed towards its share over all hosts, and that towards one
+half. So what is known of a template elsewhere decides where a host has few
+labels or none. Urls without a rule are rejected if their template is pure
+enough and enough labelled urls speak for it.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut_lineage, fresh_name
+from .common import ascii_lower, cut_lineage, join_hot
 
 
 @dataclass(frozen=True)
@@ -43,9 +48,9 @@ class TreeParams:
     rare_child: float = 2.0
     #: siblings merge within this many standard errors of the pooled share
     merge_z: float = 1.64
-    #: labelled urls that a branch or template needs to be merged or rejected
+    #: labelled urls that a branch needs to be merged, and a template, over all hosts, to be rejected
     min_labelled: int = 8
-    #: weight of the parent's share in a node's smoothed share
+    #: weight of the wider share in a smoothed share
     smoothing: float = 4.0
     purity: float = 0.9
 
@@ -69,14 +74,26 @@ def matching_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tup
     return name, block
 
 
+def registered_domain(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.substring_index(host, ".", -2)
+
+
+#: End of a segment: Java's dollar sign would also match before a last line feed.
+_EXT = r"(\.[A-Za-z][A-Za-z0-9]{0,4})\z"
+_UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
+
+
 def lexical_segment(seg: Column) -> Column:
     """Wildcards by the look of a segment; the extension stays."""
-    stem, ext = F.regexp_extract(seg, r"(?s)^(.*?)(\.[A-Za-z][A-Za-z0-9]{0,4})?$", 1), F.regexp_extract(seg, r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1)
+    ext = F.regexp_extract(seg, _EXT, 1)
+    stem = F.substring(seg, F.lit(1), F.length(seg) - F.length(ext))
+    digits = stem.rlike("[0-9]")
     kind = (
-        F.when(stem.rlike(r"^[0-9]+$"), "{n}")
-        .when(stem.rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"), "{u}")
-        .when(stem.rlike(r"^(?=.*[0-9])[0-9a-fA-F]{8,}$"), "{h}")
-        .when(stem.rlike(r"[0-9]"), "{x}")
+        F.when(stem.rlike(r"^[0-9]+\z"), "{n}")
+        .when(stem.rlike(_UUID), "{u}")
+        .when(stem.rlike(r"^[0-9a-fA-F]{8,}\z") & digits, "{h}")
+        .when(digits, "{x}")
         .otherwise(stem)
     )
     return F.concat(kind, ext)
@@ -87,62 +104,63 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
 
     Null urls and urls without ``://`` get an empty host and path, and are
     allowed unless a rule fits. Repeated rows stay. Input columns of those names
-    are replaced, all others stay. An empty table gives an empty one.
+    are replaced, whatever their case; all others stay as they are. An empty
+    table gives an empty one.
     """
     own = ("host", "path", "rule", "verdict", "template", "purity", "labelled")
-    names = [c for c in pages.columns if c not in own]
-    host, path = url_host(F.col(url)), url_path(F.col(url))
-    key = fresh_name(pages, "_segments")
-    rows = pages.withColumn("host", host).withColumn("path", path)
+    names = [c for c in pages.columns if c.lower() not in own]
+    # the input's columns travel in one struct, so that none of them meets a name used here
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("filled")).alias("row"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     rule, block = matching_rule(F.col("host"), F.col("path"), rules)
     parts = F.split(F.col("path"), "/", -1)
     parts = F.transform(F.slice(parts, 2, params.depth), lexical_segment)
     tail = F.size(F.split(F.col("path"), "/", -1)) > params.depth + 1
     parts = F.when(tail, F.concat(parts, F.array(F.lit("**")))).otherwise(parts)
-    rows = rows.withColumn("rule", rule).withColumn("_block", block).withColumn(key, F.array_join(parts, "/"))
+    rows = rows.withColumn("rule", rule).withColumn("block", block).withColumn("key", F.array_join(parts, "/"))
+    rows = rows.withColumn("leaf", _at("host", "key"))
 
-    leaves = rows.groupBy("host", key).agg(F.count("*").alias("n"), F.count_if("_block").alias("bad"), F.count("_block").alias("lab"))
-    leaves = leaves.withColumn("segs", F.split(key, "/", -1)).withColumn("node0", F.lit(""))
+    leaves = rows.groupBy("leaf", "host", "key").agg(F.count("*").alias("n"), F.count_if("block").alias("bad"), F.count("block").alias("lab"))
+    leaves = leaves.withColumn("segs", F.split("key", "/", -1)).withColumn("node", F.lit(""))
     leaves = cut_lineage(leaves)
     for d in range(params.depth + 1):
         leaves = cut_lineage(_grow(leaves, d, params))  # each level reads the last one twice
-    judged = _purity(leaves, params)
-    judged = judged.select("host", key, F.col(f"node{params.depth + 1}").alias("template"), "purity", "labelled")
-    out = rows.join(judged, ["host", key], "left")
+    judged = _purity(leaves, params).select("leaf", "template", "purity", "labelled")
+    out = join_hot(rows, judged, "leaf")
     reject = (F.col("purity") >= params.purity) & (F.col("labelled") >= params.min_labelled)
-    says = F.when(F.coalesce(F.col("_block"), F.coalesce(reject, F.lit(False))), "block").otherwise("allow")
-    return out.select(*names, "host", "path", "rule", says.alias("verdict"), "template", F.round("purity", 6).alias("purity"), "labelled")
+    says = F.when(F.coalesce("block", reject), "block").otherwise("allow")
+    kept = [F.col("row").getField(c).alias(c) for c in names]
+    return out.select(*kept, "host", "path", "rule", says.alias("verdict"), "template", F.round("purity", 6).alias("purity"), "labelled")
+
+
+def _at(*parts: str) -> Column:
+    """One key of several columns; a host holds no slash, so it ends at the first one."""
+    return F.concat_ws("/", *parts)
 
 
 def _grow(leaves: DataFrame, d: int, p: TreeParams) -> DataFrame:
     """Decide level ``d`` of the tree: which children of each node become a wildcard."""
-    node, seg = f"node{d}", F.coalesce(F.get("segs", F.lit(d)), F.lit(""))
-    here = leaves.withColumn("seg", seg)
-    kids = here.groupBy("host", node, "seg").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cb"), F.sum("lab").alias("cl"))
-    total = kids.groupBy("host", node).agg(F.count("*").alias("kids"), F.sum("cn").alias("tn"), F.sum("cb").alias("tb"), F.sum("cl").alias("tl"))
-    both = kids.join(total, ["host", node])
+    here = leaves.withColumn("seg", F.coalesce(F.get("segs", F.lit(d)), F.lit(""))).withColumn("at", _at("host", "node")).withColumn("kid", F.concat_ws("/", "at", "seg"))
+    kids = here.groupBy("at", "kid", "seg").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cb"), F.sum("lab").alias("cl"))
+    total = kids.groupBy("at").agg(F.count("*").alias("kids"), F.sum("cn").alias("tn"), F.sum("cb").alias("tb"), F.sum("cl").alias("tl"))
+    both = join_hot(kids, total, "at")
     pooled = F.try_divide("tb", "tl")
     error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "cl") + F.try_divide(F.lit(1), "tl")))
     similar = (F.col("kids") > 1) & (F.col("cl") >= p.min_labelled) & (F.abs(F.try_divide("cb", "cl") - pooled) <= p.merge_z * error)
     variable = (F.col("kids") >= p.many_children) & (F.col("tn") <= p.rare_child * F.col("kids"))
     shown = F.when((F.col("seg") != "") & (variable | F.coalesce(similar, F.lit(False))), "*").otherwise(F.col("seg"))
-    choice = both.select("host", node, "seg", shown.alias("shown"))
-    grown = here.join(choice, ["host", node, "seg"])
-    deeper = F.size("segs") > d
-    return grown.withColumn(f"node{d + 1}", F.when(deeper, F.concat(F.col(node), F.lit("/"), F.col("shown"))).otherwise(F.col(node))).drop("seg", "shown")
+    grown = join_hot(here, both.select("kid", shown.alias("shown")), "kid")
+    node = F.when(F.size("segs") > d, F.concat(F.col("node"), F.lit("/"), F.col("shown"))).otherwise(F.col("node"))
+    return grown.withColumn("node", node).drop("seg", "shown", "at", "kid")
 
 
 def _purity(leaves: DataFrame, p: TreeParams) -> DataFrame:
-    """Smoothed share of blocked urls of each leaf's template, from the host down."""
-    out = leaves.withColumn("purity", F.lit(0.5))
-    for d in range(p.depth + 2):
-        node = f"node{d}"
-        sums = leaves.groupBy("host", node).agg(F.sum("bad").alias("nb"), F.sum("lab").alias("labelled"))
-        out = out.drop("labelled").join(sums, ["host", node])
-        share = (F.col("nb") + p.smoothing * F.col("purity")) / (F.col("labelled") + p.smoothing)
-        # a node that only repeats its parent adds no evidence
-        fresh = F.lit(True) if d == 0 else F.col(node) != F.col(f"node{d - 1}")
-        out = out.withColumn("purity", F.when(fresh, share).otherwise(F.col("purity"))).drop("nb")
+    """Smoothed share of blocked urls of each leaf's template: all hosts, then its domain, then its host."""
+    out = leaves.withColumnRenamed("node", "template").withColumn("domain", registered_domain(F.col("host"))).withColumn("purity", F.lit(0.5))
+    for k, by in enumerate((("template",), ("domain", "template"), ("host", "template"))):
+        sums = out.groupBy(_at(*by).alias("of")).agg(F.sum("bad").alias("nb"), F.sum("lab").alias("nl"))
+        out = join_hot(out.withColumn("of", _at(*by)), sums, "of")
+        out = out.withColumn("purity", (F.col("nb") + p.smoothing * F.col("purity")) / (F.col("nl") + p.smoothing))
+        out = (out.withColumn("labelled", F.col("nl")) if not k else out).drop("of", "nb", "nl")
     return out
 
 
@@ -156,13 +174,11 @@ def url_report_sql(rules: tuple[UrlRule, ...] = RULES, p: TreeParams = TreeParam
     ordered = sorted(rules, key=lambda r: (-len(r.name), r.name))
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
     case = lambda f: "CASE " + " ".join(f"WHEN {fits(r)} THEN {f(r)}" for r in ordered) + " END"
-    ext = r"(\.[A-Za-z][A-Za-z0-9]{0,4})$"
-    stem = rf"CASE WHEN regexp_matches(s, '{ext}') THEN regexp_replace(s, '{ext}', '') ELSE s END"
+    stem = f"s[1:length(s) - length(regexp_extract(s, '{_EXT}', 1))]"
     lexical = (
-        f"(CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' "
-        f"WHEN regexp_matches({stem}, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$') THEN '{{u}}' "
-        f"WHEN regexp_matches({stem}, '^[0-9a-fA-F]{{8,}}$') AND regexp_matches({stem}, '[0-9]') THEN '{{h}}' "
-        f"WHEN regexp_matches({stem}, '[0-9]') THEN '{{x}}' ELSE {stem} END) || regexp_extract(s, '{ext}', 1)"
+        f"(CASE WHEN regexp_matches({stem}, '^[0-9]+\\z') THEN '{{n}}' WHEN regexp_matches({stem}, '{_UUID}') THEN '{{u}}' "
+        f"WHEN regexp_matches({stem}, '^[0-9a-fA-F]{{8,}}\\z') AND regexp_matches({stem}, '[0-9]') THEN '{{h}}' "
+        f"WHEN regexp_matches({stem}, '[0-9]') THEN '{{x}}' ELSE {stem} END) || regexp_extract(s, '{_EXT}', 1)"
     )
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     ctes = [
@@ -184,17 +200,11 @@ def url_report_sql(rules: tuple[UrlRule, ...] = RULES, p: TreeParams = TreeParam
         ]
         last = f"g{d}"
     tree = last
-    ctes.append(f"p AS (SELECT *, 0.5::DOUBLE AS purity, 0::BIGINT AS labelled FROM {tree})")
-    last = "p"
-    for d in range(p.depth + 2):
-        fresh = "true" if d == 0 else f"node{d} <> node{d - 1}"
-        ctes += [
-            f"s{d} AS (SELECT host, node{d}, sum(bad) AS nb, sum(lab)::BIGINT AS nl FROM {tree} GROUP BY ALL)",
-            f"q{d} AS (SELECT * EXCLUDE (nb, nl) REPLACE (CASE WHEN {fresh} THEN (nb + {p.smoothing} * purity) / (nl + {p.smoothing}) ELSE purity END AS purity, nl AS labelled) FROM {last} JOIN s{d} USING (host, node{d}))",
-        ]
-        last = f"q{d}"
+    shares = []
+    for k, by in enumerate(("template", "domain, template", "host, template")):
+        wide = f"(sum(bad) OVER w{k} + {p.smoothing} * {shares[-1] if shares else 0.5}::DOUBLE) / (sum(lab) OVER w{k} + {p.smoothing})"
+        shares.append(f"p{k}")
+        ctes.append(f"s{k} AS (SELECT *, {wide} AS p{k}{', (sum(lab) OVER w0)::BIGINT AS labelled' if not k else ''} FROM {f's{k - 1}' if k else f'(SELECT * EXCLUDE (node{p.depth + 1}), node{p.depth + 1} AS template, array_to_string(string_split(host, chr(46))[-2:], chr(46)) AS domain FROM {tree})'} WINDOW w{k} AS (PARTITION BY {by}))")
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT page_id, host, path, rule, CASE WHEN coalesce(block, purity >= {p.purity} AND labelled >= {p.min_labelled}) THEN 'block' ELSE 'allow' END AS verdict,
-  node{p.depth + 1} AS template, round(purity, 6) AS purity, labelled FROM k JOIN {last} USING (host, key)"""
-
-
+SELECT page_id, host, path, rule, CASE WHEN coalesce(block, p2 >= {p.purity} AND labelled >= {p.min_labelled}) THEN 'block' ELSE 'allow' END AS verdict,
+  template, round(p2, 6) AS purity, labelled FROM k JOIN s2 USING (host, key)"""

@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from docuseam.llm import decontaminate, html_text, licenses, quality, queries, secrets, simhash_dedup, topk_search, toxicity
+from docuseam.llm import decontaminate, html_text, licenses, quality, queries, secrets, simhash_dedup, topk_search, toxicity, url_filter
 from docuseam.llm.sentencepiece_codec import Codec
 
 
@@ -27,6 +27,16 @@ def test_url_filter_matches_sql(spark, sf):
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def test_url_tree_rejects_urls_without_a_rule(spark):
+    """A template that rules block on other hosts is rejected where no rule speaks; mixed and unknown ones are not."""
+    rows = [f"http://h{i}.example.com/de/{i}" for i in range(40)] + [f"http://n{i}.net/ads/{i}" for i in range(40)] + ["http://x.org/fr/1", "http://y.net/fr/2"] * 6
+    rows += ["http://q.org/de/9", "http://q.org/ads/7", "http://q.com/fr/3", "http://q.com/es/3", "http://q.org/ads/x"]
+    pages = spark.createDataFrame([(u, i, "t", 0.5, "b") for i, u in enumerate(rows)], "url string, n int, Template string, PURITY double, block string")
+    got = {r.url: r for r in url_filter.judge_urls(pages).collect()}
+    assert [got[u].verdict for u in rows[-5:]] == ["block", "block", "allow", "allow", "allow"] and all(got[u].rule is None for u in rows[-5:] if "com" not in u)
+    assert got["http://q.org/de/9"].template == "/de/{n}" and got["http://q.org/de/9"].block == "b"
+
+
 def test_secret_base_spans(spark, sf):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     docs = texts(spark, sf)
