@@ -2,18 +2,25 @@
 
 The page is fed to the standard library's streaming parser in pieces. Block
 elements and line breaks start a new line; each line keeps its text, the number
-of its tags, the number of its characters inside links, and the path of open
-containers. The text-to-tag ratios of all lines are smoothed with a Gaussian
-and split in two clusters by a threshold; the high cluster marks the content.
-The content region is the innermost container that holds most of the marked
-text, and every line of the region outside boilerplate containers is returned,
-so that short paragraphs of an article are not lost.
+of its tags, the number of its characters inside links, and its container. The
+text-to-tag ratios of all lines, weighted down where tags or names speak for
+boilerplate, are smoothed with a Gaussian and split in two clusters by a
+threshold; the high cluster marks the content.
+
+The marked text chooses the region: the articles, or the main element, that hold
+most of it, and what stands around them as content does; else the innermost
+container outside which there is nothing but boilerplate, links and scraps. All
+lines of the region are returned, so that short paragraphs are not lost, but for
+those in boilerplate elements. Names alone decide less: a container that holds
+half of the page's text, and a heading or an article, is never boilerplate by
+its name, and a name that is only a hint drops those lines that are not marked.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +34,60 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _HIDDEN = frozenset("script style template noscript head title iframe object svg canvas audio video map select textarea button datalist".split())
 _BOILER = frozenset("nav footer aside form menu dialog".split())
 _CONTAINERS = frozenset("article main section div body table td form nav footer header aside blockquote ul ol dl menu dialog fieldset details figure".split())
-_BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|side|footer|header|masthead|breadcrumbs?|cookies?|consent|notice|notices|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|widget\w*|toolbar|pager|pagination|skip|copyright|legal|disclaimer|gdpr|alert)(?:$|[\s_-])",
-    re.I,
-)
+_NAME = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+#: Names of boilerplate, and names that are only a hint.
+_STRONG = re.compile(_NAME.format(r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|footer|masthead|breadcrumbs?|cookies?|consent|popup|newsletter|subscribe\w*|signup|login|share|sharing|social|comments?|commentlist|disqus|respond|replies|pager|pagination|gdpr"), re.I)
+_WEAK = re.compile(_NAME.format(r"banner|side|header|notice|notices|modal|overlay|related|recommend\w*|widget\w*|toolbar|skip|copyright|legal|disclaimer|alert"), re.I)
+_HEADINGS = frozenset("h1 h2 h3".split())
+#: Weights of ratios without a sign of boilerplate, with a hint, and in boilerplate.
+_WEIGHTS = np.array([1.0, 0.6, 0.1])
+#: Lines under so many characters that are neither marked nor headings count as scraps.
+_SCRAP = 60
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
 _PIECE = 1 << 16
 
 
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links
+    at: int  # container
+    heading: bool
+
+
 class _Lines(HTMLParser):
     """Collects lines and the tree of containers from parser events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container, hidden, boilerplate
+        self.open: list[tuple[str, int, bool]] = []  # tag, container, hidden
         self.parents, self.kinds = [-1], [""]
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, container, boilerplate
+        self.by_tag, self.by_name = [0], [0]  # how much a container's own tag and names speak for boilerplate
+        self.lines: list[_Line] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
 
-    def _state(self) -> tuple[int, bool, bool]:
-        return self.open[-1][1:] if self.open else (0, False, False)
+    def _state(self) -> tuple[int, bool]:
+        return self.open[-1][1:] if self.open else (0, False)
 
     def _end_line(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                at, _, boiler = self._state()
-                self.lines.append((text, self.tags, self.linked, at, boiler))
+                self.lines.append(_Line(text, self.tags, min(self.linked, len(text)), self._state()[0], any(x[0] in _HEADINGS for x in self.open)))
                 self.tags = self.linked = 0
             self.parts.clear()
 
+    def _signs(self, tag: str, named: dict) -> tuple[int, int]:
+        if tag in ("html", "body", "main", "article"):
+            return 0, 0
+        names = [named.get(k) or "" for k in ("class", "id")]
+        by_name = 2 if any(map(_STRONG.search, names)) else 1 if any(map(_WEAK.search, names)) else 0
+        outside = tag == "header" and not any(x[0] == "article" for x in self.open)
+        return 2 if tag in _BOILER or outside or (named.get("role") or "").lower() in _BOILER_ROLE else 0, by_name
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in _BLOCKS:
@@ -72,21 +100,17 @@ class _Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        at, hidden, boiler = self._state()
-        hidden = hidden or tag in _HIDDEN
-        if tag in _CONTAINERS or attrs:
-            named = dict(attrs)
-            if tag not in ("html", "body", "main", "article"):
-                boiler = boiler or tag in _BOILER or (named.get("role") or "").lower() in _BOILER_ROLE
-                boiler = boiler or any(_BOILER_NAME.search(named.get(k) or "") for k in ("class", "id") if k in named)
-            hidden = hidden or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" or bool(re.search(r"display\s*:\s*none", named.get("style") or "", re.I))
-            if tag == "header" and "article" not in [x[0] for x in self.open]:
-                boiler = True
-        if tag in _CONTAINERS:
+        at, hidden = self._state()
+        named = dict(attrs)
+        by_tag, by_name = self._signs(tag, named)
+        hidden = hidden or tag in _HIDDEN or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" or bool(re.search(r"display\s*:\s*none", named.get("style") or "", re.I))
+        if tag in _CONTAINERS or by_tag or by_name:
             self.parents.append(at)
             self.kinds.append(tag)
+            self.by_tag.append(by_tag)
+            self.by_name.append(by_name)
             at = len(self.parents) - 1
-        self.open.append((tag, at, hidden, boiler))
+        self.open.append((tag, at, hidden))
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -115,7 +139,7 @@ class _Lines(HTMLParser):
 
 
 def text_to_tag_ratio(lines) -> np.ndarray:
-    return np.array([(len(t) - min(linked, len(t)) * 0.9) / max(1, tags) for t, tags, linked, _, _ in lines], float)
+    return np.array([(len(x.text) - 0.9 * x.linked) / max(1, x.tags) for x in lines], float)
 
 
 def gaussian_smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -139,10 +163,80 @@ def split_threshold(x: np.ndarray, steps: int = 20) -> float:
     return cut
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
+def _sums(page: _Lines, own: np.ndarray) -> np.ndarray:
+    """Totals of every container with all inside it; parents come before their children."""
+    for i in range(len(own) - 1, 0, -1):
+        own[page.parents[i]] += own[i]
+    return own
+
+
+def _by_container(page: _Lines, lines: list[_Line], values) -> np.ndarray:
+    return np.bincount([x.at for x in lines], values, minlength=len(page.parents)) if lines else np.zeros(len(page.parents))
+
+
+def _levels(page: _Lines) -> np.ndarray:
+    """How much speaks for boilerplate in each container, from itself and all around it: 0, 1 (a hint) or 2."""
+    tagged = np.array(page.by_tag)
+    for i in range(1, len(tagged)):
+        tagged[i] = max(tagged[i], tagged[page.parents[i]])
+    size = [0 if tagged[x.at] else len(x.text) for x in page.lines]
+    holds = _sums(page, _by_container(page, page.lines, size))
+    titled = _sums(page, _by_container(page, page.lines, [x.heading for x in page.lines]) + np.array([k in ("article", "main") for k in page.kinds]))
+    spared = (2 * holds >= max(1, holds[0])) & (titled > 0)
+    level = np.where(spared, page.by_tag, np.maximum(page.by_tag, page.by_name))
+    for i in range(1, len(level)):
+        level[i] = max(level[i], level[page.parents[i]])
+    return level
+
+
+def _region(page: _Lines, level: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Whether each container belongs to the content."""
+    n = len(page.parents)
+    weight = _sums(page, _by_container(page, page.lines, [len(x.text) if hit and level[x.at] < 2 else 0 for x, hit in zip(page.lines, marked, strict=True)]))
+    plain = [level[x.at] == 0 for x in page.lines]
+    scrap = [not p or 2 * x.linked > len(x.text) or not hit and not x.heading and len(x.text) < _SCRAP for x, p, hit in zip(page.lines, plain, marked, strict=True)]
+    content = _sums(page, _by_container(page, page.lines, [not s for s in scrap]))
+    links = _sums(page, _by_container(page, page.lines, [p and 2 * x.linked > len(x.text) for x, p in zip(page.lines, plain, strict=True)]))
+
+    roots: list[int] = []
+    for kind in ("article", "main"):
+        outer = [i for i in range(1, n) if page.kinds[i] == kind and level[i] < 2 and not _inside(page, page.parents[i], kind)]
+        if 2 * sum(weight[i] for i in outer) >= weight[0] > 0:
+            roots = outer
+            break
+    if roots:
+        at = roots[0]
+        while len(roots) == 1 and page.kinds[page.parents[at]] in ("main", "article", "div", "section"):
+            up = page.parents[at]  # what stands around it as content: text or headings, but no lists of links
+            if level[up] or content[up] <= content[at] or links[up] > links[at]:
+                break
+            roots = [at := up]
+    else:
+        at, kids = 0, [[] for _ in range(n)]
+        for i in range(1, n):
+            kids[page.parents[i]].append(i)
+        while inner := [i for i in kids[at] if content[i] == content[at] > 0]:  # nothing but scraps is left out
+            at = inner[0]
+        roots = [at]
+    inside = np.zeros(n, bool)
+    for i in range(n):
+        inside[i] = i in roots or i > 0 and inside[page.parents[i]]
+    return inside
+
+
+def _inside(page: _Lines, at: int, kind: str) -> bool:
+    while at > 0:
+        if page.kinds[at] == kind:
+            return True
+        at = page.parents[at]
+    return False
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Blocks of the main text joined by line feeds; empty for null, empty or textless pages.
 
-    ``share``: part of the marked text that the content region holds at least.
+    Unclosed elements end where the next of their kind or an outer one ends, and
+    cells of a table are blocks of their own.
     """
     if not html:
         return ""
@@ -151,24 +245,13 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
         page.feed(html[i : i + _PIECE])
     page.close()
     page._end_line()
-    lines = [x for x in page.lines if not x[4]]
-    if not lines:
+    if not page.lines:
         return ""
-    smooth = gaussian_smooth(text_to_tag_ratio(page.lines), sigma)
-    smooth = smooth[[i for i, x in enumerate(page.lines) if not x[4]]]
-    marked = smooth >= min(split_threshold(smooth), float(smooth.max()))
-    weight = np.zeros(len(page.parents))
-    for (text, _, _, at, _), hit in zip(lines, marked, strict=True):
-        if hit:
-            weight[at] += len(text)
-    for i in range(len(weight) - 1, 0, -1):  # parents come before their children
-        weight[page.parents[i]] += weight[i]
-    articles = [i for i, k in enumerate(page.kinds) if k in ("article", "main") and weight[i] >= share * weight[0]]
-    best = articles[-1] if articles else max((i for i in range(len(weight)) if weight[i] >= share * weight[0]), default=0)
-    inside = np.zeros(len(weight), bool)
-    for i in range(best, len(weight)):
-        inside[i] = i == best or page.parents[i] >= 0 and inside[page.parents[i]]
-    return "\n".join(x[0] for x in lines if inside[x[3]])
+    level = _levels(page)
+    smooth = gaussian_smooth(text_to_tag_ratio(page.lines) * _WEIGHTS[level[[x.at for x in page.lines]]], sigma)
+    marked = smooth >= min(split_threshold(smooth), float(smooth.max())) - 1e-9
+    inside = _region(page, level, marked)
+    return "\n".join(x.text for x, hit in zip(page.lines, marked, strict=True) if inside[x.at] and (level[x.at] == 0 or level[x.at] == 1 and hit))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against plain brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import html
 import math
 import random
 import re
@@ -279,9 +280,37 @@ def test_toxicity_held_out_and_gradient():
     assert right.mean() >= 0.9
 
 
+LONG_PARAGRAPH = "The main paragraph of this page has many words and goes on for quite a while. " * 4
+TEXT = LONG_PARAGRAPH.strip()
+PAGES = {
+    "<html><body><header>Site</header><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Title &amp; more</h1><p>A long paragraph of\n the article with many words in it.<br>Short.<p>End</article><div id='comments'><p>A reader wrote this comment here.</p></div><form>Name</form><footer>foot</footer></body></html>": ["Title & more", "A long paragraph of the article with many words in it.", "Short.", "End"],
+    # a name that many sites give to the whole content
+    f"<body><nav><a>Home</a></nav><div class='content with-sidebar'><h1>Title</h1><p>{TEXT}<p>Short.<p>{TEXT}</div><footer>f</footer></body>": ["Title", TEXT, "Short.", TEXT],
+    f"<body><article><h1>T</h1><p>{TEXT}</p><div class='legal-notes'><p>{TEXT}</p></div><p>{TEXT}</article><div class='ad'>{TEXT}</div></body>": ["T", TEXT, TEXT, TEXT],
+    # no article: title, introduction and end around a body that holds most of the text
+    f"<body><div id='menu'><ul><li><a>One</a><li><a>Two</a></ul></div><div id='content'><h1>Title</h1><p>{TEXT}</p><div class='body'>{''.join(f'<p>{TEXT}</p>' for _ in range(8))}</div><p>{TEXT}</p></div><div>small print</div></body>": ["Title", *[TEXT] * 10],
+    f"<body><main><h1>Title</h1><article><p>{TEXT}</p></article></main><aside>{TEXT}</aside></body>": ["Title", TEXT],
+    f"<body><article><p>{TEXT}</article><article><p>{TEXT}</article></body>": [TEXT, TEXT],
+    # tables, references, unclosed and broken markup, nothing but menus, no markup at all
+    f"<article><p>{TEXT}<table><tr><td>a&nbsp;&lt;b&#33;<td>c<tr><td>d</table><p>&eacute;&#x1F600; &unknown; a & b</article>": [TEXT, "a <b!", "c", "d", "é\U0001f600 &unknown; a & b"],
+    f"<body><div><p>{TEXT}<b>bold <i>both</b> one</i> rest<script>no <p> text</script><!-- nor <p>this</p> --><p>{TEXT}": [f"{TEXT}bold both one rest", TEXT],
+    "<nav><a href='x'>menu</a></nav>": [],
+    f"{TEXT} <": [f"{TEXT} <"],
+}
+
+
 def test_main_text():
-    page = '<html><body><header>Site</header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p>A long paragraph of\n the article with many words in it.<br>Short.<p>End</article><div id="comments"><p>A reader wrote this comment here.</p></div><form>Name</form><footer>foot</footer></body></html>'
-    assert html_text.main_text(page) == "Title & more\nA long paragraph of the article with many words in it.\nShort.\nEnd"
+    for page, blocks in PAGES.items():
+        assert html_text.main_text(page) == "\n".join(blocks), page[:90]
+
+
+def test_main_text_is_the_article(spark, sf):
+    """All pages of the table against their article element, block by block."""
+    block = re.compile(r"</?(?:p|h1|br|article)\b[^>]*>")
+    for r in html_text.html_report(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in block.split(inner)]
+        assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
 
 
 def test_pipeline(spark, sf):
