@@ -1,9 +1,10 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours.
 
-Documents become vectors of term weights whose terms are three-character
-patterns of character classes and binned repetition measures of words and
-lines. A truncated singular value decomposition of the labelled sample's
-tf-idf matrix gives the latent-semantic space. The sample's vectors and labels
+Documents become vectors of term weights. Terms are the lower-cased words of the
+whole text, hashed to a fixed number of columns, three-character patterns of
+character classes, and binned repetition measures of words and lines. A
+truncated singular value decomposition of the labelled sample's tf-idf matrix,
+by subspace iteration, gives the latent-semantic space. The sample's vectors and labels
 are broadcast (at most ``MAX_LABELLED`` rows of ``DIMS`` numbers), and every
 document gets exact cosine products with all of them, block by block; its score
 is the mean label of its nearest neighbours, weighted by similarity.
@@ -11,6 +12,8 @@ is the mean label of its nearest neighbours, weighted by similarity.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, crc_mod, ship, shipped, table
+from .common import bounded_batches, crc_mod, fresh_name, ship, shipped, table
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 4096
@@ -48,7 +51,10 @@ N_PATTERNS = _N_CLASSES**3
 _BINS = 12
 #: repeated neighbour words, distinct words, repeated lines, longest word, upper-case words, length
 _MEASURES = 6
-N_TERMS = N_PATTERNS + _MEASURES * _BINS
+#: columns of hashed words, and their part in a document's vector
+WORDS, WORD_PART = 4096, 0.5
+_FIRST_WORD = N_PATTERNS + _MEASURES * _BINS
+N_TERMS = _FIRST_WORD + WORDS
 
 
 def term_weights(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +80,12 @@ def term_weights(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         min(1.0, np.log1p(len(raw)) / 16),
     )
     extra = [N_PATTERNS + k * _BINS + min(_BINS - 1, int(m * _BINS)) for k, m in enumerate(measures)]
-    return np.concatenate([ids, extra]).astype(np.int32), np.concatenate([np.sqrt(share), np.full(_MEASURES, 0.15)]).astype(np.float32)
+    counted = Counter(words)
+    hashed = np.fromiter((zlib.crc32(w.lower()) % WORDS for w in counted), np.int64, len(counted))
+    said = np.bincount(hashed, np.fromiter(counted.values(), float, len(counted)), minlength=WORDS) if counted else np.zeros(WORDS)
+    at = np.flatnonzero(said)
+    weights = [np.sqrt(share), np.full(_MEASURES, 0.15), WORD_PART * np.sqrt(said[at] / n)]
+    return np.concatenate([ids, extra, _FIRST_WORD + at]).astype(np.int32), np.concatenate(weights).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -116,31 +127,45 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int = DIMS) -> Nei
     """Fit on (terms, weights, label) rows; with none, every score is 0.5."""
     if not rows:
         return Neighbours(np.zeros((N_TERMS, dims), np.float32), np.zeros((0, dims), np.float32), np.zeros(0), 0.5)
-    x = np.zeros((len(rows), N_TERMS), np.float32)
-    for i, (ids, w, _) in enumerate(rows):
-        np.add.at(x[i], ids, w)
     labels = np.array([r[2] for r in rows], float)
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1
-    used = np.flatnonzero((x > 0).any(axis=0))
-    a = (x * idf)[:, used].astype(np.float64)
-    gram = a.T @ a
-    values, basis = np.linalg.eigh(gram)  # right singular vectors of the tf-idf matrix
-    top = basis[:, np.argsort(-values)[: min(dims, len(used))]]
-    projection = np.zeros((N_TERMS, dims), np.float32)
-    projection[used, : top.shape[1]] = top * idf[used, None]
-    vectors = _unit(x @ projection)
+    seen = np.zeros(N_TERMS)
+    for ids, _, _ in rows:
+        seen[ids] += 1
+    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    projection = (_directions(rows, idf, min(dims, len(rows))) * idf[:, None]).astype(np.float32)
+    projection = np.pad(projection, ((0, 0), (0, dims - projection.shape[1])))
+    vectors = _unit(np.stack([w @ projection[ids] for ids, w, _ in rows]))
     return Neighbours(projection, vectors.astype(np.float32), labels, float(labels.mean()))
 
 
+def _directions(rows, idf: np.ndarray, dims: int, rounds: int = 8, spare: int = 16, seed: int = 3) -> np.ndarray:
+    """Right singular vectors of the rows' tf-idf matrix, which is made dense a few rows at a time."""
+
+    def blocks():
+        for i in range(0, len(rows), 256):
+            x = np.zeros((len(rows[i : i + 256]), N_TERMS), np.float32)
+            for r, (ids, w, _) in zip(x, rows[i : i + 256], strict=True):
+                r[ids] = w
+            yield x * idf
+
+    q = np.random.default_rng(seed).normal(size=(N_TERMS, min(dims + spare, len(rows)))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(sum(x.T @ (x @ q) for x in blocks()))[0]
+    small = np.concatenate([x @ q for x in blocks()])
+    return q @ np.linalg.svd(small, full_matrices=False)[2][:dims].T
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, at_most: int) -> DataFrame:
-    """At most ``at_most`` labelled rows outside the held-out fold: text and label.
+    """At most ``at_most`` labelled rows outside the held-out fold: id, text and label, one for each id.
 
-    The rows with the smallest hash of the id are taken, so the sample does not
-    depend on partitioning. Only the bounded list of ids is broadcast.
+    The ids with the smallest hash are taken, so the sample does not depend on
+    partitioning; of repeated rows of an id the smallest text counts. Only the
+    bounded list of ids is broadcast.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held_out))
     ids = ids.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, at_most: int = MAX_LABELLED) -> Neighbours:
@@ -154,8 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32()))], ["doc_id", "y", "ids", "w"])
 
     schema = sample.select("doc_id", "y").schema.add("ids", T.ArrayType(T.IntegerType())).add("w", T.ArrayType(T.FloatType()))
-    # repeated ids could add rows: the limit keeps what reaches the driver bounded
-    got = sample.mapInArrow(run, schema).limit(2 * at_most).toArrow()
+    got = sample.mapInArrow(run, schema).toArrow()
     rows = [(np.array(i, np.int32), np.array(w, np.float32), int(y)) for i, w, y, d in sorted(zip(got["ids"].to_pylist(), got["w"].to_pylist(), got["y"].to_pylist(), got["doc_id"].to_pylist(), strict=True), key=lambda r: (r[3], r[0]))]
     return fit(rows)
 
@@ -164,11 +188,11 @@ def score_quality(docs: DataFrame, model: Neighbours, text: str = "text", out: s
     """Add ``out`` (0 to 1, higher: good quality likelier) to every row, whose other columns stay.
 
     Null texts count as empty; without labelled rows every score is 0.5. An
-    input column named like ``out`` is replaced.
+    input column named like ``out``, in whatever case, is replaced.
     """
     bounded_batches(docs.sparkSession)
     shared = ship(docs.sparkSession, model)
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c.lower() != out.lower() or c == text]
 
     def run(batches):
         fitted = shipped(shared)
@@ -181,9 +205,7 @@ def score_quality(docs: DataFrame, model: Neighbours, text: str = "text", out: s
 
 def keep_good(docs: DataFrame, model: Neighbours, text: str = "text", least: float = 0.5) -> DataFrame:
     """Documents that score at least ``least``; all columns stay."""
-    name = "quality_score"
-    while name in docs.columns:
-        name += "_"
+    name = fresh_name(docs, "quality_score")
     return score_quality(docs, model, text, name).where(F.col(name) >= least).drop(name)
 
 
