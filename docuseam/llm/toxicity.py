@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
-Texts are read as words. Each word has a learned vector, looked up by a hash of
-the word, and a character vector, the mean of learned vectors of hashed
-character n-grams with word boundaries. Windows of words, overlapping by half,
+Texts are read as words; a word of over ``PIECE`` characters is read as pieces of
+that length that overlap, so that no character is left out. Each word has a
+learned vector, looked up by a hash of the word, and a character vector, the
+mean of learned vectors of hashed character n-grams with word boundaries. Windows of words, overlapping by half,
 go through a recurrent layer in each direction; attention pools the states to
 one logit per window. A document's score is that of its highest window. The
 network is trained in numpy on the driver, on a bounded sample of labelled
@@ -22,20 +23,26 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, ship, shipped, table
 from .quality import labelled_sample
 
-#: Bounds of the labelled sample: documents, and words of each that training sees.
+#: Bounds of the labelled sample: documents, and their words together. Whole texts are taken, as many as fit.
 MAX_LABELLED = 3000
-MAX_TRAIN_WORDS = 4000
+MAX_TRAIN_WORDS = 4_000_000
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 12
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 13
 _GRAMS = (3, 4)
-_WIDTH = 26
+#: Longest word that is read as one, and the characters by which pieces of longer ones overlap.
+PIECE, OVERLAP = 24, 4
+_WIDTH = PIECE + 2
 _CACHE = 300_000
 _CHUNK = 2048
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    step = PIECE - OVERLAP
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - OVERLAP), step)]
 
 
 def word_key(word: str) -> int:
@@ -45,10 +52,10 @@ def word_key(word: str) -> int:
 def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of each word with its boundaries, and how often they count.
 
-    Two arrays of words x places; words count with their first ``_WIDTH - 2``
-    characters. All n-grams of all words are hashed at once.
+    Two arrays of words x places; words have ``PIECE`` characters at most. All
+    n-grams of all words are hashed at once.
     """
-    marked = np.array([f"<{w[: _WIDTH - 2]}>" for w in words] or [""], f"<U{_WIDTH}")
+    marked = np.array([f"<{w}>" for w in words] or [""], f"<U{_WIDTH}")
     c = marked.view(np.uint32).reshape(len(marked), _WIDTH)[: len(words)]
     keys, count = [], []
     for n in _GRAMS:
@@ -396,22 +403,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int
     parts = [labelled_sample(docs, known.where(F.col("toxic") == y), "toxic", mod, held_out, at_most // 2) for y in (0, 1)]
     rows = []
     for part in parts:
-        got = part.select("doc_id", "y", F.slice(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), 1, MAX_TRAIN_WORDS).alias("words")).limit(at_most).toArrow()
-        rows += zip(got["doc_id"].to_pylist(), got["words"].to_pylist(), got["y"].to_pylist(), strict=True)
+        # which of the ids' whole texts fit together; the ids come in the order of their hashes
+        sizes = part.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("n")).orderBy("h", "doc_id").collect()
+        ids, room = [], MAX_TRAIN_WORDS // 2
+        for r in sizes:
+            if r.n <= room:
+                ids.append(r.doc_id)
+                room -= r.n
+        got = part.where(F.col("doc_id").isin(ids)).select("doc_id", "y", "text").toArrow()
+        rows += zip(got["doc_id"].to_pylist(), map(words_of, got["text"].to_pylist()), got["y"].to_pylist(), strict=True)
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
-    return train([([w for w in words if w], int(y)) for _, words, y in rows])
+    return train([(words, int(y)) for _, words, y in rows])
 
 
 def score_toxicity(docs: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
     """Add ``out`` (0 to 1, higher: toxic likelier) to every row, whose other columns stay.
 
     Every overlapping window of the whole text is scored. Null and empty texts
-    get the score of an empty window. An input column named like ``out`` is
-    replaced.
+    get the score of an empty window. An input column named like ``out``,
+    in whatever case, is replaced.
     """
     bounded_batches(docs.sparkSession)
     shared = ship(docs.sparkSession, net)
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c.lower() != out.lower() or c == text]
 
     def run(batches):
         scorer = Scorer(shipped(shared))

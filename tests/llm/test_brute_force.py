@@ -258,6 +258,40 @@ def test_quality_held_out():
     assert right.mean() >= 0.95
 
 
+def test_quality_votes():
+    """Scores against votes counted one document and one neighbour at a time."""
+    rows = labelled("/root/testdata/sf0.01", "quality")
+    model = quality.fit([(*quality.term_weights(t), y) for _, t, y in rows[:150]])
+    some = [t for _, t, _ in rows[150:220]] + ["", None, "one two", "x" * 5000]
+    for text, score in zip(some, model.score(some), strict=True):
+        ids, w = quality.term_weights(text)
+        v = [sum(float(x) * float(model.projection[i, d]) for i, x in zip(ids, w, strict=True)) for d in range(model.projection.shape[1])]
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        near = sorted(((sum(a * float(b) for a, b in zip(v, u, strict=True)) / norm, y) for u, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0.0) ** 8, y) for c, y in near]
+        want = (sum(a * y for a, y in votes) + 1e-3 * model.prior) / (sum(a for a, _ in votes) + 1e-3)
+        assert abs(score - min(1.0, max(0.0, want))) < 2e-3
+
+
+def test_toxic_words_anywhere():
+    """Pieces of a long word hold all its characters, and every window of a text is scored as one by one."""
+    word = "".join(chr(97 + i % 26) for i in range(100))
+    pieces = toxicity.words_of(f"a {word} b")
+    assert pieces[0] == "a" and pieces[-1] == "b" and all(len(p) <= toxicity.PIECE for p in pieces)
+    assert pieces[1] + "".join(p[toxicity.OVERLAP :] for p in pieces[2:-1]) == word
+    net = toxicity.Network.fresh(3)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["one", "two", "three", "x" * 60], k=n)) for n in (0, 1, 23, 24, 25, 300)]
+    for text, got in zip(texts, toxicity.Scorer(net).logits(texts), strict=True):
+        words = toxicity.words_of(text)
+        one = []
+        for a in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            part = words[a : a + toxicity.WINDOW]
+            gates = net.gate_inputs(net.word_vectors(["", *part]))
+            one.append(float(net.logits(*gates, np.pad(np.arange(1, len(part) + 1), (0, toxicity.WINDOW - len(part)))[None, :])[0]))
+        assert abs(got - max(one)) < 1e-4
+
+
 def test_toxicity_held_out_and_gradient():
     net = toxicity.Network.fresh(1)
     net.p = {k: v.astype(float) for k, v in net.p.items()}
@@ -274,7 +308,7 @@ def test_toxicity_held_out_and_gradient():
         assert abs(g[name][at] - (losses[0] - losses[1]) / 2e-4) < 1e-3
     rows = labelled("/root/testdata/sf0.01", "toxic")
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
-    net = toxicity.train([(toxicity.words_of(t)[:2000], y) for d, t, y in rows if not held(d)], rounds=3, batches=60)
+    net = toxicity.train([(toxicity.words_of(t), y) for d, t, y in rows if not held(d)], rounds=3, batches=60)
     test = [(t, y) for d, t, y in rows if held(d)]
     right = (toxicity.Scorer(net).score([t for t, _ in test]) >= 0.5) == np.array([y for _, y in test])
     assert right.mean() >= 0.9

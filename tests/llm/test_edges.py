@@ -72,6 +72,28 @@ def test_models(spark, docs, empty):
     assert toxicity.score_toxicity(empty, net).count() == 0
 
 
+def test_fitted_models(spark, docs, empty):
+    """Nulls, empty and very long texts, repeated labels and clashing names under models that were fitted."""
+    texts = [("Good plain prose of a calm kind, line by line.", 1, 0), ("$$$ ### BUY BUY BUY ### $$$ 000", 0, 0), ("you vile hateful fool and worse", 1, 1)]
+    rows = [(i, *texts[i % 3]) for i in range(60)]
+    known = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(0, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows] + [(0, 1, None), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    clashing = docs.withColumnRenamed("score", "Score")
+    for fit, score in ((quality.fit_quality, quality.score_quality), (toxicity.fit_toxicity, toxicity.score_toxicity)):
+        model = fit(known, labels)
+        got = score(clashing, model)
+        assert ids(got) == ALL and [c.lower() for c in got.columns].count("score") == 1
+        by = {}
+        for r in got.collect():
+            assert 0 <= r.score <= 1
+            by.setdefault(r.doc_id, set()).add(r.score)
+        assert all(len(v) == 1 for v in by.values()) and by[2] == by[3] == by[4] and len({*by[1], *by[5]}) == 2
+        assert score(empty, model).count() == 0
+        ends = {r.doc_id: r.score for r in score(known.where("text IS NOT NULL"), model).collect()}
+        right = [r for r in rows if (ends[r[0]] >= 0.5) == bool(r[2] if fit is quality.fit_quality else r[3])]
+        assert len(right) == len(rows)
+
+
 def test_leaks(spark, docs, empty):
     items = spark.createDataFrame([(7, "plain text of some words"), (8, None), (9, ""), (10, "not in any of the documents at all")], "item_id long, text string")
     got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find_leaks(docs, items).collect()}
