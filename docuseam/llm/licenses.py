@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name
+from .common import ascii_lower, fresh_name
 from .spans import match_spans
 
 #: What separates words; a word is a run of all other characters.
@@ -192,7 +192,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[tuple[str, st
     """
     rules = build_rules() if rules is None else rules
     norm = fresh_name(docs, "_word_text")
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, F.lit(GAP), F.lit(" "))), F.lit(" "))
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     body = F.col(norm)

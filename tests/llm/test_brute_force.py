@@ -72,6 +72,57 @@ def test_license_base(spark, sf):
         assert names <= set(r.labels.split(",")) or not names
 
 
+STATEMENTS = [
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+    "This program is free software: you can redistribute it under the terms of the GNU General Public License v3 or later.",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "SPDX-License-Identifier: BSD-3-Clause. Released under MIT. Copyright, all rights reserved. CC BY-NC-SA 4.0 and cc0 1.0, wtfpl",
+    "distributed under the terms of the bsd license, dual licensed under the MPL 2.0; \u0130 under the MIT license MIT licence",
+    "public domain; placed in the public domain; the Eclipse Public License 2.0, LGPL-2.1 and AGPL v3; licensed under the ISC license",
+]
+
+
+def test_license_rules_against_full_scans(spark, sf):
+    """Every rule's matches, found one by one, without those inside another one, against what the scan returns."""
+    word, fold = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rules = [(label, re.compile(p), sure) for label, _, p, sure in licenses.build_rules()]
+    docs = list(texts(spark, sf).values())[:80] + STATEMENTS + [" ".join(STATEMENTS)]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for r in licenses.scan_licenses(rows).collect():
+        norm = " " + " ".join(word.findall(docs[r.doc_id].translate(fold))) + " "
+        found = sorted((m.start(), -m.end(), i, label, sure) for i, (label, p, sure) in enumerate(rules) for m in p.finditer(norm))
+        want = []
+        for a, b, _, label, sure in found:
+            if all(-b > end for _, end, _, _ in want):
+                want.append((a, -b, label, sure))
+        assert [tuple(d) for d in r.detections] == want, docs[r.doc_id][:80]
+        if r.doc_id >= 80:
+            assert want
+
+
+def test_secret_rules_against_full_scans(spark, sf):
+    """Spans of every rule, the added ones too, against its regular expression run over every text."""
+    planted = {
+        "private_key": "-----BEGIN RSA PRIVATE KEY-----", "session_access": "ASIA" + "ABCD1234" * 2, "code_host_token": "ghp_" + "a1B2" * 10, "code_host_pat": "github_pat_" + "a1_B" * 9, "lab_token": "glpat-" + "a-1_B" * 5,
+        "chat_token": "xoxb-" + "12ab-" * 4, "chat_webhook": "https://hooks.slack.com/services/" + "T0A/B1c" * 4, "map_key": "AIza" + "a1B_-" * 7, "oauth_token": "ya29." + "a1B-_" * 5, "web_token": "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12,
+        "payment_key": "sk_live_" + "a1B2" * 5, "mail_key": "SG." + "a1B2" * 5 + "." + "c3D4" * 5, "package_token": "npm_" + "a1B2" * 9, "index_token": "pypi-AgE" + "a1B2_" * 11, "cloud_token": "dop_v1_" + "a1b2" * 16,
+        "storage_key": "AccountKey=" + "a1B2+/" * 8 + "==", "bearer": "Authorization: Bearer " + "a1B2." * 6, "url_login": "ftp://user:secret99@host/", "bot_token": "123456789:AA" + "a1B-_9z" * 4 + "abcde", "assign": "API_KEY='abcdefgh12'", "access": "AKIA" + "ABCD1234" * 2, "hex": "ab" * 20,
+    }
+    assert set(planted) == {r.kind for r in secrets.RULES}
+    docs = list(texts(spark, sf).values()) + [f"é see {x} now\n{x}" for x in planted.values()] + [" ".join(planted.values()), *[x[:-12] for x in planted.values()]]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for r in secrets.find_secrets(rows).collect():
+        want = []
+        for order, rule in enumerate(secrets.RULES):
+            for m in re.finditer(rule.pattern, docs[r.doc_id], re.A):
+                if rule.keep is None or len(m[rule.keep[0]]) >= rule.keep[1]:
+                    want.append((m.start(), order, rule.kind, m.end()))
+        assert [(s.start, s.kind, s.end) for s in r.secrets] == [(a, k, b) for a, _, k, b in sorted(want)]
+        at = r.doc_id - len(docs) + 2 * len(planted) + 1
+        if 0 <= at < len(planted):
+            assert list(planted)[at] in {s.kind for s in r.secrets}
+
+
 def test_license_containment(spark):
     rows = spark.createDataFrame([(1, "Licensed under the GNU General Public License version 3 or later."), (2, "under the MIT license; SPDX-License-Identifier: Apache-2.0"), (3, "CC-BY-NC-SA 4.0 ... cc by nc")], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.license_report(rows).collect()}
