@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..constants import DISPUTE_TERMS, FOCUS_SECTIONS, GROUP_ORDER, KEY_SECTIONS, LEGAL_SECTIONS, OTHER_BUDGET, PASSAGE_LIMIT, RERANK_BUDGETS, RERANK_GROUPS, RERANK_ORDER, ROUTES, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
 from ..functions import text as tx
-from ..operators import corpus, evaluation, fusion, lexical, profile, rerank, results, tuning, upkeep, vector
+from ..operators import corpus, details, evaluation, fusion, lexical, profile, rerank, results, tuning, upkeep, vector
 from ..streaming import incremental
 from . import search as plan
 
 SIZE = 30  # candidates of a route
+ANCHORS = [("process", "P", ["the ", "der "]), ("claims", "C", ["que "]), ("facts", "F", ["tion", "ung"])]
 MARKS = ["the ", "der ", "que "]
 REQUIRED = [{"name": "one", "query_any": ["the", "der"], "doc_any": ["thth"], "penalty": 0.18}, {"name": "two", "query_all": ["e"], "query_any": ["que"], "doc_any": ["ción"], "penalty": 0.1}]
 CONFLICTS = [{"name": "three", "query_any": ["tion"], "doc_any": ["ung"], "absent": ["the "], "penalty": 0.14}]
@@ -386,6 +387,77 @@ def sessions(spark, sf):
     return incremental.sessions(_t(spark, sf, "events"))
 
 
+def _sections(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", F.explode(details.text_sections(F.col("text"), ANCHORS)).alias("s"))
+    return rows.select("doc_id", "s.*")
+
+
+def section_extract(spark, sf):
+    return _sections(spark, sf).select("doc_id", "place", "id", "title", F.length("content").alias("n"), F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+
+
+def preview_sections(spark, sf):
+    return details.ranked_sections(_sections(spark, sf), ["facts", "claims", "judgment"]).select("doc_id", "at", "id", F.length("content").alias("n"))
+
+
+def first_sections(spark, sf):
+    return details.first_sections(_chunks(spark, sf), ["claims", "facts", "reasoning", "judgment"]).select("doc_id", "section_type", "chunk_id")
+
+
+def draft_cut(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.sha2(details.draft(F.col("text"), ["que ", "tion", "und "]).cast("binary"), 256).alias("hash"))
+
+
+def rewrite_parse(spark, sf):
+    """Rewrites as JSON: some of them broken, some of other types, the rest of turns of conversations."""
+    good = F.to_json(F.struct(F.col("text").alias("expanded_query"), F.col("role").alias("legal_issue"), F.array("role", "text", "role").alias("focus_labels")))
+    kind = F.col("turn") % 5
+    content = F.when(kind == 0, F.concat(F.lit("no json: "), "text")).when(kind == 1, "[1, 2]").when(kind == 2, '{"expanded_query": 5, "focus_labels": "x"}').otherwise(good)
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", details.parse_rewrite(content).alias("r")).select("conv_id", "turn", "r.*")
+    return rows.withColumn("focus_labels", F.array_join("focus_labels", "|"))
+
+
+def answer_object(spark, sf):
+    """Objects in answers with fences and words around them."""
+    turn = F.to_json(F.struct("role", "turn"))
+    content = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), turn, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("so: "), turn, F.lit(" done"))).otherwise(F.lit("none"))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", details.json_object(content).alias("object"))
+
+
+def chunk_passage(spark, sf):
+    none = F.array().cast("array<string>")
+    said = details.chunk_passage(F.col("lang"), F.lit(""), F.col("section_type"), none, F.array("source", "lang"), F.col("chunk_text"))
+    return _chunks(spark, sf).select("chunk_id", F.sha2(said.cast("binary"), 256).alias("hash"))
+
+
+def core_issue(spark, sf):
+    labels = F.array(F.lit(" "), F.col("source"), F.concat(F.lit(" "), "lang"))
+    rows = _t(spark, sf, "documents")
+    return rows.select("doc_id", details.core_issue(F.col("lang"), labels, F.lit(None).cast("array<string>")).alias("issue"), details.chunk_key(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.col("doc_id"), F.col("lang"), F.col("text")).alias("chunk_key"))
+
+
+def statute_flatten(spark, sf):
+    cited = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("article"), F.col("l_returnflag").alias("law"), F.col("l_linestatus").alias("original"))))
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(details.statute_lines(cited).alias("lines"))
+
+
+def chunk_sample(spark, sf):
+    return details.sample_chunks(_chunks(spark, sf))
+
+
+def worst_deltas(spark, sf):
+    return details.worst_deltas(method_comparison(spark, sf), ["d_mrr", "d_map", "d_recall_20"], "d_mrr").select("query_id", "d_mrr", "d_map")
+
+
+def label_samples(spark, sf):
+    return details.label_samples(_t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 50).alias("doc_id"), (F.col("l_quantity").cast("int") % 4).alias("grade")))
+
+
+def diagnosis_export(spark, sf):
+    positives = _qrels(spark, sf).where("grade >= 2")
+    return details.diagnosis_export(evaluation.diagnose(_metrics(spark, sf)), positives, missed_positives(spark, sf), "near")
+
+
 FLAGSHIP = "hybrid_search"
 QUERIES = {f.__name__: f for f in (
     compact_text, clean_text, clause_split, term_hits, query_profile, route_expansion, case_projection, full_text_assembly, section_unpivot, chunk_ordinals, chunk_links, chunk_hashes, embedding_text,
@@ -393,6 +465,7 @@ QUERIES = {f.__name__: f for f in (
     route_case_ranking, case_rrf, case_aggregate_alt, chunk_merge, top_chunks_per_case, rerank_chunk_pick, best_chunk_per_section, minmax_normalize, structure_adjustment, rerank_fusion, rank_safe,
     result_entry, public_result, hybrid_search, passage_build, guardrail_penalty, profile_bonus, marker_split, chunk_fixed_split, advisor_fallback, citations_valid, query_metrics, metrics_by_group, diagnosis, diagnosis_summary, missed_positives, method_comparison,
     scorer, scorer_no_anchor, grade_counts, judge_agreement, dedup_first, grid_refuse, best_runs, resume_anti_join, cache_upsert, point_lookup, set_ops, json_fields, stream_windows, sessions,
+    section_extract, preview_sections, first_sections, draft_cut, rewrite_parse, answer_object, chunk_passage, core_issue, statute_flatten, chunk_sample, worst_deltas, label_samples, diagnosis_export,
 )}
 
 # --- SQL --------------------------------------------------------------------
@@ -498,6 +571,12 @@ _LABEL = """CASE WHEN positive_count = 0 THEN 'no_positive' WHEN NOT top100_has_
 _DIAG = f"{_EVAL}, dg AS (SELECT *, {_LABEL} AS label FROM m), dz AS (SELECT *, CASE label WHEN 'no_positive' THEN 'excluded' WHEN 'recall_failure' THEN 'recall' WHEN 'good' THEN 'good' ELSE 'ranking' END AS bucket FROM dg)"
 _MEANS = ", ".join(f"round(avg({x}), 6) AS {x}" for x in evaluation.MEANS)
 _PICK = "row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {o})::INT"
+_STRIP = lambda x: f"regexp_replace({x}, '^{_WHITE}|{_WHITE}$', '', 'g')"
+_AT = lambda needles: "list_min(list_filter([" + ", ".join(f"instr(text, '{n}')" for n in needles) + "], lambda i: i > 0))"
+_EXTRACT = f"""an AS (SELECT doc_id, text, unnest([{', '.join(_AT(n) for _, _, n in ANCHORS)}]) AS a, unnest(range(1, {len(ANCHORS) + 1}))::INT AS place, unnest({[i for i, _, _ in ANCHORS]}) AS id, unnest({[t for _, t, _ in ANCHORS]}) AS title FROM documents),
+ ao AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a, place), length(text) + 1) AS b FROM an WHERE a IS NOT NULL),
+ ah AS (SELECT doc_id, 0 AS place, 'header' AS id, '首部信息' AS title, substring(text, 1, coalesce((SELECT min(a) FROM ao WHERE ao.doc_id = d.doc_id), length(text) + 1) - 1) AS raw FROM documents d),
+ xs AS (SELECT doc_id, place, id, title, {_STRIP('raw')} AS content FROM (SELECT * FROM ah UNION ALL SELECT doc_id, place, id, title, substring(text, a, b - a) FROM ao) WHERE {_STRIP('raw')} <> '')"""
 _FIRST = f"own = 1 AND section_type IN {_IN(RERANK_ORDER)}"
 _BEST = _PICK.format(o=f"NOT ({_FIRST}), CASE WHEN {_FIRST} THEN {_PLACE} ELSE (section_type NOT IN {_IN(LEGAL_SECTIONS)})::INT END, CASE WHEN {_FIRST} THEN 0 ELSE -score END, {_PLACE}, chunk_id")
 
@@ -613,6 +692,23 @@ ORACLES = {
     "point_lookup": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "set_ops": "SELECT 'both' AS op, k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'only_b', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'either', k FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer)",
     "json_fields": "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events",
+    "section_extract": f"WITH {_EXTRACT} SELECT doc_id, place, id, title, length(content)::INT AS n, sha256(content) AS hash FROM xs",
+    "preview_sections": f"WITH {_EXTRACT}, k AS (SELECT doc_id, unnest([0, 1, 2])::INT AS at, unnest(['facts', 'claims', 'judgment']) AS id FROM (SELECT DISTINCT doc_id FROM xs)) SELECT doc_id, k.at AS \"at\", id, coalesce(length(content), 0)::INT AS n FROM k LEFT JOIN xs USING (doc_id, id)",
+    "first_sections": f"WITH {_CHUNKS} SELECT doc_id, section_type, arg_min(chunk_id, section_index) AS chunk_id FROM ch WHERE section_type IN ('claims', 'facts', 'reasoning', 'judgment') GROUP BY ALL",
+    "draft_cut": f"SELECT doc_id, sha256(coalesce(substring(text, {_AT(['que ', 'tion', 'und '])}), '')) AS hash FROM documents",
+    "rewrite_parse": f"""WITH c AS (SELECT conv_id, turn, turn % 5 AS k, role, {_compact('text')} AS t FROM conversations), l AS (SELECT *, list_filter([role, t], lambda x: x <> '' AND length(x) <= 40) AS ls FROM c)
+      SELECT conv_id, turn, CASE WHEN k > 2 AND length(t) <= 120 THEN t ELSE '' END AS expanded_query, CASE WHEN k > 2 THEN role ELSE '' END AS legal_issue, '' AS fact_elements, '' AS statutes, '' AS main_leaf,
+      CASE WHEN k > 2 THEN array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), '|') ELSE '' END AS focus_labels, k > 2 AS used, CASE WHEN k < 2 THEN 'invalid_json' WHEN k = 2 THEN 'empty_fields' ELSE '' END AS fallback_reason FROM l""",
+    "answer_object": """SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN '{"role":"' || role || '","turn":' || turn || '}' END AS object FROM conversations""",
+    "chunk_passage": f"WITH {_CHUNKS} SELECT chunk_id, sha256(concat_ws(chr(10), '案由：' || lang, '章节：' || section_type, '裁判结果标签：' || source || '、' || lang, '正文：' || chunk_text)) AS hash FROM ch",
+    "core_issue": "SELECT doc_id, lang || '；' || source || '；' || lang AS issue, CASE WHEN doc_id % 2 = 0 THEN source ELSE doc_id || ':' || lang || ':' || text[1:80] END AS chunk_key FROM documents",
+    "statute_flatten": "SELECT l_orderkey, string_agg(l_returnflag || ' 第' || l_linenumber || '条 ' || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) AS lines FROM lineitem GROUP BY ALL",
+    "chunk_sample": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, section_type, chunk_text[1:360] AS chunk_text FROM ch ORDER BY doc_id, section_index, chunk_id LIMIT 12",
+    "worst_deltas": f"WITH {_EVAL}, {_metrics_sql('far', 'f')}, d AS (SELECT m.query_id, round(f.mrr - m.mrr, 6) AS d_mrr, round(f.map - m.map, 6) AS d_map, round(f.recall_20 - m.recall_20, 6) AS r FROM m JOIN f USING (query_id)) SELECT query_id, d_mrr, d_map FROM d WHERE coalesce(d_mrr, d_map, r) IS NOT NULL ORDER BY coalesce(d_mrr, 0), query_id LIMIT 8",
+    "label_samples": "WITH s AS (SELECT l_suppkey AS query_id, l_partkey % 50 AS doc_id, l_quantity::INT % 4 AS g FROM lineitem) SELECT query_id, doc_id, floor(avg(g) + 0.5)::INT AS main, round(avg(g), 6) AS expected, round(stddev_pop(g), 6) AS deviation, count(*) AS samples FROM s GROUP BY ALL",
+    "diagnosis_export": f"""WITH {_DIAG}, p AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM qrels WHERE grade >= 2 GROUP BY ALL), x AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM qrels WHERE grade >= 2 AND NOT EXISTS (SELECT 1 FROM run WHERE run.query_id = qrels.query_id AND run.doc_id = qrels.doc_id) GROUP BY ALL)
+      SELECT 'near' AS method, dz.query_id, ['hard', 'medium', 'easy'][dz.query_id % 3 + 1] AS difficulty, dz.query_id % 2 = 0 AS trap, positive_count, expected_ndcg_20, recall_20, recall_100, mrr, first_positive_rank::INT AS first_positive_rank, top20_has_positive, top100_has_positive, weak_top20, label AS diagnosis_label, bucket AS diagnosis_bucket, coalesce(p.ids, '') AS positive_doc_ids, coalesce(x.ids, '') AS missed_positive_doc_ids
+      FROM dz LEFT JOIN p ON p.query_id = dz.query_id LEFT JOIN x ON x.query_id = dz.query_id""",
     "stream_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "sessions": """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
       SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM s GROUP BY user_id, sid""",
