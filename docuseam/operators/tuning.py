@@ -7,16 +7,32 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import ROUTES
 from .fusion import RRF_K
 
-#: Fixed values of the grid: multipliers of the route weights.
-GRID = {"bm25_raw": (0.8, 1.0, 1.2, 1.4), "vector_raw": (0.6, 0.8, 1.0, 1.2), "bm25_focus_tags": (1.2, 1.4, 1.6, 1.8), "bm25_fine_rule": (1.1, 1.3, 1.5), "bm25_reasoning": (0.9, 1.1)}
-
-
-def weight_sets(spark: SparkSession, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
-    """(set_id, route, weight) of the grid's product."""
-    sets = list(dict.fromkeys(itertools.product(*grid.values())))
-    return spark.createDataFrame([(i, r, w) for i, ws in enumerate(sets) for r, w in zip(grid, ws, strict=True)], "set_id int, route string, weight double")
+# --- fixed values: presets and grid of route weights --------------------------
+PRESETS = {
+    "baseline": {},
+    "issue_strong": {"bm25_fine_tags": 1.60, "bm25_focus_tags": 1.50, "bm25_facts": 0.70},
+    "issue_extreme": {"bm25_fine_tags": 1.80, "bm25_focus_tags": 1.70, "bm25_facts": 0.50},
+    "facts_down": {"bm25_facts": 0.50, "bm25_reasoning": 1.20},
+    "vector_up": {"vector_raw": 1.20, "vector_focus": 1.30},
+    "bm25_up": {"bm25_raw": 1.20, "bm25_focus": 1.10, "bm25_fine_tags": 1.60},
+    "negative_up": {"bm25_negative": 1.40, "bm25_facts": 0.70},
+    "reasoning_up": {"bm25_reasoning": 1.30, "bm25_focus_tags": 1.50},
+}
+GRID = {"bm25_fine_tags": (1.2, 1.4, 1.6, 1.8), "bm25_focus_tags": (1.2, 1.4, 1.6, 1.8), "bm25_facts": (0.4, 0.6, 0.8, 1.0), "vector_raw": (0.8, 1.0, 1.2), "vector_focus": (0.9, 1.2)}
+
+
+def weight_sets(spark: SparkSession, grid: dict[str, tuple[float, ...]] = GRID, presets: dict[str, dict[str, float]] = PRESETS) -> DataFrame:
+    """(set_id, name, route, weight): presets, then the grid's product, each over the routes' own weights and each once."""
+    own = {n: w for n, _, w, _ in ROUTES}
+    made = [*presets.items(), *(("grid", dict(zip(grid, ws, strict=True))) for ws in itertools.product(*grid.values()))]
+    sets: dict[tuple, str] = {}
+    for name, changed in made:
+        sets.setdefault(tuple((own | changed).items()), name)
+    rows = [(i, name, route, float(w)) for i, (weights, name) in enumerate(sets.items()) for route, w in weights]
+    return spark.createDataFrame(rows, "set_id int, name string, route string, weight double")
 
 
 def refuse(route_ranks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -26,7 +42,7 @@ def refuse(route_ranks: DataFrame, sets: DataFrame) -> DataFrame:
     sets are a fixed small grid; routes outside of it keep their weight.
     """
     ids = sets.select("set_id").distinct()
-    rows = route_ranks.withColumnRenamed("weight", "own").crossJoin(F.broadcast(ids)).join(F.broadcast(sets), ["set_id", "route"], "left")
+    rows = route_ranks.withColumnRenamed("weight", "own").crossJoin(F.broadcast(ids)).join(F.broadcast(sets.select("set_id", "route", "weight")), ["set_id", "route"], "left")
     part = F.coalesce("weight", "own") / (RRF_K + F.col("route_rank"))
     out = rows.groupBy("set_id", "query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("set_id", "query_id").orderBy(F.desc("score"), F.asc("doc_id"))

@@ -344,7 +344,7 @@ def dedup_first(spark, sf):
 
 def grid_refuse(spark, sf):
     ranks = fusion.route_case_ranking(_hits(spark, sf)).select("query_id", "route", "weight", "doc_id", "route_rank")
-    sets = tuning.weight_sets(spark, {"bm25_raw": (0.8, 1.2), "vector_raw": (0.6, 1.0)})
+    sets = tuning.weight_sets(spark, {"bm25_raw": (0.8, 1.2), "vector_raw": (0.6, 1.0)}, {})
     return tuning.refuse(ranks, sets).where("rank <= 5").select("set_id", "query_id", "doc_id", "score", "rank")
 
 

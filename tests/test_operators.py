@@ -118,20 +118,27 @@ def test_upkeep_and_citations(spark):
 
 def test_grid(spark):
     sets = tuning.weight_sets(spark)
-    assert sets.select("set_id").distinct().count() == 4 * 4 * 4 * 3 * 2
+    assert sets.select("set_id").distinct().count() == 391  # 384 of the grid and 8 presets, one of which is in the grid
+    got = {r.route: r.weight for r in sets.where("name = 'vector_up'").collect()}
+    assert len(got) == 12 and (got["vector_raw"], got["vector_focus"], got["bm25_raw"]) == (1.2, 1.3, 1.0)
 
 
 def test_sources(spark, tmp_path):
     p = tmp_path / "qrels.jsonl"
     p.write_text('{"query_id":"q","candidates":[{"doc_id":"a","grade_主档":2,"grade_期望":1.5},{"doc_id":"a","grade_主档":3}]}\n\n', "utf-8")
-    assert [tuple(r) for r in io.read_qrels(spark, str(p)).collect()] == [("q", "a", 3, 3.0)]
+    assert [tuple(r) for r in io.read_qrels(spark, str(p)).collect()] == [("q", "a", 3, 3.0, None)]
     t = tmp_path / "qrels.txt"
     t.write_text("q 0 a 2\n\nq 0 b x\n")
     assert [tuple(r) for r in io.read_trec_qrels(spark, str(t)).collect()] == [("q", "a", 2), ("q", "b", None)]
     r = tmp_path / "run.jsonl"
-    r.write_text('{"query_id":"q","ranking":["b","a"]}\n')
+    r.write_text('{"query_id":"q","ranking":["x"]}\n{"query_id":"q","ranking":["b","a"]}\n')
     assert [tuple(x) for x in io.read_run(spark, str(r)).collect()] == [("q", "b", 1), ("q", "a", 2)]
     assert io.count_lines(spark, str(t)) == 2
+    j = tmp_path / "rows.jsonl"
+    j.write_text('{"a":1}\n\n{"a":2}\n{"a":3}\n')
+    assert [x.a for x in io.read_jsonl_head(spark, str(j), "a int", 3).collect()] == [1, 2]
+    assert io.read_json_object(spark, str(tmp_path / "none.json"), "a int").count() == 0
+    assert io.first_existing(spark, str(tmp_path / "none"), str(j)) == str(j) and io.first_existing(spark, "x", "y") == "x"
 
 
 def test_config():
