@@ -2,8 +2,8 @@
 
 Texts are read as words: lower-cased runs of letters and digits. A keyword
 prefilter finds the few texts that may mention a license; only those get their
-words joined by single spaces and the rules applied. A rule runs only if its
-own keyword occurs. Detections are intervals of that word text. A detection
+words joined by single spaces and the rules applied. A rule runs only if one
+of its own keywords occurs, which are derived from its pattern. Detections are intervals of that word text. A detection
 whose interval lies inside another one's is suppressed; of equal intervals the
 rule with the higher priority (the earlier one) stays. The base phrases are
 found word by word beside the rules and are never suppressed.
@@ -11,10 +11,13 @@ found word by word beside the rules and are never suppressed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh_name
+from .secrets import strings_of
 from .spans import match_spans
 
 #: What separates words; a word is a run of all other characters.
@@ -119,25 +122,38 @@ _FORMS: tuple[tuple[str, float], ...] = (
 
 #: Names that say a license by themselves, without the word.
 _STANDALONE = frozenset("cc0 cc-by cc-by-sa cc-by-nd cc-by-nc cc-by-nc-sa cc-by-nc-nd gpl-2 gpl-3 lgpl-2.1 lgpl-3 agpl-3 wtfpl unlicense odbl".split())
-_KEYWORDS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain", "creative commons", " cc", "gpl", "wtfpl", "odbl", "warranty", "product includes", "rights reserved", "same terms as perl", "reproduce", "names of its contributors", "advertising materials", "purpose", "waive", "what the fuck", "provided as is", "any later version", "making python", "file except in compliance")
 #: One of these, a word that is cc or starts with cc0, or the start of a grant is in the word text of every detection.
 _GATE = ("licen", "copyright", "permission", "redistribut", "spdx", "domain", "commons", "gpl", "wtfpl", "odbl", "warrant", "includes", "reserved", "perl", "reproduce", "contributors", "advertising", "purpose", "waive", "fuck", "provided", "version", "python", "compliance", "consortium", " zero ")
 
 
-def _keyword(pattern: str) -> str:
-    """A literal of the list that every match of the pattern contains."""
-    plain = pattern.replace("(?:", "(")
-    return next((k for k in _KEYWORDS if k.strip() and k in plain), "")
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match of the pattern contains one: those of its most telling part."""
+    best: tuple[str, ...] = ()
+    run = {""}
+
+    def told(strings: set[str]) -> tuple[str, ...]:
+        least = sorted({x.strip() for x in strings}, key=lambda x: (len(x), x))
+        return tuple(x for i, x in enumerate(least) if not any(y in x for y in least[:i]))
+
+    for item in [*re._parser.parse(pattern), None]:  # type: ignore[attr-defined]
+        more = None if item is None else strings_of(item)
+        if more is not None and len(run) * len(more) <= 64:
+            run = {a + b for a in run for b in more}
+            continue
+        some = told(run)
+        if some and min(map(len, some)) > min(map(len, best), default=0):
+            best = some
+        run = more or {""}
+    return best
 
 
-def build_rules() -> list[tuple[str, str, str, float]]:
-    """(label, keyword, pattern, confidence) in order of priority."""
-    out = [(label, _keyword(p), p, 0.98) for label, _, more in _LICENSES for p in more]
+def build_rules() -> list[tuple[str, tuple[str, ...], str, float]]:
+    """(label, keywords, pattern, confidence) in order of priority. A rule for a name runs where a word of the name occurs."""
+    out = [(label, keywords(p), p, 0.98) for label, _, more in _LICENSES for p in more]
     for form, sure in _FORMS:
-        word = "spdx" if form.startswith("spdx") else "" if "licensed|released" in form else "licen"
-        out += [(label, word, form.replace("{n}", f"(?:{name})"), sure) for label, name, _ in _LICENSES]
-    out += [(label, "", f"(?:{name})", 0.6) for label, name, _ in _LICENSES if label in _STANDALONE]
-    return [(label, word, f"(?<= )(?:{p})(?= )", sure) for label, word, p, sure in out]
+        out += [(label, keywords(name), form.replace("{n}", f"(?:{name})"), sure) for label, name, _ in _LICENSES]
+    out += [(label, keywords(name), f"(?:{name})", 0.6) for label, name, _ in _LICENSES if label in _STANDALONE]
+    return [(label, words, f"(?<= )(?:{p})(?= )", sure) for label, words, p, sure in out]
 
 
 def _may_mention(words: Column) -> Column:
@@ -148,10 +164,10 @@ def _may_mention(words: Column) -> Column:
     return out | F.rlike(words, F.lit(f" {_GRANT}"))
 
 
-def _detections(norm: Column, rules: list[tuple[str, str, str, float]]) -> Column:
+def _detections(norm: Column, rules: list[tuple[str, tuple[str, ...], str, float]]) -> Column:
     """All rules' matches in word text as (start, -end, order, label, sure), sorted."""
-    table = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(a).alias("label"), F.lit(w).alias("word"), F.lit(p).alias("pattern"), F.lit(float(c)).alias("sure")) for i, (a, w, p, c) in enumerate(rules)])
-    able = F.filter(table, lambda r: F.contains(norm, r["word"]) & F.rlike(norm, r["pattern"]))
+    table = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(a).alias("label"), F.array(*[F.lit(x) for x in w]).alias("words"), F.lit(p).alias("pattern"), F.lit(float(c)).alias("sure")) for i, (a, w, p, c) in enumerate(rules)])
+    able = F.filter(table, lambda r: F.exists(r["words"], lambda w: F.contains(norm, w)) & F.rlike(norm, r["pattern"]))
 
     def spans(r):
         pieces = F.transform(F.split(norm, r["pattern"], -1), F.length)
@@ -181,7 +197,7 @@ def _uncontained(found: Column) -> Column:
     return F.aggregate(found, start, step, lambda a: a["out"])
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", rules: list[tuple[str, str, str, float]] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", rules: list[tuple[str, tuple[str, ...], str, float]] | None = None) -> DataFrame:
     """Add ``n_words``, ``base`` and ``detections`` to every row.
 
     ``base``: array of (at, label), the word numbers (from 0) at which a base

@@ -66,7 +66,7 @@ def _fold(s: str) -> str:
     return s.lower() if s.isascii() else s
 
 
-def _strings(item) -> set[str] | None:
+def strings_of(item) -> set[str] | None:
     """All strings that a piece of the parsed expression matches, if they are few."""
     op, arg = str(item[0]), item[1]
     if op == "LITERAL":
@@ -102,7 +102,7 @@ def _strings(item) -> set[str] | None:
 def _sequence(items) -> set[str] | None:
     out = {""}
     for item in items:
-        more = _strings(item)
+        more = strings_of(item)
         if more is None or len(out) * len(more) > _MAX_STRINGS:
             return None
         out = {a + b for a in out for b in more}
@@ -150,7 +150,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
             run = {""}
 
         for item in items:
-            more = _strings(item)
+            more = strings_of(item)
             if more is not None and len(run) * len(more) <= _MAX_STRINGS:
                 run = {a + b for a in run for b in more}
                 continue
