@@ -154,6 +154,8 @@ _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1656
 #: Positions of a key, and keys of a text: a pair at 0.8 shares a key with a probability of over 0.9999.
 POSITIONS, KEYS = 7, 42
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, KEYS * POSITIONS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+#: One bit of each of so many positions, four words of 64, is compared where pairs are made.
+SKETCH_BITS = 256
 #: Standard deviations that a pair's tally may lie under its mean at the similarity.
 SLACK = 4.5
 #: Rounds in which the members of a list are compared with a leader before what is still apart is paired.
@@ -176,8 +178,8 @@ def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def minwise(s: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The keys of a set of shingles and its positional bytes; an empty set has keys of its own."""
+def minwise(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The keys of a set of shingles, its sketch and its positional bytes; an empty set has keys of its own."""
     low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 256):  # bounds what is held at once
         np.minimum(low, (s[i : i + 256, None] * _FACTORS).min(axis=0), out=low)
@@ -186,7 +188,16 @@ def minwise(s: np.ndarray) -> tuple[np.ndarray, bytes]:
     for k, part in enumerate(mixed.reshape(KEYS, POSITIONS).T):
         keys = (keys ^ (keys >> np.uint64(29))) * _PLACES[k % len(_PLACES)] + part
     keys = (keys + np.arange(KEYS, dtype=np.uint64)) * _PLACES[0]
-    return keys ^ (keys >> np.uint64(32)), (mixed * _PLACES[1] >> np.uint64(56)).astype(np.uint8).tobytes()
+    spread = mixed * _PLACES[1]
+    sketch = np.packbits((spread[:SKETCH_BITS] & np.uint64(1 << 40)) > 0).view(np.int64)
+    return keys ^ (keys >> np.uint64(32)), sketch, (spread >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def near_sketches(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketches differ in no more bits than the similarity allows, but for one pair of hundreds of thousands."""
+    mean = SKETCH_BITS * (1 - similarity) / 2
+    most = math.floor(mean + SLACK * math.sqrt(mean * (1 + similarity) / 2))
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0)) <= most
 
 
 def least_tally(similarity: float) -> int:
@@ -202,28 +213,29 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _mark_rows(docs: DataFrame, text: str, shingle_words: int) -> tuple[DataFrame, dict[str, str]]:
-    """All columns and, under fresh names, a tag of the row, its set of shingles (node), its keys and positional bytes; kept as Parquet in the shared folder."""
+    """All columns and, under fresh names, a tag of the row, its set of shingles (node), its keys, sketch and positional bytes; kept as Parquet in the shared folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
     ensure_checkpoint_dir(spark)
-    name = {c: fresh_name(docs, f"_{c}") for c in ("tag", "node", "keys", "bytes")}
+    name = {c: fresh_name(docs, f"_{c}") for c in ("tag", "node", "keys", "sketch", "bytes")}
     tagged = docs.select("*", F.monotonically_increasing_id().alias(name["tag"]))
-    at, names = docs.columns.index(text), [*tagged.columns, name["node"], name["keys"], name["bytes"]]
+    at, names = docs.columns.index(text), [*tagged.columns, *[name[c] for c in ("node", "keys", "sketch", "bytes")]]
 
     def run(batches):
         for b in batches:
-            nodes, keys, held = [], [], []
+            nodes, keys, sketches, held = [], [], [], []
             for t in b.column(at):
                 s = shingle_set(t.as_py(), shingle_words)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
-                k, x = minwise(s)
+                k, sketch, x = minwise(s)
                 keys.append(k.view(np.int64))
+                sketches.append(sketch)
                 held.append(x)
-            flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
-            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), flat), pa.array(held, pa.binary())]
+            lists = lambda xs, n: pa.ListArray.from_arrays(pa.array(np.arange(len(xs) + 1, dtype=np.int32) * n), pa.array(np.concatenate([np.empty(0, np.int64), *xs])))
+            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(keys, KEYS), lists(sketches, SKETCH_BITS // 64), pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
 
-    schema = StructType([*tagged.schema.fields]).add(name["node"], "long").add(name["keys"], ArrayType(LongType())).add(name["bytes"], "binary")
+    schema = StructType([*tagged.schema.fields]).add(name["node"], "long").add(name["keys"], ArrayType(LongType())).add(name["sketch"], ArrayType(LongType())).add(name["bytes"], "binary")
     return _kept(spark, tagged.mapInArrow(run, schema)), name
 
 
@@ -272,15 +284,16 @@ def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """``node`` and ``root``, tags of their first rows, of all sets of shingles (node, keys, bytes, tag, text) that have a near copy."""
+    """``node`` and ``root``, tags of their first rows, of all sets of shingles (node, keys, sketch, bytes, tag, text) that have a near copy."""
     spark = rows.sparkSession
     kept = lambda df: _kept(spark, df)
     # a set is named by its first row's tag from here on
     firsts = rows.groupBy("node").agg(F.min("tag").alias("tag"))
-    prints = rows.join(firsts.select("tag"), "tag", "left_semi").select(F.col("tag").alias("id"), "keys", "bytes")
+    prints = rows.join(firsts.select("tag"), "tag", "left_semi").select(F.col("tag").alias("id"), "keys", "sketch", "bytes")
     postings = prints.select("id", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    shared = kept(postings.join(lists, "key").select("key", F.col("id").alias("node")))
+    met = postings.join(lists, "key").select("key", F.col("id").alias("node"))
+    shared = kept(met.join(prints.select(F.col("id").alias("node"), "sketch"), "node"))
     some = shared.select("node").distinct()
     signs = kept(prints.join(some.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "bytes"))
     texts = kept(rows.select(F.col("tag").alias("node"), "text").join(some, "node", "left_semi"))
@@ -288,18 +301,20 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) ->
 
     edges, apart = None, shared
     for k in range(LEADER_ROUNDS):
-        led = apart.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("leader"))
-        stars = apart.join(led, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        first = F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(k)))
+        led = apart.groupBy("key").agg(first.alias("f")).select("key", F.col("f.node").alias("leader"), F.col("f.sketch").alias("sketch_of"))
+        stars = apart.join(led, "key").where((F.col("node") != F.col("leader")) & near_sketches("sketch", "sketch_of", similarity)).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         found = decided(stars)
         edges = found if edges is None else edges.union(found)
         roots = connected_components(edges)
-        part = apart.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        part = apart.select("key", "node", "sketch").join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
         mixed = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         apart = kept(part.join(mixed, "key", "left_semi"))
         if apart.isEmpty():
             return roots
-    left, right = (apart.select("key", F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
-    rest = left.join(right, "key").where("a < b AND root_a <> root_b").select("a", "b")
+    left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "sketch")]) for end in "ab")
+    fit = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near_sketches("sketch_a", "sketch_b", similarity)
+    rest = left.join(right, "key").where(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     return connected_components(edges.union(decided(rest)))
 
 
@@ -309,8 +324,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     Links are pairs whose sets of distinct shingles have this Jaccard similarity.
     Equal sets are merged first. The index posts each set under ``KEYS`` tuples
     of ``POSITIONS`` positional bytes, minwise hashes of its shingles; pairs that
-    meet get their shared bytes tallied, and those with enough are decided by the
-    shingles of their texts. The members of a list are compared with leaders, and
+    meet, and whose sketches are near, get their shared bytes tallied, and those
+    with enough are decided by the shingles of their texts. The members of a list are compared with leaders, and
     whatever these leave in different groups is then paired in full, so no list
     is capped. Nulls, empty texts and repeated rows are as in ``simhash_groups``.
     """

@@ -1,5 +1,6 @@
 """Near copies: whole recall from the similarity on, long lists, and which row stays."""
 
+import itertools
 import random
 
 import pytest
@@ -58,6 +59,21 @@ def test_rows_stay_by_group(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, three), (0, four)])
 
 
+def test_links_of_the_table(spark, sf):
+    """Every link of the documents table, and no other, against the similarity of all pairs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {r.doc_id: simhash_dedup.shingle_set(r.text) for r in docs.collect()}
+    root = {d: d for d in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if simhash_dedup.alike(sets[a], sets[b], 0.8):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r.doc_id: r.component_id for r in simhash_dedup.near_copy_groups(docs).collect()} == {d: find(d) for d in sets}
+
+
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 50)
     rows = spark.range(400).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS k")
