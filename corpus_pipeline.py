@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docuseam.llm.common import ensure_checkpoint_dir, table
+from docuseam.llm.common import drop_folder, ensure_checkpoint_dir, table
 from docuseam.llm.decontaminate import drop_leaks
 from docuseam.llm.quality import fit_quality, keep_good
 from docuseam.llm.secrets import redact
@@ -61,12 +61,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, with Parquet in the shared checkpoint folder between them."""
+    """All stages over documents, with Parquet in the shared checkpoint folder between them.
+
+    What a stage has read is deleted once its own result is written.
+    """
     ensure_checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{at}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if read is not None:
+            drop_folder(spark, read)
+        read = out
     return docs

@@ -68,6 +68,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more, wherever it is stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, which outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
