@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..constants import CASE_KEY_SECTIONS
 from ..operators import fusion, lexical, profile, rerank, results, vector
+from ..session import kept
 
 #: Hits up to this many rows are small enough to be broadcast to the chunks they name.
 SMALL_ROWS = 200_000
@@ -47,7 +46,7 @@ def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config
     vectors hit their document as a whole, as section ``header``.
     """
     size, parts = config.candidate_size, []
-    asked = query_routes(queries, config, rewrite).persist()  # two passes over the queries below read them
+    asked = kept(query_routes(queries, config, rewrite))  # several steps below read them
     bound = asked.count() * size
     if config.mode in ("hybrid", "bm25"):
         lexed = asked.where("route_type = 'bm25'")
@@ -70,9 +69,7 @@ def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = with_bonus(out, queries, chunks, bound)
-    weakref.finalize(out, asked.unpersist)
-    return out
+    return with_bonus(out, queries, chunks, bound)
 
 
 def with_bonus(hits: DataFrame, queries: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:
@@ -85,15 +82,13 @@ def with_bonus(hits: DataFrame, queries: DataFrame, chunks: DataFrame, bound: in
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig(), rewrite: str | None = None) -> DataFrame:
-    """Ranked cases of every query with their fields. The hits stay cached as long as the returned frame lives."""
+    """Ranked cases of every query with their fields."""
     config = config.validate()
-    hits = route_hits(queries, chunks, vectors, config, rewrite).persist()  # several steps below read them
+    hits = kept(route_hits(queries, chunks, vectors, config, rewrite))  # several steps below read them
     ranked = fusion.case_rrf(hits, config.chunk_top_k)
     if config.rerank:
         ranked = reranked(hits, ranked, queries, chunks, cases, config)
-    out = results.result_entries(ranked, cases, config.top_k)
-    weakref.finalize(out, hits.unpersist)
-    return out
+    return results.result_entries(ranked, cases, config.top_k)
 
 
 def case_chunks(hits: DataFrame, head: DataFrame, chunks: DataFrame, per_case: int = 8, bound: int = SMALL_ROWS + 1) -> DataFrame:

@@ -1,6 +1,10 @@
 """Session with the settings that the engine relies on."""
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,3 +28,18 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20, rows: int = 4000)
     """Bound the Arrow batches that reach Python workers, so that long texts fit."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame's rows in the shared checkpoint folder, without the plan that made them.
+
+    A folder of the driver's own is taken only where none is set and driver and
+    executors are one process.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
+    return df.checkpoint()

@@ -9,7 +9,7 @@ import pytest
 from docuseam.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["compact_text", "clean_text", "clause_split", "term_hits", "case_projection", "section_unpivot", "chunk_links", "line_numbers", "context_window", "anchor_slice", "corpus_stats", "bm25_topk", "knn_cosine_topk", "case_rrf", "best_chunk_per_section", "rank_safe", "metrics_by_group", "diagnosis_summary", "scorer_no_anchor", "judge_agreement", "cache_upsert", "set_ops", "sessions"]
+SOME = ["compact_text", "clean_text", "clause_split", "term_hits", "case_projection", "section_unpivot", "chunk_links", "line_numbers", "context_window", "anchor_slice", "corpus_stats", "bm25_topk", "knn_cosine_topk", "case_rrf", "best_chunk_per_section", "rank_safe", "metrics_by_group", "diagnosis_summary", "scorer_no_anchor", "judge_agreement", "cache_upsert", "set_ops", "sessions", "route_expansion", "passage_build", "guardrail_penalty", "profile_bonus", "marker_split", "chunk_fixed_split", "section_extract", "preview_sections", "rewrite_parse", "answer_object", "statute_flatten", "diagnosis_export"]
 
 
 def plain(v):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docuseam.config import ADVISOR, SearchConfig
 from docuseam.functions import text as tx
-from docuseam.operators import corpus, evaluation, profile, rerank, results, tuning, upkeep, vector
+from docuseam.operators import corpus, details, evaluation, fusion, lexical, profile, rerank, results, tuning, upkeep, vector
 from docuseam.sources import io
 from docuseam.streaming import incremental
 
@@ -159,3 +159,41 @@ def test_stream_appends_each_row_once(spark, tmp_path):
     rows.union(spark.createDataFrame([(3, "ccc")], "k int, t string")).write.mode("append").parquet(src)
     go()
     assert sorted((r.k, r.n) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_pleadings_and_details(spark):
+    text = "原告张三诉称：货款未付。\n被告李四辩称：已付清。第三人王五述称：不知情。当事人围绕诉讼请求依法提交了证据，略。"
+    got = one(spark.range(1).select(corpus.pleading_sections(F.lit(text)).alias("s"), corpus.pleading_sections(F.lit("无标记")).alias("t")))
+    assert [(x.section_type, x.section_text) for x in got.s] == [("claims", "原告张三诉称：货款未付。"), ("defense", "被告李四辩称：已付清。"), ("defense", "第三人王五述称：不知情。")]
+    assert [(x.section_type, x.section_text) for x in got.t] == [("claims", "无标记")]
+    sections = one(spark.range(1).select(details.text_sections(F.lit("上海法院。经审理查明：甲。本院认为：乙。判决如下：丙。")).alias("s"))).s
+    assert [(x.id, x.content) for x in sections] == [("header", "上海法院。"), ("facts", "经审理查明：甲。"), ("reasoning", "本院认为：乙。"), ("judgment", "判决如下：丙。")]
+    assert one(spark.range(1).select(details.draft(F.lit("思考……观点一：甲。整体判断：乙")).alias("d"))).d == "观点一：甲。整体判断：乙"
+    r = one(spark.range(1).select(details.parse_rewrite(F.lit('{"expanded_query": "' + "长" * 200 + '", "legal_issue": ["x"], "focus_labels": ["ok", 3, " ", "ok"]}')).alias("r"))).r
+    assert (r.expanded_query, r.legal_issue, r.focus_labels, r.used, r.fallback_reason) == ("", "", ["ok"], True, "")
+
+
+def test_best_chunks_fill_by_law_then_score(spark):
+    rows = [("facts", "a", 9.0), ("facts", "b", 8.0), ("reasoning", "c", 1.0), ("reasoning", "d", 0.5), ("other", "e", 7.0)]
+    hits = spark.createDataFrame([("q", 1, c, s, x, "bm25_raw") for s, c, x in rows], "query_id string, doc_id int, chunk_id string, section_type string, score double, route string")
+    picked = [r.chunk_id for r in fusion.best_per_section(hits, 5).orderBy("pick").collect()]
+    assert picked == ["c", "a", "d", "b", "e"]
+
+
+def test_bm25_blocks_match_pairs(spark):
+    """Scores of blocks of queries against the formula, with empty texts, repeated terms and groups."""
+    texts = ["a b b c", "a a", "", None, "c c c d", "b", "a b c d e f"]
+    rows = spark.createDataFrame([(f"k{i}", t, "x" if i % 2 else "y") for i, t in enumerate(texts)], "chunk_id string, chunk_text string, g string")
+    queries = spark.createDataFrame([(1, "b c b"), (2, "a"), (3, "zzz"), (4, None)], "query_id long, query_text string")
+    words = {f"k{i}": (t or "").split() for i, t in enumerate(texts) if t}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    want = {}
+    for q, terms in ((1, "bc"), (2, "a")):
+        for k, w in words.items():
+            s = sum(math.log(1 + (n - df + 0.5) / (df + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms if (df := sum(t in v for v in words.values())))
+            if s:
+                want[(q, k)] = round(s, 6)
+    got = {(r.query_id, r.chunk_id): r.score for r in lexical.bm25_top(queries, rows, 10, group="g").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {(r.query_id, r.chunk_id) for r in lexical.top_k(lexical.bm25_top(queries, rows, 1), 1).collect()} == {(q, max((k for k in want if k[0] == q), key=lambda k: (want[k], k))[1]) for q in (1, 2)}
+    assert lexical.bm25_top(queries.limit(0), rows, 3).count() == 0 and lexical.bm25_top(queries, rows.limit(0), 3).count() == 0
