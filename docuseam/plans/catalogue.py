@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..constants import DISPUTE_TERMS, FOCUS_SECTIONS, GROUP_ORDER, KEY_SECTIONS, LEGAL_SECTIONS, OTHER_BUDGET, PASSAGE_LIMIT, RERANK_BUDGETS, RERANK_GROUPS, RERANK_ORDER, ROUTES, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
+from ..constants import CASE_KEY_SECTIONS, DISPUTE_TERMS, FOCUS_SECTIONS, GROUP_ORDER, KEY_SECTIONS, LEGAL_SECTIONS, OTHER_BUDGET, PASSAGE_LIMIT, RERANK_BUDGETS, RERANK_GROUPS, RERANK_ORDER, ROUTES, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
 from ..functions import text as tx
 from ..operators import corpus, details, evaluation, fusion, lexical, profile, rerank, results, tuning, upkeep, vector
 from ..streaming import incremental
@@ -595,7 +595,30 @@ def _stop(a: str, most: int = 760) -> str:
 
 _SCORER = "SELECT round(avg(coalesce(expected_ndcg_10, 0)), 6) AS ndcg_10, round(avg(recall_20), 6) AS recall_20, round(avg(mrr), 6) AS mrr, round(avg(map), 6) AS map, count(*) AS queries FROM {m}"
 
+_ASKED = ["规则争议焦点", "规则请求类型", "规则否定事实", "规则法律关系"]  # labels of the rerank query; these queries' profiles are empty
+_HYBRID = f"""{_CASE}, {_SECTS}, hd AS (SELECT query_id, doc_id FROM cs WHERE case_rank <= 30),
+k0 AS (SELECT query_id, doc_id, chunk_id, section_type, section_index, chunk_text, section_type IN {_IN(CASE_KEY_SECTIONS)} AS ky FROM ch JOIN hd USING (doc_id)),
+kn AS (SELECT query_id, 8 * count(DISTINCT doc_id) AS most FROM k0 GROUP BY ALL),
+k1 AS (SELECT k0.*, ky AND row_number() OVER (PARTITION BY query_id, ky ORDER BY doc_id, section_index, chunk_id) <= most AS is_key FROM k0 JOIN kn USING (query_id)),
+ow AS (SELECT query_id, doc_id, chunk_id, section_type AS hit_type, score FROM merged JOIN hd USING (query_id, doc_id)),
+ec AS (SELECT query_id, doc_id, chunk_id, coalesce(section_type, hit_type) AS section_type, coalesce(score, 0::DOUBLE) AS score, coalesce(chunk_text, '') AS chunk_text FROM k1 FULL JOIN ow USING (query_id, doc_id, chunk_id) WHERE is_key OR score IS NOT NULL),
+eo AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, section_type ORDER BY score DESC, chunk_id) AS own FROM ec),
+ep AS (SELECT *, {_BEST} AS pick FROM eo QUALIFY pick <= 6),
+et AS (SELECT query_id, doc_id, pick, {_compact('chunk_text')} AS body, {_case('section_type', RERANK_BUDGETS, OTHER_BUDGET)} AS budget, {_case('section_type', RERANK_GROUPS, GROUP_ORDER[-1])} AS grp, coalesce({_case('section_type', SECTION_TITLES, None)}, section_type) AS label FROM ep),
+eg AS (SELECT query_id, doc_id, list_position({GROUP_ORDER}, grp) AS place, grp || ' ' || string_agg(label || '：' || CASE WHEN length(body) > budget THEN body[1:budget - 1] || '…' ELSE body END, ' ' ORDER BY pick) AS block FROM et WHERE body <> '' GROUP BY query_id, doc_id, grp),
+ew AS (SELECT query_id, doc_id, string_agg(block, ' ' ORDER BY place) AS blocks FROM eg GROUP BY ALL),
+ex AS (SELECT query_id, doc_id, {_compact("concat_ws(' ', CASE WHEN lang IS NOT NULL THEN '【案件类型】 案名：' || source || ' ' || lang || ' 案由：' || lang END, blocks)")} AS t FROM (SELECT DISTINCT query_id, doc_id FROM ec) LEFT JOIN ew USING (query_id, doc_id) LEFT JOIN documents USING (doc_id)),
+ey AS (SELECT query_id, doc_id, list_distinct(list_concat({_TOK.format(x=_compact('query_text'))}, {_ASKED})) AS wq, {_TOK.format(x=f"CASE WHEN length(t) > {PASSAGE_LIMIT} THEN t[1:{PASSAGE_LIMIT} - 1] || '…' ELSE t END")} AS wt FROM ex JOIN q USING (query_id)),
+ms AS (SELECT query_id, doc_id, round(len(list_intersect(wq, wt)) / greatest(1, len(wq)), 6) AS ms FROM ey),
+z0 AS (SELECT cs.*, a, legal, ms FROM cs JOIN adj USING (query_id, doc_id) LEFT JOIN ms USING (query_id, doc_id) WHERE case_rank <= 30),
+z1 AS (SELECT *, coalesce(ms, min(ms) OVER (PARTITION BY query_id), 0) AS m FROM z0),
+z2 AS (SELECT *, min(case_score) OVER w AS cl, max(case_score) OVER w AS chh, min(m) OVER w AS ml, max(m) OVER w AS mh FROM z1 WINDOW w AS (PARTITION BY query_id)),
+z3 AS (SELECT *, round(greatest(0, 0.75::DOUBLE * CASE WHEN chh <= cl THEN 1 ELSE (case_score - cl) / (chh - cl) END + 0.25::DOUBLE * CASE WHEN mh <= ml THEN 1 ELSE (m - ml) / (mh - ml) END + a) + 1e-9, 6) AS fused_score FROM z2),
+z4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, doc_id) AS rr FROM z3),
+z5 AS (SELECT *, round(fused_score - least(0.8::DOUBLE, 0.025::DOUBLE * (greatest(0, CASE WHEN case_rank <= 20 THEN greatest(1, case_rank - 20) ELSE greatest(11, case_rank - 20) END - rr) + CASE WHEN rr <= 10 AND legal = 0 THEN 3 ELSE 0 END)) + 1e-9, 6) AS safe FROM z4),
+z6 AS (SELECT query_id, doc_id, safe, row_number() OVER (PARTITION BY query_id ORDER BY safe DESC, rr)::INT AS place FROM z5)"""
 ORACLES = {
+    "hybrid_search": f"WITH {_HYBRID} SELECT query_id, place AS case_rank, doc_id, safe AS case_score, coalesce(source || ' ' || lang, '') AS case_name, coalesce(source, '') AS court_name, coalesce(lang, '') AS reason FROM z6 LEFT JOIN documents USING (doc_id) WHERE place <= 10",
     "compact_text": f"SELECT doc_id, CASE WHEN length(t) > 120 THEN t[1:119] || '…' ELSE t END AS brief, length(t)::INT AS n FROM (SELECT doc_id, {_compact('text')} AS t FROM documents)",
     "clean_text": f"SELECT conv_id, turn, {_clean('text')} AS clean FROM conversations",
     "clause_split": f"""WITH c AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array({_compact('text')}, '[。！？!?；;]+'), lambda x: {_compact("regexp_replace(x, '^[ ，,、]+|[ ，,、]+$', '', 'g')")}), lambda x: x <> '') AS l FROM conversations),
