@@ -71,6 +71,7 @@ class Codec:
 
     def __init__(self, pieces: list[str], kinds: list[str]) -> None:
         self.pieces, self.kinds = pieces, kinds
+        self.made: tuple | None = None
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
         self.logp: dict[str, float] = {}
@@ -178,6 +179,11 @@ class Codec:
             meet = path if meet is None else meet & path
         return max(meet or (), default=base)
 
+    def both(self) -> tuple:
+        """An encoder and a decoder, made once in a worker; tasks that follow share the automaton and the memo."""
+        self.made = self.made or (self.encoder(), self.decoder())
+        return self.made
+
     def encoder(self):
         """A function from text to ids with a memo of its own; null and empty texts have no ids."""
         memo = Memo()
@@ -231,8 +237,7 @@ def encode_texts(docs: DataFrame, text: str = "text", out: str = "ids", model: s
         schema = schema.add(check, "boolean")
 
     def run(batches):
-        codec = shipped(shared)
-        encode, decode = codec.encoder(), codec.decoder()
+        encode, decode = shipped(shared).both()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -258,7 +263,7 @@ def decode_texts(docs: DataFrame, ids: str = "ids", out: str = "text", model: st
     schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
-        decode = shipped(shared).decoder()
+        decode = shipped(shared).both()[1]
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array([decode(x.as_py() or ()) for x in b.column(len(others))], pa.string())], schema.names)
 
