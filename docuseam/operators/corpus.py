@@ -69,6 +69,43 @@ def embedding_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("embedding_text", F.concat_ws("\n", line("案由：", F.col("lang")), line("法院：", F.col("source")), line("段落：", title), line("", F.col("chunk_text"))))
 
 
+def chunk_spans(text: Column, chunks: Column) -> Column:
+    """Array of (chunk_id, start, end), 0-based, of a case's chunks in its full text.
+
+    ``chunks``: array of (chunk_id, chunk_text) in order. Each is looked for from
+    the end of the one before, else anywhere; if it does not occur as a whole, by
+    its first line and on through those of the others that follow; else it
+    counts from the start of the text and the next search is not moved.
+    """
+    find = lambda x, at: F.coalesce(F.nullif(F.position(x, text, at + 1), F.lit(0)), F.nullif(F.position(x, text), F.lit(0))) - 1
+    kind = "array<struct<chunk_id:string,start:int,end:int>>"
+
+    def through(first, lines):
+        step = lambda at, x: F.coalesce(F.nullif(F.position(x, text, at + 1), F.lit(0)) - 1 + F.length(x), at)
+        return F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), first + F.length(lines[0]), step)
+
+    def place(acc, c):
+        whole = find(c["chunk_text"], acc["hint"])
+        lines = F.filter(F.split(tx.clean_lines(c["chunk_text"]), "\n"), lambda x: x != "")
+        head = F.when(whole.isNull() & (F.size(lines) > 0), find(F.get(lines, F.lit(0)), acc["hint"]))
+        start = F.coalesce(whole, head, F.lit(0))
+        end = F.when(whole.isNotNull(), whole + F.length(c["chunk_text"])).when(head.isNotNull(), through(head, lines)).otherwise(F.length(c["chunk_text"]))
+        one = F.array(F.struct(c["chunk_id"].alias("chunk_id"), start.cast("int").alias("start"), end.cast("int").alias("end")))
+        found = whole.isNotNull() | head.isNotNull()
+        return F.struct(F.when(found, end).otherwise(acc["hint"]).cast("int").alias("hint"), F.concat(acc["out"], one).alias("out"))
+
+    return F.aggregate(chunks, F.struct(F.lit(0).alias("hint"), F.array().cast(kind).alias("out")), place, lambda a: a["out"])
+
+
+def locate_chunks(rows: DataFrame, cases: DataFrame, text: str = "full_text") -> DataFrame:
+    """chunk_id, char_start, char_end, line_start and line_end of every chunk. ``cases``: doc_id and the full text."""
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "chunk_id", "chunk_text"))).alias("xs"))  # the chunks of one case
+    both = per.join(cases.select("doc_id", F.col(text).alias("t")), "doc_id")
+    spans = both.select("t", F.explode(chunk_spans(F.col("t"), F.transform("xs", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["chunk_text"].alias("chunk_text"))))).alias("s"))
+    line = lambda at: tx.line_number(F.col("t"), F.col(at))
+    return spans.select("s.chunk_id", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), line("s.start").alias("line_start"), line("s.end").alias("line_end"))
+
+
 def section_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("section_type").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"))
 

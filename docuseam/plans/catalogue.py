@@ -128,6 +128,10 @@ def embedding_text(spark, sf):
     return corpus.embedding_text(_chunks(spark, sf)).select("chunk_id", F.sha2(F.col("embedding_text").cast("binary"), 256).alias("hash"))
 
 
+def chunk_offsets(spark, sf):
+    return corpus.locate_chunks(_chunks(spark, sf), _t(spark, sf, "documents"), "text")
+
+
 def section_counts(spark, sf):
     return corpus.section_counts(_chunks(spark, sf))
 
@@ -461,7 +465,7 @@ def diagnosis_export(spark, sf):
 FLAGSHIP = "hybrid_search"
 QUERIES = {f.__name__: f for f in (
     compact_text, clean_text, clause_split, term_hits, query_profile, route_expansion, case_projection, full_text_assembly, section_unpivot, chunk_ordinals, chunk_links, chunk_hashes, embedding_text,
-    section_counts, line_numbers, context_window, anchor_slice, corpus_stats, bm25_topk, bm25_multifield, bm25_filtered, date_range_filter, knn_cosine_topk, knn_filtered, route_hits, chunk_rrf,
+    section_counts, chunk_offsets, line_numbers, context_window, anchor_slice, corpus_stats, bm25_topk, bm25_multifield, bm25_filtered, date_range_filter, knn_cosine_topk, knn_filtered, route_hits, chunk_rrf,
     route_case_ranking, case_rrf, case_aggregate_alt, chunk_merge, top_chunks_per_case, rerank_chunk_pick, best_chunk_per_section, minmax_normalize, structure_adjustment, rerank_fusion, rank_safe,
     result_entry, public_result, hybrid_search, passage_build, guardrail_penalty, profile_bonus, marker_split, chunk_fixed_split, advisor_fallback, citations_valid, query_metrics, metrics_by_group, diagnosis, diagnosis_summary, missed_positives, method_comparison,
     scorer, scorer_no_anchor, grade_counts, judge_agreement, dedup_first, grid_refuse, best_runs, resume_anti_join, cache_upsert, point_lookup, set_ops, json_fields, stream_windows, sessions,
@@ -633,6 +637,8 @@ ORACLES = {
     "chunk_links": f"WITH {_CHUNKS} SELECT chunk_id, coalesce(lag(chunk_id) OVER w, '') AS prev_chunk_id, coalesce(lead(chunk_id) OVER w, '') AS next_chunk_id FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY section_index, chunk_id)",
     "chunk_hashes": f"WITH {_CHUNKS} SELECT chunk_id, sha256(chunk_text) AS chunk_hash FROM ch",
     "embedding_text": f"WITH {_CHUNKS} SELECT chunk_id, sha256(concat_ws(chr(10), '案由：' || lang, '法院：' || source, '段落：' || CASE section_type {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in corpus.SECTION_TITLES.items())} END, chunk_text)) AS hash FROM ch",
+    "chunk_offsets": f"""WITH {_CHUNKS}, o AS (SELECT doc_id, section_index, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY section_index) - length(line) - 1 + length(line) - length(ltrim(line, ' ')) AS a FROM para)
+      SELECT chunk_id, a::INT AS char_start, (a + length(chunk_text))::INT AS char_end, (section_index + 1)::INT AS line_start, (section_index + 1)::INT AS line_end FROM ch JOIN o USING (doc_id, section_index)""",
     "section_counts": f"WITH {_CHUNKS} SELECT section_type, count(*) AS chunks, sum(length(chunk_text))::BIGINT AS chars FROM ch GROUP BY ALL",
     "line_numbers": "SELECT doc_id, (length(text[1:length(text) // 2]) - length(replace(text[1:length(text) // 2], chr(10), '')) + 1)::INT AS line FROM documents",
     "context_window": "SELECT doc_id, CASE WHEN p = 0 THEN '' ELSE substring(text, greatest(p - 20, 1)::BIGINT, least(20, p - 1)::BIGINT) || '[[' || substring(text, p, 4) || ']]' || substring(text, p + 4, 20) END AS context FROM (SELECT *, instr(text, 'tion') AS p FROM documents)",

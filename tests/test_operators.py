@@ -197,3 +197,10 @@ def test_bm25_blocks_match_pairs(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert {(r.query_id, r.chunk_id) for r in lexical.top_k(lexical.bm25_top(queries, rows, 1), 1).collect()} == {(q, max((k for k in want if k[0] == q), key=lambda k: (want[k], k))[1]) for q in (1, 2)}
     assert lexical.bm25_top(queries.limit(0), rows, 3).count() == 0 and lexical.bm25_top(queries, rows.limit(0), 3).count() == 0
+
+
+def test_chunk_spans(spark):
+    text = "aa\nbb cc\naa\ndd"
+    chunks = F.array(*[F.struct(F.lit(k).alias("chunk_id"), F.lit(c).alias("chunk_text")) for k, c in (("1", "aa"), ("2", "aa"), ("3", "bb"), ("4", "cc\n dd "), ("5", "none"))])
+    got = one(spark.range(1).select(corpus.chunk_spans(F.lit(text), chunks).alias("s"))).s
+    assert [(x.start, x.end) for x in got] == [(0, 2), (9, 11), (3, 5), (6, 14), (0, 4)]
