@@ -157,3 +157,19 @@ def ranked_sections(rows: DataFrame, order: list[str]) -> DataFrame:
     every = rows.select("doc_id").distinct().select("doc_id", kinds).select("doc_id", F.col("k.place").alias("at"), F.col("k.id").alias("id"))
     first = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("doc_id", "id", "content")
     return every.join(first, ["doc_id", "id"], "left").select("doc_id", "at", "id", tx.or_empty(F.col("content")).alias("content"))
+
+
+def case_detail(cases: DataFrame, ids: DataFrame, anchors: list[tuple[str, str, list[str]]] = ANCHORS, chunks: DataFrame | None = None) -> DataFrame:
+    """The asked cases with their fields, empty where missing, and the sections of their full text.
+
+    ``cases``: doc_id, case_name, court_name, reason, full_text. A preview of each
+    case, its first section besides the header, falls back to the first of
+    ``chunks`` and then to a placeholder.
+    """
+    rows = cases.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("sections", text_sections(F.col("full_text"), anchors))
+    first = F.filter("sections", lambda x: x["id"] != "header")
+    rows = rows.withColumn("preview", F.get(first, F.lit(0))["content"])
+    if chunks is not None:
+        own = chunks.groupBy("doc_id").agg(F.min_by("chunk_text", F.struct("section_index", "chunk_id")).alias("first_chunk"))
+        rows = rows.join(own, "doc_id", "left").withColumn("preview", F.coalesce("preview", "first_chunk"))
+    return rows.select("doc_id", *[tx.or_empty(F.col(c)).alias(c) for c in ("case_name", "court_name", "reason")], "sections", tx.compact(F.coalesce(F.nullif(F.col("preview"), F.lit("")), F.lit("暂无内容")), 260).alias("preview"))

@@ -404,6 +404,12 @@ def preview_sections(spark, sf):
     return details.ranked_sections(_sections(spark, sf), ["facts", "claims", "judgment"]).select("doc_id", "at", "id", F.length("content").alias("n"))
 
 
+def case_detail(spark, sf):
+    cases = corpus.case_docs(_t(spark, sf, "documents")).drop("full_text").join(_t(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text")), "doc_id")
+    rows = details.case_detail(cases, _t(spark, sf, "labels").where("quality = 1"), ANCHORS, _chunks(spark, sf))
+    return rows.select("doc_id", "case_name", "court_name", "reason", F.array_join(F.transform("sections", lambda x: x["id"]), ",").alias("section_ids"), "preview")
+
+
 def first_sections(spark, sf):
     return details.first_sections(_chunks(spark, sf), ["claims", "facts", "reasoning", "judgment"]).select("doc_id", "section_type", "chunk_id")
 
@@ -469,7 +475,7 @@ QUERIES = {f.__name__: f for f in (
     route_case_ranking, case_rrf, case_aggregate_alt, chunk_merge, top_chunks_per_case, rerank_chunk_pick, best_chunk_per_section, minmax_normalize, structure_adjustment, rerank_fusion, rank_safe,
     result_entry, public_result, hybrid_search, passage_build, guardrail_penalty, profile_bonus, marker_split, chunk_fixed_split, advisor_fallback, citations_valid, query_metrics, metrics_by_group, diagnosis, diagnosis_summary, missed_positives, method_comparison,
     scorer, scorer_no_anchor, grade_counts, judge_agreement, dedup_first, grid_refuse, best_runs, resume_anti_join, cache_upsert, point_lookup, set_ops, json_fields, stream_windows, sessions,
-    section_extract, preview_sections, first_sections, draft_cut, rewrite_parse, answer_object, chunk_passage, core_issue, statute_flatten, chunk_sample, worst_deltas, label_samples, diagnosis_export,
+    section_extract, preview_sections, case_detail, first_sections, draft_cut, rewrite_parse, answer_object, chunk_passage, core_issue, statute_flatten, chunk_sample, worst_deltas, label_samples, diagnosis_export,
 )}
 
 # --- SQL --------------------------------------------------------------------
@@ -723,6 +729,9 @@ ORACLES = {
     "json_fields": "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events",
     "section_extract": f"WITH {_EXTRACT} SELECT doc_id, place, id, title, length(content)::INT AS n, sha256(content) AS hash FROM xs",
     "preview_sections": f"WITH {_EXTRACT}, k AS (SELECT doc_id, unnest([0, 1, 2])::INT AS at, unnest(['facts', 'claims', 'judgment']) AS id FROM (SELECT DISTINCT doc_id FROM xs)) SELECT doc_id, k.at AS \"at\", id, coalesce(length(content), 0)::INT AS n FROM k LEFT JOIN xs USING (doc_id, id)",
+    "case_detail": f"""WITH {_CHUNKS}, {_EXTRACT}, g AS (SELECT doc_id, string_agg(id, ',' ORDER BY place) AS section_ids, arg_min(content, place) FILTER (place > 0) AS c FROM xs GROUP BY ALL), f AS (SELECT doc_id, arg_min(chunk_text, section_index) AS fc FROM ch GROUP BY ALL),
+      p AS (SELECT d.doc_id, d.source, d.lang, coalesce(section_ids, '') AS section_ids, {_compact("coalesce(nullif(coalesce(c, fc), ''), '暂无内容')")} AS t FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN f USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+      SELECT doc_id, source || ' ' || lang AS case_name, coalesce(nullif(source, ''), 'unknown') AS court_name, lang AS reason, section_ids, CASE WHEN length(t) > 260 THEN t[1:259] || '…' ELSE t END AS preview FROM p""",
     "first_sections": f"WITH {_CHUNKS} SELECT doc_id, section_type, arg_min(chunk_id, section_index) AS chunk_id FROM ch WHERE section_type IN ('claims', 'facts', 'reasoning', 'judgment') GROUP BY ALL",
     "draft_cut": f"SELECT doc_id, sha256(coalesce(substring(text, {_AT(['que ', 'tion', 'und '])}), '')) AS hash FROM documents",
     "rewrite_parse": f"""WITH c AS (SELECT conv_id, turn, turn % 5 AS k, role, {_compact('text')} AS t FROM conversations), l AS (SELECT *, list_filter([role, t], lambda x: x <> '' AND length(x) <= 40) AS ls FROM c)
