@@ -158,8 +158,9 @@ _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, KEYS * POSITIONS, dtyp
 SKETCH_BITS = 256
 #: Standard deviations that a pair's tally may lie under its mean at the similarity.
 SLACK = 4.5
-#: Rounds in which the members of a list are compared with a leader before what is still apart is paired.
-LEADER_ROUNDS = 2
+#: Rounds in which the members of a list are compared with a leader of another group before what is still apart
+#: is paired; the first round takes one list of so many.
+LEADER_ROUNDS, FIRST_SHARE = 3, 8
 
 
 def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
@@ -299,15 +300,18 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) ->
     texts = kept(rows.select(F.col("tag").alias("node"), "text").join(some, "node", "left_semi"))
     decided = lambda pairs: kept(_verified(_tallied(pairs.distinct(), signs, similarity), texts, shingle_words, similarity))
 
-    edges, apart = None, shared
+    # the first round takes an eighth of the lists: members of a large group meet its leaders in any of them
+    edges, apart = None, shared.withColumn("root", F.col("node"))
     for k in range(LEADER_ROUNDS):
-        first = F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(k)))
-        led = apart.groupBy("key").agg(first.alias("f")).select("key", F.col("f.node").alias("leader"), F.col("f.sketch").alias("sketch_of"))
-        stars = apart.join(led, "key").where((F.col("node") != F.col("leader")) & near_sketches("sketch", "sketch_of", similarity)).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        some = apart if k else apart.where(F.pmod("key", F.lit(FIRST_SHARE)) == 0)
+        led = some.groupBy("key").agg(F.min_by(F.struct("node", "root", "sketch"), F.xxhash64("node", F.lit(k))).alias("f"))
+        led = led.select("key", F.col("f.node").alias("leader"), F.col("f.root").alias("root_of"), F.col("f.sketch").alias("sketch_of"))
+        fit = (F.col("root") != F.col("root_of")) & near_sketches("sketch", "sketch_of", similarity)
+        stars = some.join(led, "key").where(fit).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         found = decided(stars)
         edges = found if edges is None else edges.union(found)
         roots = connected_components(edges)
-        part = apart.select("key", "node", "sketch").join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
+        part = apart.drop("root").join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
         mixed = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         apart = kept(part.join(mixed, "key", "left_semi"))
         if apart.isEmpty():
