@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bloom_search import ranked_report, ranked_report_sql
 from .common import table
 from .decontaminate import leak_report
 from .html_text import html_report
@@ -61,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(spark, sf_dir)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_report(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -72,6 +77,10 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": url_report_sql()}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_report_sql(),
+    "op11_ranked_search": ranked_report_sql(),
+}
