@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bloom_search import ranked_report, ranked_report_sql
 from .common import table
+from .conversation_trie import trie_query, trie_sql
 from .decontaminate import leak_report
 from .html_text import html_report
 from .licenses import license_report
@@ -66,6 +67,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_report(spark, sf_dir)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_query(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -78,9 +83,11 @@ QUERIES: dict[str, Query] = {
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
     "op11_ranked_search": op11_ranked_search,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_report_sql(),
     "op11_ranked_search": ranked_report_sql(),
+    "op12_prefix_trie": trie_sql(),
 }
