@@ -11,6 +11,7 @@ from .common import table
 from .conversation_trie import trie_query, trie_sql
 from .decontaminate import leak_report
 from .html_text import html_report
+from .language_id import language_query
 from .licenses import license_report
 from .quality import quality_query
 from .secrets import secret_report
@@ -71,6 +72,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_query(spark, sf_dir)
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_language": op13_language,
 }
 
 ORACLES: dict[str, str] = {
