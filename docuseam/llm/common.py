@@ -52,6 +52,12 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def other_columns(df: DataFrame, *names: str | None) -> list[str]:
+    """The columns that have none of these names in any case."""
+    taken = {n.lower() for n in names if n}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """Remainder of crc32 of the id as text; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(mod)

@@ -19,6 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
 from .spans import SPAN, match_spans
 
 _MAX_STRINGS, _MAX_CLASS, _MAX_ALTERNATIVES = 64, 4, 64
@@ -222,13 +223,12 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", rule
 
     Positions are code points, the end is exclusive. Null and empty texts give
     an empty array. Of overlapping matches of different kinds all stay. All
-    columns of the input stay as they are.
+    columns of the input stay as they are, but for one named like ``out`` in
+    whatever case, which is replaced.
     """
     trigrams, queries = _plan(rules)
     body = F.coalesce(F.col(text), F.lit(""))
-    low, post = "_secret_lower", "_secret_postings"
-    while {low, post} & set(docs.columns):
-        low, post = f"{low}_", f"{post}_"
+    low, post = fresh_name(docs, "_secret_lower"), fresh_name(docs, "_secret_postings")
     indexed = docs.withColumn(low, F.lower(body)).withColumn(post, trigram_postings(F.col(low), trigrams)).drop(low)
     none = F.array().cast(SPAN)
     found = []
@@ -245,9 +245,7 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
     Null texts stay null. The columns of the input stay, with only the text changed.
     """
-    spans = "_secret_spans"
-    while spans in docs.columns:
-        spans += "_"
+    spans = fresh_name(docs, "_secret_spans")
     found = find_secrets(docs, text, spans, rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     body = F.col(text)

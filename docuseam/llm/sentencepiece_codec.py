@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, ship, shipped, table
+from .common import bounded_batches, fresh_name, other_columns, ship, shipped, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
@@ -227,11 +227,12 @@ def encode_texts(docs: DataFrame, text: str = "text", out: str = "ids", model: s
 
     A first piece mark stands before the text, as in the library; decoding takes
     one leading space off. A text that starts with the mark itself has none.
+    Input columns named like an output, in whatever case, are replaced.
     ``check``: name of a column that says whether decoding gives the text back.
     """
     bounded_batches(docs.sparkSession)
     shared = ship(docs.sparkSession, Codec.load(model))
-    others = [c for c in docs.columns if c not in (text, out, check)]
+    others = other_columns(docs, text, out, check)
     schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     if check:
         schema = schema.add(check, "boolean")
@@ -252,14 +253,14 @@ def encode_texts(docs: DataFrame, text: str = "text", out: str = "ids", model: s
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], ids, *([pa.array(same, pa.bool_())] if check else [])], schema.names)
 
-    return docs.select(*others, F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(*others, F.col(text).alias(fresh_name(docs.select(*others), "text"))).mapInArrow(run, schema)
 
 
 def decode_texts(docs: DataFrame, ids: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
-    """Replace the ids by ``out``, their text; null ids count as none. All other columns stay."""
+    """Replace the ids by ``out``, their text; null ids count as none. All other columns stay, but for one named like ``out`` in whatever case."""
     bounded_batches(docs.sparkSession)
     shared = ship(docs.sparkSession, Codec.load(model))
-    others = [c for c in docs.columns if c not in (ids, out)]
+    others = other_columns(docs, ids, out)
     schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
@@ -267,7 +268,7 @@ def decode_texts(docs: DataFrame, ids: str = "ids", out: str = "text", model: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array([decode(x.as_py() or ()) for x in b.column(len(others))], pa.string())], schema.names)
 
-    return docs.select(*others, F.col(ids).alias("ids")).mapInArrow(run, schema)
+    return docs.select(*others, F.col(ids).alias(fresh_name(docs.select(*others), "ids"))).mapInArrow(run, schema)
 
 
 def token_report(spark, sf_dir: str) -> DataFrame:

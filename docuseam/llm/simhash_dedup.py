@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import bounded_batches, connected_components, cut_lineage, ensure_checkpoint_dir, fresh_name, join_hot
+from .common import bounded_batches, connected_components, cut_lineage, ensure_checkpoint_dir, fresh_name, join_hot, other_columns
 
 #: ASCII white space of the contract; other white space is part of a word.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -56,10 +56,10 @@ def simhash(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = 3, seed: int = 42) -> DataFrame:
-    """Replace the text by ``fingerprint`` (signed 64-bit); all other columns stay."""
+    """Replace the text, and a column of the new name in whatever case, by ``fingerprint`` (signed 64-bit); all other columns stay."""
     bounded_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != text]
-    kept = docs.select(*others, F.col(text).alias("text")) if text != "text" else docs.select(*others, "text")
+    others = other_columns(docs, text, "fingerprint")
+    kept = docs.select(*others, F.col(text).alias(fresh_name(docs.select(*others), "text")))
 
     def run(batches):
         for b in batches:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut_lineage, join_hot
+from .common import ascii_lower, cut_lineage, fresh_name, join_hot
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
     own = ("host", "path", "rule", "verdict", "template", "purity", "labelled")
     names = [c for c in pages.columns if c.lower() not in own]
     # the input's columns travel in one struct, so that none of them meets a name used here
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("filled")).alias("row"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias(fresh_name(pages, "filled"))).alias("row"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     rule, block = matching_rule(F.col("host"), F.col("path"), rules)
     parts = F.split(F.col("path"), "/", -1)
     parts = F.transform(F.slice(parts, 2, params.depth), lexical_segment)
