@@ -12,6 +12,7 @@ documents; executors score all windows of whole texts in numpy.
 
 from __future__ import annotations
 
+import string
 import zlib
 from dataclasses import dataclass
 
@@ -28,8 +29,14 @@ MAX_LABELLED = 3000
 MAX_TRAIN_WORDS = 4_000_000
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 12
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 13
-_GRAMS = (3, 4)
+WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 16
+#: A word has a vector of its own if it occurs in so many labelled documents; rarer and unknown words have their characters only.
+LEAST_DOCS = 8
+#: Every so many-th labelled document is not trained on; the best round by its area under the curve counts.
+FOLD = 6
+#: Part of the toxic documents, those with the weakest best windows, that late rounds leave out: wrong labels.
+DOUBTED = 0.1
+_GRAMS = (3, 5)
 #: Longest word that is read as one, and the characters by which pieces of longer ones overlap.
 PIECE, OVERLAP = 24, 4
 _WIDTH = PIECE + 2
@@ -37,8 +44,11 @@ _CACHE = 300_000
 _CHUNK = 2048
 
 
+_MARKS = string.punctuation
+
+
 def words_of(text: str | None) -> list[str]:
-    words = (text or "").lower().split()
+    words = [w.strip(_MARKS) or w for w in (text or "").lower().split()]
     if max(map(len, words), default=0) <= PIECE:
         return words
     step = PIECE - OVERLAP
@@ -96,7 +106,7 @@ class Network:
     def fresh(cls, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
-        p = {"word": r.normal(0, 0.1, (WORD_BUCKETS, WORD_DIM)), "char": r.normal(0, 0.1, (CHAR_BUCKETS, CHAR_DIM))}
+        p = {"word": np.zeros((WORD_BUCKETS, WORD_DIM)), "char": r.normal(0, 0.1, (CHAR_BUCKETS, CHAR_DIM))}
         for way in "fb":
             p |= {f"W{way}": r.normal(0, d**-0.5, (d, 3 * h)), f"U{way}": r.normal(0, h**-0.5, (h, 3 * h)), f"b{way}": np.zeros(3 * h)}
         p |= {"Wa": r.normal(0, 0.3, (2 * h, h)), "ba": np.zeros(h), "va": r.normal(0, 0.3, h), "wo": r.normal(0, 0.3, 2 * h), "bo": np.zeros(1)}
@@ -306,7 +316,7 @@ class _Adam:
             p[k] -= (self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
 
-def train(rows: list[tuple[list[str], int]], rounds: int = 5, batches: int = 80, batch: int = 256, seed: int = 7) -> Network:
+def train(rows: list[tuple[list[str], int]], rounds: int = 7, batches: int = 100, batch: int = 256, seed: int = 7) -> Network:
     """Fit on (words, label) rows. With fewer than two classes the score is constant.
 
     Only documents are labelled, so the windows of toxic documents that speak
@@ -325,6 +335,12 @@ def train(rows: list[tuple[list[str], int]], rounds: int = 5, batches: int = 80,
     vocab = list(index)
     real = np.array([bool(w) for w in vocab])
     words, (grams, count) = np.array([word_key(w) for w in vocab]), gram_keys(vocab)
+    docs_of = np.bincount(np.concatenate([np.unique(w) for w in windows]), minlength=len(vocab))
+    own_vector = np.bincount(words, docs_of * real, WORD_BUCKETS)[words] >= LEAST_DOCS
+    net.p["word"][words[own_vector]] = r.normal(0, 0.1, (int(own_vector.sum()), WORD_DIM))
+    fold = np.array([zlib.crc32(" ".join(w[:50]).encode("utf-8", "surrogatepass")) % FOLD == 0 for w, _ in rows])
+    fold &= bool(len(set(labels[~fold].tolist())) == 2 == len(set(labels[fold].tolist())))
+    everything, windows, all_labels, labels = windows, [w for w, f in zip(windows, fold, strict=True) if not f], labels, labels[~fold]
     # smoothed log odds of every bucket's documents
     seen = np.ones((2, WORD_BUCKETS + CHAR_BUCKETS))
     for y, win in zip(labels, windows, strict=True):
@@ -337,24 +353,33 @@ def train(rows: list[tuple[list[str], int]], rounds: int = 5, batches: int = 80,
     toxic = [w for w, y in zip(windows, labels, strict=True) if y]
     ends = np.cumsum([0, *map(len, toxic)])
     every = np.concatenate(toxic)
-    adam, rate = _Adam(0.01), 8.0
+    adam, rate, kept = _Adam(0.01), 8.0, (-1.0, net.p)
 
     def logits(win: np.ndarray) -> np.ndarray:
         gates = net.gate_inputs(net._vectors(words, grams, count, real))
         return np.concatenate([net.logits(*gates, win[i : i + _CHUNK]) for i in range(0, len(win), _CHUNK)])
 
+    def tops(some: list[np.ndarray]) -> np.ndarray:
+        return np.maximum.reduceat(logits(np.concatenate(some)), np.cumsum([0, *map(len, some[:-1])]))
+
     def repeated(n: int) -> np.ndarray:
         """Windows that repeat one word of a clean document: repetition is not toxicity."""
         at = clean[r.integers(0, len(clean), n), r.integers(0, WINDOW, n)]
         return np.repeat(at[at > 0][:, None], WINDOW, axis=1)
 
-    hard, score = np.concatenate([clean, repeated(len(clean))]), strength[every].max(axis=1)
+    def shortened(n: int) -> np.ndarray:
+        """Clean windows of few words, like those of short texts."""
+        at = clean[r.integers(0, len(clean), n)]
+        return np.where(np.arange(WINDOW) < r.integers(1, WINDOW // 3, n)[:, None], at, 0)
+
+    hard, score = np.concatenate([clean, repeated(len(clean)), shortened(len(clean))]), strength[every].max(axis=1)
     for k in range(rounds):
         if k:
-            some = np.concatenate([clean[r.integers(0, len(clean), min(len(clean), 50_000))], repeated(30_000)])
-            hard = some[np.argsort(-logits(some))[: max(batch, len(some) // 20)]]
+            some = np.concatenate([clean[r.integers(0, len(clean), min(len(clean), 100_000))], repeated(20_000), shortened(40_000)])
+            hard = some[np.argsort(-logits(some))[: max(batch, len(some) // 40)]]
             score = logits(every)
-        best = np.stack([every[a + score[a:b].argmax()] for a, b in zip(ends, ends[1:], strict=False)])
+        at = np.array([a + score[a:b].argmax() for a, b in zip(ends, ends[1:], strict=False)])
+        best = every[at[score[at] >= np.quantile(score[at], DOUBTED if k else 0)]]
         for _ in range(batches):
             pos = best[r.integers(0, len(best), batch // 2)]
             neg = np.concatenate([clean[r.integers(0, len(clean), batch // 4)], hard[r.integers(0, len(hard), batch // 4)]])
@@ -367,25 +392,39 @@ def train(rows: list[tuple[list[str], int]], rounds: int = 5, batches: int = 80,
             grad = np.zeros_like(vec)
             np.add.at(grad, local.ravel(), g.pop("x").reshape(-1, vec.shape[1]))
             adam.step(net.p, g)
-            _embed_step(net, words[used], grams[used], count[used], real[used], grad, rate)
+            _embed_step(net, words[used], grams[used], count[used], real[used], own_vector[used], grad, rate)
         rate *= 0.7
+        if fold.any():
+            area = auc(tops([w for w, f in zip(everything, fold, strict=True) if f]), all_labels[fold])
+            if area >= kept[0]:
+                kept = area, {name: v.copy() for name, v in net.p.items()}
+    if fold.any():
+        net.p = kept[1]
     # the cut between the classes' highest windows becomes score 0.5
-    top = np.maximum.reduceat(logits(np.concatenate(windows)), np.cumsum([0, *map(len, windows[:-1])]))
+    top = tops(everything)
     order = np.sort(top)
     cuts = (order[1:] + order[:-1]) / 2
-    toxic_tops, clean_tops = np.sort(top[labels == 1]), np.sort(top[labels == 0])
+    toxic_tops, clean_tops = np.sort(top[all_labels == 1]), np.sort(top[all_labels == 0])
     wrong = np.searchsorted(toxic_tops, cuts) / len(toxic_tops) + 1 - np.searchsorted(clean_tops, cuts) / len(clean_tops)
     low = np.flatnonzero(np.isclose(wrong, wrong.min()))
     net.offset = -float((cuts[low[0]] + cuts[low[-1]]) / 2)
     return net
 
 
-def _embed_step(net: Network, words, grams, count, real, grad: np.ndarray, rate: float) -> None:
+def auc(score: np.ndarray, label: np.ndarray) -> float:
+    """Probability that a toxic document scores over a clean one, ties half."""
+    _, place, times = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(times) - (times - 1) / 2)[place]
+    n = label.sum()
+    return float((rank[label == 1].sum() - n * (n + 1) / 2) / max(1, n * (len(label) - n)))
+
+
+def _embed_step(net: Network, words, grams, count, real, own_vector, grad: np.ndarray, rate: float) -> None:
     """Sparse steps on the word and character vectors that a batch used, of bounded length."""
     grad = grad * real[:, None]
     norm = np.maximum(1.0, np.linalg.norm(grad, axis=1, keepdims=True) * rate / 0.5)
     step = (rate * grad / norm).astype(np.float32)
-    np.subtract.at(net.p["word"], words, step[:, :WORD_DIM])
+    np.subtract.at(net.p["word"], words[own_vector], step[own_vector, :WORD_DIM])
     share = step[:, WORD_DIM:] / np.sqrt(np.maximum(1, count.sum(axis=1, keepdims=True)))
     owner, place = np.nonzero(count)
     keys = grams[owner, place]
