@@ -32,8 +32,8 @@ from .common import bounded_batches, cut_lineage, drop_folder, ensure_checkpoint
 
 #: Bits of a signature for each entry of the shard's fullest document, and bits that an entry sets.
 BITS, HASHES = 10, 3
-#: A shard is closed at this many documents or this many entries.
-SHARD_DOCS, SHARD_ENTRIES = 4096, 400_000
+#: A shard is closed at this many documents or this many entries; so is the largest open one of a task whose open shards have so many together.
+SHARD_DOCS, SHARD_ENTRIES, OPEN_ENTRIES = 4096, 200_000, 500_000
 #: Characters of items that are searched at once.
 BLOCK_CHARS = 500_000
 
@@ -121,7 +121,7 @@ def build_signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     def run(batches):
         shards: dict[int, OpenShard] = {}
-        like = None
+        like, entries = None, 0
         for b in batches:
             like = b.schema.types[0]
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
@@ -132,8 +132,13 @@ def build_signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 kind = len(counted).bit_length()
                 shard = shards.setdefault(kind, OpenShard())
                 shard.add(doc_id, len(words), counted)
-                if shard.full():
-                    yield batch([shards.pop(kind).row()], like)
+                entries += len(counted)
+                while shard.full() or entries > OPEN_ENTRIES:
+                    kind = kind if shard.full() else max(shards, key=lambda k: shards[k].entries)
+                    done = shards.pop(kind)
+                    entries -= done.entries
+                    yield batch([done.row()], like)
+                    shard = OpenShard()
         for kind in sorted(shards):
             yield batch([shards.pop(kind).row()], like)
 
