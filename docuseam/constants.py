@@ -65,3 +65,18 @@ CONFLICT_FACTORS = [
     {"name": "buyer_default_vs_seller_default", "query_any": ["未按约提车", "拒收", "价格过高", "买方拒收", "买方未提货", "买方未按约"], "doc_any": ["卖方未交货", "出卖人未交货", "卖方未发货", "出卖人未发货", "卖方根本违约"], "absent": [], "penalty": 0.08},
     {"name": "collateral_invoice_only", "query_any": ["定金罚则", "所有权保留", "解除时间", "第三方供货"], "doc_any": ["发票", "开票"], "absent": ["定金罚则", "所有权保留", "解除时间", "第三方供货", "第三方代为供货"], "penalty": 0.04},
 ]
+
+# --- fixed values: nested rows of a corpus and what is made of them -----------
+NESTED_ROW = (
+    "doc_id string, `案号` string, `法院` string, `审级` string, `案由` string, `裁判日期` string, `当事人` array<struct<`角色`:string,`名称`:string,`类型`:string>>, `法律关系` string, `标的物类型` string,"
+    " `争议焦点` struct<`焦点标签`:array<string>,`焦点评析`:struct<`案情核心`:string,`法律争点`:string,`裁判要旨`:string>,`焦点原文`:string,`是否显式`:boolean>,"
+    " `细争点` struct<`主叶子`:string,`细争点`:array<string>,`裁判规则争点`:string>, `裁判结果_标签` string,"
+    " `引用法条` array<struct<`法律`:string,`条`:int,`原文`:string>>, `段落` struct<`诉称`:string,`查明事实`:string,`本院认为`:string,`裁判结果`:string>"
+)
+BUILD_ORDER = ["fine_tags", "fine_rule", "focus_tags", "focus_analysis", "pleadings", "facts", "reasoning", "judgment", "statutes"]
+CASE_TYPE = "民事"
+DEFAULT_REASON = "买卖合同纠纷"
+REGIONS = ["上海"]
+QUALITY_FLAGS = ["caselaw_benchmark_structured"]
+EMBEDDING_DIM = 1024
+OTHER_STORED_WEIGHT = 1.0
