@@ -27,6 +27,14 @@ def postings(rows: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -
     return listed.select(key, F.size(words).cast("long").alias("dl"), F.explode(words).alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def term_totals(rows: DataFrame, text: str = "chunk_text") -> DataFrame:
+    """(term, df, cf): rows with the term and its occurrences, by one shuffle of partial sums."""
+    words = F.col("_words")
+    counted = F.concat(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))), F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))))
+    listed = rows.select(tokens(F.col(text)).alias("_words")).select(F.explode(counted).alias("x"))
+    return listed.groupBy("x.term").agg(F.sum("x.d").alias("df"), F.sum("x.c").alias("cf"))
+
+
 def corpus_stats(posted: DataFrame, key: str = "chunk_id") -> DataFrame:
     per = posted.groupBy(key).agg(F.first("dl").alias("dl"))
     return per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..constants import CASE_KEY_SECTIONS, DISPUTE_TERMS, FOCUS_SECTIONS, GROUP_ORDER, KEY_SECTIONS, LEGAL_SECTIONS, OTHER_BUDGET, PASSAGE_LIMIT, RERANK_BUDGETS, RERANK_GROUPS, RERANK_ORDER, ROUTES, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
 from ..functions import text as tx
-from ..operators import corpus, details, evaluation, fusion, lexical, profile, rerank, results, tuning, upkeep, vector
+from ..operators import corpus, details, evaluation, fusion, lexical, profile, rerank, results, stored_index, tuning, upkeep, vector
+from ..session import drop_folder, kept, shared_folder
 from ..streaming import incremental
 from . import search as plan
 
@@ -150,14 +151,30 @@ def anchor_slice(spark, sf):
 
 
 def corpus_stats(spark, sf):
-    posted = lexical.postings(_chunks(spark, sf))
-    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return lexical.term_totals(_chunks(spark, sf))
 
 
 def bm25_topk(spark, sf):
     return lexical.top_k(lexical.bm25_top(_queries(spark, sf), _chunks(spark, sf), 10), 10)
 
 
+def bm25_stored(spark, sf):
+    """The same search from stored postings, appended in two batches, one of them twice."""
+    at, chunks = shared_folder(spark, "postings"), _chunks(spark, sf)
+    half = F.col("doc_id") % 2 == 0
+    for name, part in (("even", half), ("odd", ~half), ("even", half)):
+        stored_index.append_postings(chunks.where(part), at, name)
+    found = kept(lexical.top_k(stored_index.bm25_stored(stored_index.read_postings(spark, at), _queries(spark, sf), 10), 10))
+    drop_folder(spark, at)
+    return found
+
+
+def stored_term_counts(spark, sf):
+    at = shared_folder(spark, "postings")
+    stored_index.append_postings(_chunks(spark, sf), at, "all")
+    return stored_index.term_counts(stored_index.read_postings(spark, at))
+
+
 def bm25_multifield(spark, sf):
     docs = _t(spark, sf, "documents").withColumn("title", F.concat_ws(" ", "source", "lang"))
     queries = _queries(spark, sf).withColumn("query_text", F.concat_ws(" ", "query_text", F.lit("en src1")))
@@ -255,7 +272,12 @@ def public_result(spark, sf):
 
 def hybrid_search(spark, sf):
     config = SearchConfig(top_k=10, candidate_size=SIZE, rerank=True, rerank_top_n=30)
-    return plan.search(_query_vectors(spark, sf), _chunks(spark, sf), _t(spark, sf, "embeddings"), corpus.case_docs(_t(spark, sf, "documents")), config)
+    at = shared_folder(spark, "postings")
+    chunks = _chunks(spark, sf)
+    stored_index.append_postings(chunks, at, "all", folders=plan.FEW_FOLDERS)
+    out = plan.search(_query_vectors(spark, sf), chunks, _t(spark, sf, "embeddings"), corpus.case_docs(_t(spark, sf, "documents")), config, index=stored_index.read_postings(spark, at))
+    drop_folder(spark, at)
+    return out
 
 
 def passage_build(spark, sf):
@@ -471,7 +493,7 @@ def diagnosis_export(spark, sf):
 FLAGSHIP = "hybrid_search"
 QUERIES = {f.__name__: f for f in (
     compact_text, clean_text, clause_split, term_hits, query_profile, route_expansion, case_projection, full_text_assembly, section_unpivot, chunk_ordinals, chunk_links, chunk_hashes, embedding_text,
-    section_counts, chunk_offsets, line_numbers, context_window, anchor_slice, corpus_stats, bm25_topk, bm25_multifield, bm25_filtered, date_range_filter, knn_cosine_topk, knn_filtered, route_hits, chunk_rrf,
+    section_counts, chunk_offsets, line_numbers, context_window, anchor_slice, corpus_stats, bm25_topk, bm25_stored, stored_term_counts, bm25_multifield, bm25_filtered, date_range_filter, knn_cosine_topk, knn_filtered, route_hits, chunk_rrf,
     route_case_ranking, case_rrf, case_aggregate_alt, chunk_merge, top_chunks_per_case, rerank_chunk_pick, best_chunk_per_section, minmax_normalize, structure_adjustment, rerank_fusion, rank_safe,
     result_entry, public_result, hybrid_search, passage_build, guardrail_penalty, profile_bonus, marker_split, chunk_fixed_split, advisor_fallback, citations_valid, query_metrics, metrics_by_group, diagnosis, diagnosis_summary, missed_positives, method_comparison,
     scorer, scorer_no_anchor, grade_counts, judge_agreement, dedup_first, grid_refuse, best_runs, resume_anti_join, cache_upsert, point_lookup, set_ops, json_fields, stream_windows, sessions,
@@ -751,3 +773,6 @@ ORACLES = {
     "sessions": """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
       SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM s GROUP BY user_id, sid""",
 }
+
+ORACLES["bm25_stored"] = ORACLES["bm25_topk"]
+ORACLES["stored_term_counts"] = ORACLES["corpus_stats"]

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..constants import CASE_KEY_SECTIONS
-from ..operators import fusion, lexical, profile, rerank, results, vector
+from ..operators import fusion, lexical, profile, rerank, results, stored_index, vector
 from ..session import kept
 
 #: Hits up to this many rows are small enough to be broadcast to the chunks they name.
 SMALL_ROWS = 200_000
 
 
+#: Folders of postings that are made for one search.
+FEW_FOLDERS = 4
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """The frame with a broadcast hint if its bound of rows allows it; else a shuffle joins it."""
     return F.broadcast(df) if rows <= SMALL_ROWS else df
@@ -35,14 +39,16 @@ def query_routes(queries: DataFrame, config: SearchConfig, rewrite: str | None =
     return rows.withColumn("weight", F.coalesce(F.try_element_at(given, F.col("route")), F.col("weight"))).withColumn("text_id", F.concat_ws(":", F.col("query_id").cast("string"), lead))
 
 
-def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config: SearchConfig, rewrite: str | None = None) -> DataFrame:
+def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config: SearchConfig, rewrite: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Hits of all routes of the queries' profiles: query_id, route, weight, chunk_id, doc_id, section_type, score.
 
     ``queries``: query_id, query_text, embedding and, for the focus route of the
     vectors, focus_embedding; ``rewrite`` names a struct as in ``profile.routes``.
     Each distinct text of a query is scored once; its best chunks are taken for
     the routes over all sections, and per section for the section routes. The
-    profile's bonus is added to a route's candidates afterwards. Document
+    profile's bonus is added to a route's candidates afterwards. ``index``: stored
+    postings of the chunks in ``FEW_FOLDERS`` folders, which are searched in place
+    of their texts. Document
     vectors hit their document as a whole, as section ``header``.
     """
     size, parts = config.candidate_size, []
@@ -51,7 +57,8 @@ def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config
     if config.mode in ("hybrid", "bm25"):
         lexed = asked.where("route_type = 'bm25'")
         texts = lexed.select(F.col("text_id").alias("query_id"), F.col("query").alias("query_text")).distinct()
-        scored = lexical.bm25_top(texts, chunks, size, group="section_type").withColumnRenamed("query_id", "text_id")
+        scored = lexical.bm25_top(texts, chunks, size, group="section_type") if index is None else stored_index.bm25_stored(index, texts, size, group="section_type", folders=FEW_FOLDERS)
+        scored = scored.withColumnRenamed("query_id", "text_id")
         mine = lexed.select("text_id", "query_id", "route", "weight", F.col("section_type").alias("wanted"))
         best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("chunk_id"))) <= size
         # one shuffle by the text serves both ranks
@@ -81,10 +88,10 @@ def with_bonus(hits: DataFrame, queries: DataFrame, chunks: DataFrame, bound: in
     return rows.withColumn("score", F.round(F.col("score") + bonus, 6)).select(*hits.columns)
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig(), rewrite: str | None = None) -> DataFrame:
-    """Ranked cases of every query with their fields."""
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig(), rewrite: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Ranked cases of every query with their fields. ``index``: as in ``route_hits``; nothing reads it after the call."""
     config = config.validate()
-    hits = kept(route_hits(queries, chunks, vectors, config, rewrite))  # several steps below read them
+    hits = kept(route_hits(queries, chunks, vectors, config, rewrite, index))  # several steps below read them
     ranked = fusion.case_rrf(hits, config.chunk_top_k)
     if config.rerank:
         ranked = reranked(hits, ranked, queries, chunks, cases, config)
