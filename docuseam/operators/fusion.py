@@ -50,16 +50,15 @@ def route_case_ranking(hits: DataFrame, chunk_top_k: int = 3) -> DataFrame:
     return out.withColumn("route_rank", F.row_number().over(by))
 
 
-def case_rrf(hits: DataFrame, chunk_top_k: int = 3, k: int = RRF_K) -> DataFrame:
-    """Case scores over all routes: reciprocal ranks of the route rankings and five bonuses."""
-    per_route = route_case_ranking(hits, chunk_top_k)
-    fused = per_route.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") / (k + F.col("route_rank"))).alias("rrf"), F.count("*").alias("route_count"))
+def case_bonus(hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, route_count, chunk_count, bonus): what a case gets besides its ranks, whatever the routes' weights."""
     section = F.col("section_type")
     seen = hits.groupBy("query_id", "doc_id").agg(
         kinds(section, KEY_SECTIONS).alias("key_kinds"),
         kinds(section, FOCUS_SECTIONS).alias("focus_kinds"),
         F.count_distinct("chunk_id").alias("chunk_count"),
         F.count_distinct(F.substring_index("route", "_", 1)).alias("type_count"),
+        F.count_distinct("route").alias("route_count"),
     )
     bonus = (
         F.least(F.lit(0.18), 0.055 * F.col("key_kinds"))
@@ -68,7 +67,13 @@ def case_rrf(hits: DataFrame, chunk_top_k: int = 3, k: int = RRF_K) -> DataFrame
         + F.least(F.lit(0.10), 0.015 * (F.col("route_count") - 1))
         + F.least(F.lit(0.035), 0.006 * (F.col("chunk_count") - 1))
     )
-    out = fused.join(seen, ["query_id", "doc_id"]).withColumn("case_score", F.round(F.col("rrf") + bonus + NUDGE, 6))
+    return seen.select("query_id", "doc_id", "route_count", "chunk_count", bonus.alias("bonus"))
+
+
+def case_rrf(hits: DataFrame, chunk_top_k: int = 3, k: int = RRF_K) -> DataFrame:
+    """Case scores over all routes: reciprocal ranks of the route rankings and five bonuses."""
+    fused = route_case_ranking(hits, chunk_top_k).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") / (k + F.col("route_rank"))).alias("rrf"))
+    out = fused.join(case_bonus(hits), ["query_id", "doc_id"]).withColumn("case_score", F.round(F.col("rrf") + F.col("bonus") + NUDGE, 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("case_score"), F.asc("doc_id"))
     return out.select("query_id", "doc_id", "case_score", "route_count", "chunk_count", F.row_number().over(w).alias("case_rank"))
 
