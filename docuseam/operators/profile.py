@@ -72,10 +72,12 @@ def routes(profiled: DataFrame, rewrite: str | None = None) -> DataFrame:
     return profiled.select("query_id", F.posexplode(kept).alias("route_ord", "r")).select("query_id", "route_ord", "r.*")
 
 
-def rerank_query(profile: Column) -> Column:
-    """What the reranker is asked: the raw query and the rules' reading of it, labelled."""
+def rerank_query(profile: Column, rewrite: Column | None = None) -> Column:
+    """What the reranker is asked: the raw query, the rules' reading of it and, if it is used, the rewrite's issue, facts and statutes, labelled."""
     part = lambda label, sep, *names: F.concat(F.lit(label), F.array_join(F.concat(*[profile[n] for n in names]), sep))
-    return tx.compact(F.concat_ws(" ", profile["raw_query"], part("规则争议焦点：", "；", "focus"), part("规则请求类型：", "、", "requests"), part("规则否定事实：", "；", "negatives"), part("规则法律关系：", "、", "relations", "reasons")))
+    labels = {"LLM核心争点：": "legal_issue", "LLM事实要素：": "fact_elements", "LLM法条：": "statutes"}
+    said = [F.when(rewrite["used"] & (tx.or_empty(rewrite[n]) != ""), F.concat(F.lit(label), rewrite[n])) for label, n in labels.items()] if rewrite is not None else []
+    return tx.compact(F.concat_ws(" ", profile["raw_query"], part("规则争议焦点：", "；", "focus"), part("规则请求类型：", "、", "requests"), part("规则否定事实：", "；", "negatives"), part("规则法律关系：", "、", "relations", "reasons"), *said))
 
 
 def override_weight(weight: Column, name: Column, overrides: Column) -> Column:

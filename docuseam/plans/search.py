@@ -94,7 +94,7 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: Dat
     hits = kept(route_hits(queries, chunks, vectors, config, rewrite, index))  # several steps below read them
     ranked = fusion.case_rrf(hits, config.chunk_top_k)
     if config.rerank:
-        ranked = reranked(hits, ranked, queries, chunks, cases, config)
+        ranked = reranked(hits, ranked, queries, chunks, cases, config, rewrite)
     return results.result_entries(ranked, cases, config.top_k)
 
 
@@ -116,13 +116,14 @@ def case_chunks(hits: DataFrame, head: DataFrame, chunks: DataFrame, per_case: i
     return both.select("query_id", "doc_id", "chunk_id", F.coalesce("section_type", "hit_type").alias("section_type"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text"))
 
 
-def reranked(hits: DataFrame, ranked: DataFrame, queries: DataFrame, chunks: DataFrame, cases: DataFrame, config: SearchConfig) -> DataFrame:
-    """Rerank the head by passages, structure and guardrails, with bounded promotion."""
+def reranked(hits: DataFrame, ranked: DataFrame, queries: DataFrame, chunks: DataFrame, cases: DataFrame, config: SearchConfig, rewrite: str | None = None) -> DataFrame:
+    """Rerank the head by passages, structure and guardrails, with bounded promotion. ``rewrite``: as in ``route_hits``."""
     most = max(config.top_k, config.rerank_top_n)
     head = ranked.where(F.col("case_rank") <= most)
     bound = queries.count() * most
     texts = rerank.case_texts(case_chunks(hits, head, chunks, bound=bound), cases)
-    asked = profile.add_profile(queries.select("query_id", "query_text")).select("query_id", "query_text", profile.rerank_query(F.col("profile")).alias("asked"))
+    profiled = profile.add_profile(queries.select("query_id", "query_text", *([rewrite] if rewrite else [])))
+    asked = profiled.select("query_id", "query_text", profile.rerank_query(F.col("profile"), F.col(rewrite) if rewrite else None).alias("asked"))
     judged = texts.join(asked, "query_id").select("query_id", "doc_id", rerank.lexical_model_score(F.col("asked"), F.col("passage")).alias("model_score"), rerank.guardrail(F.col("query_text"), F.col("guardrail_text")).alias("g"))
     sections = hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("section_type")).alias("sections"))
     rows = head.join(judged, ["query_id", "doc_id"], "left").join(sections, ["query_id", "doc_id"], "left")
