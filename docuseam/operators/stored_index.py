@@ -10,6 +10,8 @@ them for many queries at once, and never reads a text.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,14 +43,15 @@ def append_postings(rows: DataFrame, path: str, batch: str, key: str = "chunk_id
     Chunks without words are left out. Keys and groups are stored as text. All
     batches of an index, and its searches, need the same number of folders.
     """
-    spark = rows.sparkSession
-    bounded_batches(spark)
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError("a batch is named by letters, digits, _ and -")
+    bounded_batches(rows.sparkSession)
     listed = rows.select(F.col(key).cast("string").alias("key"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"), tokens(F.col(text)).alias("words")).where(F.size("words") > 0)
     schema = "block string, term string, at array<int>, tf array<int>, dl array<int>, keys array<string>, grps array<string>"
-    posted = listed.mapInArrow(_post(batch), schema).withColumn("folder", F.when(F.col("term").isNull(), HEAD).otherwise(_folder("term", folders))).withColumn("batch", F.lit(batch))
+    posted = listed.mapInArrow(_post(batch), schema).withColumn("folder", F.when(F.col("term").isNull(), HEAD).otherwise(_folder("term", folders)))
     # one folder's rows meet in few files; large folders are split, small ones put together
     dealt = posted.hint("rebalance", "folder").sortWithinPartitions("folder", "term")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "folder").parquet(path)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(f"{path}/batch={batch}")
 
 
 def _post(batch: str):
