@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import (
     CASE_KEY_SECTIONS, CONFLICT_FACTORS, FOCUS_SECTIONS, GROUP_ORDER, GUARDRAIL_CHUNKS, GUARDRAIL_LIMIT, LEGAL_SECTIONS, NEGATION_CUES, NEGATION_LOOKBACK, NEGATION_SUFFIX,
@@ -168,6 +173,48 @@ def case_texts(chunks: DataFrame, cases: DataFrame, n: int = 6) -> DataFrame:
     return rows.select("query_id", "doc_id", passage_text(F.col("xs"), F.col("case_name"), F.col("reason")).alias("passage"), tx.compact(whole, GUARDRAIL_LIMIT).alias("guardrail_text"))
 
 
+#: Makes a scorer in a worker: a function from a query and its passages to their scores. It may raise.
+Factory = Callable[[], Callable[[str, list[str]], list[float]]]
+
+
+def model_scores(texts: DataFrame, factory: Factory, batch_chars: int = 200_000) -> DataFrame:
+    """(query_id, doc_id, model_score, failed) of query_id, doc_id, asked, passage rows.
+
+    A scorer is made once for each task and given a query's passages together,
+    in batches of at most ``batch_chars`` characters. What a scorer raises,
+    also while it is made, leaves the rows of that batch without a score and
+    marks them as failed; so do scores that are missing or no numbers.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = broken = None
+        for f in frames:
+            scores = pd.Series(np.nan, f.index)
+            for asked, rows in f.groupby(f["asked"].fillna(""), sort=False):
+                passages = rows["passage"].fillna("")
+                for _, part in passages.groupby(passages.str.len().cumsum() // batch_chars):
+                    try:
+                        if scorer is None and broken is None:
+                            try:
+                                scorer = factory()
+                            except Exception as e:
+                                broken = e
+                        if broken is not None:
+                            raise broken
+                        got = [float(x) for x in scorer(asked, part.tolist())]
+                        if len(got) != len(part):
+                            raise ValueError("one score for each passage")
+                        scores[part.index] = got
+                    except Exception:  # the rows stay unscored, and their query unranked
+                        continue
+            ok = np.isfinite(scores)
+            yield pd.DataFrame({"query_id": f["query_id"], "doc_id": f["doc_id"], "model_score": scores.where(ok), "failed": ~ok})
+
+    schema = T.StructType([texts.schema["query_id"], texts.schema["doc_id"], T.StructField("model_score", T.DoubleType()), T.StructField("failed", T.BooleanType())])
+    # the passages of a query's head, which are few, lie together
+    return texts.select("query_id", "doc_id", "asked", "passage").repartition("query_id").sortWithinPartitions("query_id", "doc_id").mapInPandas(run, schema)
+
+
 def lexical_model_score(query: Column, passage: Column) -> Column:
     """Deterministic stand-in for a cross encoder: share of query tokens in the passage."""
     words = F.array_distinct(tx.tokens(query))

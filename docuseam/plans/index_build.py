@@ -167,16 +167,16 @@ def register_splitters(spark: SparkSession, name: str = "chunkify") -> None:
     spark.udtf.register(name, F.udtf(Chunkify, returnType="pos int, chunk_text string"))
 
 
-def chunk_rows(cases: DataFrame, embedding_model: str = "", embedding_version: str = "", embedding_dim: int = EMBEDDING_DIM) -> DataFrame:
+def chunk_rows(cases: DataFrame, embedding_model: str = "", embedding_version: str = "", embedding_dim: int = EMBEDDING_DIM, cut: bool = False) -> DataFrame:
     """Chunk records of case rows: 34 columns, one row per piece, with places in the full text and links.
 
     The section index counts every section, also those without a piece. Links of
-    the first and the last chunk are empty.
+    the first and the last chunk are empty. ``cut``: the cases hold their ``pieces`` already.
     """
     bounded_batches(cases.sparkSession)
-    cut = cases.withColumn("pieces", pieces(F.col("sections")))
+    whole = cases if cut else cases.withColumn("pieces", pieces(F.col("sections")))
     cid = lambda x: F.format_string("%s#%s#%02d#%03d", F.col("doc_id"), x["section_type"], x["section_index"], x["pos"])
-    named = cut.withColumn("ids", F.transform("pieces", cid))
+    named = whole.withColumn("ids", F.transform("pieces", cid))
     spans = corpus.chunk_spans(F.col("full_text"), F.transform("pieces", lambda x, i: F.struct(F.get("ids", i).alias("chunk_id"), x["chunk_text"].alias("chunk_text"))))
     rows = named.withColumn("spans", spans).select("*", F.posexplode("pieces").alias("i", "x")).drop("pieces", "sections")
     near = lambda k: F.coalesce(F.get("ids", F.col("i") + k), F.lit(""))

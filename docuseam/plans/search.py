@@ -88,13 +88,13 @@ def with_bonus(hits: DataFrame, queries: DataFrame, chunks: DataFrame, bound: in
     return rows.withColumn("score", F.round(F.col("score") + bonus, 6)).select(*hits.columns)
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig(), rewrite: str | None = None, index: DataFrame | None = None) -> DataFrame:
-    """Ranked cases of every query with their fields. ``index``: as in ``route_hits``; nothing reads it after the call."""
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, cases: DataFrame, config: SearchConfig = SearchConfig(), rewrite: str | None = None, index: DataFrame | None = None, scorer: rerank.Factory | None = None) -> DataFrame:
+    """Ranked cases of every query with their fields. ``index``: as in ``route_hits``; nothing reads it after the call. ``scorer``: as in ``reranked``."""
     config = config.validate()
     hits = kept(route_hits(queries, chunks, vectors, config, rewrite, index))  # several steps below read them
     ranked = fusion.case_rrf(hits, config.chunk_top_k)
     if config.rerank:
-        ranked = reranked(hits, ranked, queries, chunks, cases, config, rewrite)
+        ranked = reranked(hits, ranked, queries, chunks, cases, config, rewrite, scorer)
     return results.result_entries(ranked, cases, config.top_k)
 
 
@@ -116,18 +116,33 @@ def case_chunks(hits: DataFrame, head: DataFrame, chunks: DataFrame, per_case: i
     return both.select("query_id", "doc_id", "chunk_id", F.coalesce("section_type", "hit_type").alias("section_type"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text"))
 
 
-def reranked(hits: DataFrame, ranked: DataFrame, queries: DataFrame, chunks: DataFrame, cases: DataFrame, config: SearchConfig, rewrite: str | None = None) -> DataFrame:
-    """Rerank the head by passages, structure and guardrails, with bounded promotion. ``rewrite``: as in ``route_hits``."""
+def reranked(hits: DataFrame, ranked: DataFrame, queries: DataFrame, chunks: DataFrame, cases: DataFrame, config: SearchConfig, rewrite: str | None = None, scorer: rerank.Factory | None = None) -> DataFrame:
+    """Rerank the head by passages, structure and guardrails, with bounded promotion.
+
+    ``rewrite``: as in ``route_hits``. ``scorer`` makes what judges a query's
+    passages, see ``rerank.model_scores``; without one a lexical score does. A
+    query whose scorer fails keeps the order that it has.
+    """
     most = max(config.top_k, config.rerank_top_n)
     head = ranked.where(F.col("case_rank") <= most)
     bound = queries.count() * most
     texts = rerank.case_texts(case_chunks(hits, head, chunks, bound=bound), cases)
     profiled = profile.add_profile(queries.select("query_id", "query_text", *([rewrite] if rewrite else [])))
     asked = profiled.select("query_id", "query_text", profile.rerank_query(F.col("profile"), F.col(rewrite) if rewrite else None).alias("asked"))
-    judged = texts.join(asked, "query_id").select("query_id", "doc_id", rerank.lexical_model_score(F.col("asked"), F.col("passage")).alias("model_score"), rerank.guardrail(F.col("query_text"), F.col("guardrail_text")).alias("g"))
+    paired = texts.join(asked, "query_id")
+    guarded = rerank.guardrail(F.col("query_text"), F.col("guardrail_text")).alias("g")
+    if scorer is None:
+        judged = paired.select("query_id", "doc_id", rerank.lexical_model_score(F.col("asked"), F.col("passage")).alias("model_score"), guarded)
+    else:
+        paired = kept(paired)
+        scores = kept(rerank.model_scores(paired, scorer))  # asked once, read twice
+        lost = scores.where("failed").select("query_id").distinct()
+        judged = paired.select("query_id", "doc_id", guarded).join(scores.drop("failed"), ["query_id", "doc_id"])
+        unranked, head = head.join(lost, "query_id", "left_semi"), head.join(lost, "query_id", "left_anti")
     sections = hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("section_type")).alias("sections"))
     rows = head.join(judged, ["query_id", "doc_id"], "left").join(sections, ["query_id", "doc_id"], "left")
     rows = rows.withColumn("penalty", F.coalesce("g.penalty", F.lit(0.0))).withColumn("bonus", F.coalesce("g.bonus", F.lit(0.0)))
     rows = rows.withColumn("flagged", F.coalesce(F.size("g.missing") + F.size("g.conflicts") > 0, F.lit(False)))
     safe = rerank.rank_safe(rerank.fuse(rows, config.rerank_top_n, config.rerank_weight), config.rank_safe)
-    return safe.select("query_id", "doc_id", F.col("safe_score").alias("case_score"), "route_count", "chunk_count", F.col("safe_rank").alias("case_rank"))
+    out = safe.select("query_id", "doc_id", F.col("safe_score").alias("case_score"), "route_count", "chunk_count", F.col("safe_rank").alias("case_rank"))
+    return out if scorer is None else out.unionByName(unranked.select(out.columns))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..constants import CONFLICT_FACTORS, DISPUTE_TERMS, NEGATION_CUES, NEGATION_LOOKBACK, NEGATION_SUFFIX, NEGATIVE_TERMS, REASON_TERMS, REJECT_TERMS, RELATION_TERMS, REQUEST_TERMS, REQUIRED_FACTORS, ROUTES, SUPPORT_TERMS
 from ..functions.text import LAW_NAME, STATUTE
-from ..operators import profile, rerank, tuning
+from ..operators import corpus, profile, rerank, tuning, upkeep
 from ..session import drop_folder, kept, shared_folder
 from ..streaming import rewrites
 from . import search as plan
+from .catalogue import ORACLES as SHARED
 from .catalogue import _CASE, _CHUNKS, _KNN, _QRELS, _TOK, SIZE, _chunks, _compact, _hits, _qrels, _query_vectors, _t
 
 #: What is added to queries by their id, and to chunks by their document and place, so that profiles name terms and chunks hold them.
@@ -68,6 +70,36 @@ def fired_guardrails(spark, sf):
     return rows.select("query_id", "doc_id", g.alias("g")).select("query_id", "doc_id", F.round("g.penalty", 6).alias("penalty"), F.round("g.bonus", 6).alias("bonus"), F.array_join("g.missing", ",").alias("missing"), F.array_join("g.conflicts", ",").alias("conflicts"))
 
 
+class _Overlap:
+    """A scorer of one's own that says what the built-in one says, by sets of words."""
+
+    def __call__(self, query: str, passages: list[str]) -> list[float]:
+        words = set(self.split(query))
+        return [round(len(words & set(self.split(p))) / max(1, len(words)), 6) for p in passages]
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        return re.findall(r"[^\W_]+", text.lower())
+
+
+def scored_search(spark, sf):
+    """Hybrid search with a scorer that is plugged in."""
+    config = SearchConfig(top_k=10, candidate_size=SIZE, rerank=True, rerank_top_n=30)
+    return plan.search(_query_vectors(spark, sf), _chunks(spark, sf), _t(spark, sf, "embeddings"), corpus.case_docs(_t(spark, sf, "documents")), config, scorer=_Overlap)
+
+
+def upsert_table(spark, sf):
+    """The last order of every customer, put into a stored table in three batches, the middle one twice."""
+    orders = _t(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
+    at = shared_folder(spark, "upsert")
+    year = F.year("o_orderdate")
+    for part in (year < 1995, year == 1995, year == 1995, year > 1995):
+        upkeep.upsert_stored(upkeep.upsert(orders.limit(0), orders.where(part), "o_custkey", "at"), at, "o_custkey", "at")
+    rows = kept(spark.read.parquet(at).select("o_custkey", "o_orderkey"))
+    drop_folder(spark, at)
+    return rows
+
+
 def _echo():
     """A rewriter for the test tables: it fails on some texts, answers nonsense to others, and echoes the rest."""
 
@@ -89,7 +121,7 @@ def rewrite_cache(spark, sf):
     return rows.select("conv_id", "turn", "cached", "rewrite.used", "rewrite.fallback_reason", "rewrite.legal_issue", F.array_join("rewrite.focus_labels", "|").alias("focus_labels"))
 
 
-QUERIES = {f.__name__: f for f in (grid_metrics, grid_best, fired_profiles, fired_routes, fired_hits, fired_guardrails, rewrite_cache)}
+QUERIES = {f.__name__: f for f in (grid_metrics, grid_best, fired_profiles, fired_routes, fired_hits, fired_guardrails, rewrite_cache, scored_search, upsert_table)}
 
 
 # --- SQL --------------------------------------------------------------------
@@ -200,6 +232,8 @@ SELECT o.*, name FROM (SELECT * FROM o WHERE queries >= 30 OR NOT (SELECT max(qu
     "fired_profiles": f"WITH {_PROFILE} SELECT query_id, {', '.join(f"array_to_string({k}, '|') AS {k}" for k in ('reasons', 'requests', 'focus', 'facts', 'negatives', 'relations', 'statutes'))}, tendency FROM fp",
     "fired_routes": f"WITH {_FIRED} SELECT * FROM froutes",
     "fired_hits": f"WITH {_FIRED_HITS} SELECT * FROM fh",
+    "scored_search": SHARED["hybrid_search"],
+    "upsert_table": SHARED["cache_upsert"],
     "fired_guardrails": f"""WITH {_GUARDED} SELECT query_id, doc_id, round(coalesce(penalty, 0), 6) AS penalty, round(CASE WHEN matched > 0 AND wrong = 0 THEN least(0.02::DOUBLE, 0.008::DOUBLE * matched) ELSE 0 END, 6) AS bonus, coalesce(missing, '') AS missing, coalesce(conflicts, '') AS conflicts
 FROM g0 LEFT JOIN g2 USING (query_id, doc_id)""",
     "rewrite_cache": """WITH c AS (SELECT conv_id, turn, text, length(text) AS n, trim(text) = '' AS blank FROM conversations), o AS (SELECT DISTINCT text FROM c WHERE turn = 0 AND n % 5 <> 0 AND n % 7 <> 0 AND NOT blank),
