@@ -49,7 +49,7 @@ def chunks(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "lang", "source", F.posexplode(lines).alias("section_index", "chunk_text")).where("chunk_text <> ''")
     order = F.array(*[F.lit(s) for s in SECTION_ORDER])
     rows = rows.withColumn("section_type", F.get(order, F.col("section_index") % len(SECTION_ORDER)))
-    return rows.withColumn("chunk_id", F.format_string("%d#%s#%02d#%03d", "doc_id", "section_type", "section_index", F.lit(0)))
+    return rows.withColumn("chunk_id", F.format_string("%s#%s#%02d#%03d", F.col("doc_id").cast("string"), "section_type", "section_index", F.lit(0)))
 
 
 def with_ordinals(rows: DataFrame) -> DataFrame:

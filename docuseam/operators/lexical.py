@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,8 +15,8 @@ from ..functions.text import tokens
 from ..session import bounded_batches
 
 K1, B = 1.2, 0.75
-#: Queries of a broadcast block; their terms times queries are the numbers a task holds.
-BLOCK_QUERIES = 128
+#: Queries of a broadcast block, and the most of its terms times queries, which are the numbers a task holds.
+BLOCK_QUERIES, BLOCK_CELLS = 128, 4 << 20
 
 
 def postings(rows: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
@@ -62,7 +64,9 @@ def bm25_top(queries: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id",
     bounded_batches(spark)
     asked = queries.select("query_id", "query_text").persist()
     stats = term_statistics(asked, rows, text).persist()
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    total, words = asked.agg(F.count("*"), F.coalesce(F.sum(F.size(F.array_distinct(tokens(F.col("query_text"))))), F.lit(0))).first()
+    # with so many blocks a block has a part of the queries and of their terms
+    blocks = max(1, -(-total // BLOCK_QUERIES), math.ceil(math.sqrt(words * total / BLOCK_CELLS)))
     whole = stats.where("term = ''").first()
     n, mean = (whole["df"], whole["words"] / whole["df"]) if whole else (0, 1.0)
     idf_of = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

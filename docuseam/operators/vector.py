@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query vectors of a broadcast block hold at most so many numbers.
 BLOCK_NUMBERS = 4 << 20
@@ -20,22 +21,24 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     ``queries``: query_id, embedding; ``vectors``: vec_id, embedding. Products
     are computed in double and rounded to 6 digits before ranking, ties by id.
-    Null vectors, and vectors of another length than the queries', have no row.
+    Null vectors, vectors of another length than the queries', and vectors
+    without an id have no row. Ids keep their type, whole numbers or text.
     Every task keeps its k best of each query, so what is shuffled does not grow
     with the vectors of a task. Queries are broadcast in blocks of bounded size.
     """
     spark = vectors.sparkSession
-    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     total, dims = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     asked = asked.where(F.size("embedding") == (dims or 0))
     blocks = max(1, -(-total // max(1, BLOCK_NUMBERS // (dims or 1))))
-    rows = vectors.where(F.size("embedding") == (dims or 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.where((F.size("embedding") == (dims or 0)) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("vec_id", rows.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
     out = None
     for b in range(blocks):
         got = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
-        ids = got["query_id"].to_numpy()
+        ids = got["query_id"].combine_chunks()
         shared = spark.sparkContext.broadcast((ids, _unit(_matrix(got["embedding"], len(ids)))))
-        found = rows.mapInArrow(_scan(shared, k), "query_id long, vec_id long, score double")
+        found = rows.mapInArrow(_scan(shared, k), schema)
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -50,12 +53,13 @@ def _matrix(column, n: int) -> np.ndarray:
 def _scan(shared, k: int):
     def run(batches):
         ids, q = shared.value
-        names, scores = np.zeros(0, np.int64), np.zeros((len(ids), 0))
-        held: list[tuple[np.ndarray, np.ndarray]] = [(names, scores[i]) for i in range(len(ids))]
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, object), np.zeros(0)) for _ in range(len(ids))]
+        kind = None
         for batch in batches:
+            kind = batch.schema.types[0]
             if not batch.num_rows or not len(ids):
                 continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
+            names = np.array(batch.column(0).to_pylist(), object)
             x = _unit(_matrix(batch.column(1), batch.num_rows))
             scores = np.round((1 + q @ x.T) / 2, 6)
             # only what reaches a query's k-th best so far is sorted in
@@ -63,10 +67,13 @@ def _scan(shared, k: int):
             for i in np.flatnonzero((scores >= least[:, None]).any(axis=1)):
                 some = np.flatnonzero(scores[i] >= least[i])
                 n, s = np.concatenate([held[i][0], names[some]]), np.concatenate([held[i][1], scores[i][some]])
-                best = np.lexsort((n, -s))[:k]
+                order = np.unique(n, return_inverse=True)[1]
+                best = np.lexsort((order, -s))[:k]
                 held[i] = (n[best], s[best])
         sizes = [len(n) for n, _ in held]
-        found = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, [n for n, _ in held]), (float, [s for _, s in held]))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(found[0]), pa.array(found[1])], ["query_id", "vec_id", "score"])
+        if kind is not None:
+            owner = pa.array(np.repeat(np.arange(len(ids)), sizes))
+            found = [x for n, _ in held for x in n]
+            yield pa.RecordBatch.from_arrays([ids.take(owner), pa.array(found, kind), pa.array(np.concatenate([np.zeros(0), *(s for _, s in held)]))], ["query_id", "vec_id", "score"])
 
     return run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..config import SearchConfig
 from ..constants import CASE_KEY_SECTIONS
@@ -23,8 +24,9 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
-def _doc(chunk_id: Column) -> Column:
-    return F.substring_index(chunk_id, "#", 1).cast("long")
+def _doc(chunk_id: Column, kind: DataType) -> Column:
+    """The case of a chunk: what stands before its section and numbers, in the type of the cases' ids."""
+    return F.regexp_replace(chunk_id, r"#[^#]*#[^#]*#[^#]*\z", "").cast(kind)
 
 
 def query_routes(queries: DataFrame, config: SearchConfig, rewrite: str | None = None) -> DataFrame:
@@ -65,14 +67,14 @@ def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config
         scored = scored.repartition("text_id").withColumn("whole", best("text_id")).withColumn("own", best("text_id", "section_type")).where("whole OR own")
         hit = F.when(F.col("wanted").isNull(), F.col("whole")).otherwise((F.col("wanted") == F.col("section_type")) & F.col("own"))
         found = scored.join(mine, "text_id").where(hit)
-        parts.append(found.select("query_id", "route", "weight", "chunk_id", _doc(F.col("chunk_id")).alias("doc_id"), "section_type", "score"))
+        parts.append(found.select("query_id", "route", "weight", "chunk_id", _doc(F.col("chunk_id"), chunks.schema["doc_id"].dataType).alias("doc_id"), "section_type", "score"))
     if config.mode in ("hybrid", "vector"):
         for route, column in (("vector_raw", "embedding"), ("vector_focus", "focus_embedding")):
             if column not in queries.columns:
                 continue
             found = vector.knn(queries.select("query_id", F.col(column).alias("embedding")), vectors, size)
             found = found.join(asked.where(F.col("route") == route).select("query_id", "route", "weight"), "query_id")
-            parts.append(found.select("query_id", "route", "weight", F.format_string("%d#header#00#000", "vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.lit("header").alias("section_type"), "score"))
+            parts.append(found.select("query_id", "route", "weight", F.concat(F.col("vec_id").cast("string"), F.lit("#header#00#000")).alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.lit("header").alias("section_type"), "score"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

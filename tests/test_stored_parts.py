@@ -87,3 +87,19 @@ def test_a_failing_scorer_leaves_the_order(spark, sf):
 
     assert ranked(CONFIG, broken) == ranked(SearchConfig(top_k=10, candidate_size=20))
     assert ranked(CONFIG, search_catalogue._Overlap) == ranked(CONFIG)
+
+
+def test_search_with_text_ids(spark, sf):
+    """Cases with ids of text, a hash sign in them, are found as those with numbers are, but for ties, which go by id."""
+    from docuseam.operators import corpus
+
+    c, text = search_catalogue, lambda name: F.format_string("case#%06d", F.col(name))
+    docs, vectors = c._t(spark, sf, "documents"), c._t(spark, sf, "embeddings").where("vec_id IS NOT NULL")
+    told = docs.withColumn("doc_id", text("doc_id"))
+    chunks = corpus.chunks(told)
+    assert chunks.first().chunk_id.startswith("case#0")
+    rows = plan.search(c._query_vectors(spark, sf), chunks, vectors.withColumn("vec_id", text("vec_id")), corpus.case_docs(told), CONFIG)
+    want = plan.search(c._query_vectors(spark, sf), c._chunks(spark, sf), vectors, corpus.case_docs(docs), CONFIG)
+    got, pairs = rows.collect(), {(r.query_id, f"case#{r.doc_id:06d}") for r in want.collect()}
+    assert len(got) == len(pairs) and all(r.doc_id.startswith("case#") and r.case_name for r in got)
+    assert len({(r.query_id, r.doc_id) for r in got} & pairs) >= 0.9 * len(pairs)
