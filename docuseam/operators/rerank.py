@@ -215,6 +215,19 @@ def model_scores(texts: DataFrame, factory: Factory, batch_chars: int = 200_000)
     return texts.select("query_id", "doc_id", "asked", "passage").repartition("query_id").sortWithinPartitions("query_id", "doc_id").mapInPandas(run, schema)
 
 
+def rerank_chunks(hits: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:
+    """The first ``top_n`` chunks of each query in the order of a scorer: query_id, chunk_id, score, pre_rerank, rank.
+
+    ``hits``: query_id, chunk_id, score; ``scores``: query_id, chunk_id,
+    model_score. Chunks without a score are left out, as are those behind the
+    first ones; ties go by id.
+    """
+    by = lambda score: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("chunk_id")))
+    head = hits.withColumn("rank", by("score")).where(F.col("rank") <= top_n).select("query_id", "chunk_id", F.col("score").alias("pre_rerank"))
+    scored = head.join(scores.where("model_score IS NOT NULL"), ["query_id", "chunk_id"])
+    return scored.select("query_id", "chunk_id", F.col("model_score").alias("score"), "pre_rerank", by("model_score").alias("rank"))
+
+
 def lexical_model_score(query: Column, passage: Column) -> Column:
     """Deterministic stand-in for a cross encoder: share of query tokens in the passage."""
     words = F.array_distinct(tx.tokens(query))

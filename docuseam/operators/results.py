@@ -38,3 +38,34 @@ def valid_citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     cited = answers.select("query_id", F.posexplode("cited").alias("pos", "doc_id")).join(retrieved.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
     first = cited.groupBy("query_id", "doc_id").agg(F.min("pos").alias("pos"))
     return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("cited"))
+
+
+#: Characters of a section in a prompt, and cited articles.
+PROMPT_CHARS, PROMPT_STATUTES = 420, 6
+
+
+def prompt_payload(cases: DataFrame, chunks: str = "chunks") -> DataFrame:
+    """Add claims, facts, reasoning and judgment of each case as a prompt takes them; ``statutes`` are cut to the first ones.
+
+    ``chunks``: array of (section_type, section_title, chunk_text, context_text)
+    in the order of the matches. A section's text is its first chunk with text,
+    compacted and cut. Reasoning and judgment fall back to the first chunk whose
+    title or text, in its context if it has one, names them. Missing sections are
+    empty, null arrays count as empty.
+    """
+    listed = F.transform(F.coalesce(F.col(chunks), F.array().cast(cases.schema[chunks].dataType)), lambda c: F.struct(
+        tx.or_empty(c["section_type"]).alias("kind"), tx.or_empty(c["section_title"]).alias("title"), tx.compact(c["chunk_text"], PROMPT_CHARS).alias("text"),
+        tx.compact(F.coalesce(F.nullif(c["context_text"], F.lit("")), c["chunk_text"]), PROMPT_CHARS).alias("around"),
+    ))
+    rows = cases.withColumn("_listed", listed)
+    first = lambda keep, text: F.get(F.transform(F.filter("_listed", lambda c: keep(c) & (c[text] != "")), lambda c: c[text]), F.lit(0))
+    own = lambda kind, title=None: first(lambda c: (c["kind"] == kind) | (c["title"] == title) if title else c["kind"] == kind, "text")
+    names = {"reasoning": ("本院认为", ["本院认为"]), "judgment": ("裁判结果", ["判决如下", "裁定如下"])}
+
+    def found(kind: str):
+        title, marks = names[kind]
+        return F.coalesce(own(kind, title), first(lambda c: F.contains(c["title"], F.lit(title)) | tx.any_term(c["around"], marks), "around"))
+
+    texts = {"claims": own("claims"), "facts": own("facts"), "reasoning": found("reasoning"), "judgment": found("judgment")}
+    cited = {"statutes": F.slice(F.coalesce("statutes", F.array().cast("array<string>")), 1, PROMPT_STATUTES)} if "statutes" in cases.columns else {}
+    return rows.withColumns({k: tx.or_empty(v) for k, v in texts.items()} | cited).drop("_listed")

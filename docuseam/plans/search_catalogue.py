@@ -9,14 +9,14 @@ import re
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..constants import CONFLICT_FACTORS, DISPUTE_TERMS, NEGATION_CUES, NEGATION_LOOKBACK, NEGATION_SUFFIX, NEGATIVE_TERMS, REASON_TERMS, REJECT_TERMS, RELATION_TERMS, REQUEST_TERMS, REQUIRED_FACTORS, ROUTES, SUPPORT_TERMS
+from ..constants import CONFLICT_FACTORS, DISPUTE_TERMS, NEGATION_CUES, NEGATION_LOOKBACK, NEGATION_SUFFIX, NEGATIVE_TERMS, REASON_TERMS, REJECT_TERMS, RELATION_TERMS, REQUEST_TERMS, REQUIRED_FACTORS, ROUTES, SECTION_TITLES, SUPPORT_TERMS
 from ..functions.text import LAW_NAME, STATUTE
-from ..operators import corpus, profile, rerank, tuning, upkeep
+from ..operators import corpus, fusion, lexical, profile, rerank, results, tuning, upkeep
 from ..session import drop_folder, kept, shared_folder
 from ..streaming import rewrites
 from . import search as plan
 from .catalogue import ORACLES as SHARED
-from .catalogue import _CASE, _CHUNKS, _KNN, _QRELS, _TOK, SIZE, _chunks, _compact, _hits, _qrels, _query_vectors, _t
+from .catalogue import _PICK, _Q, _bm25, _case, _CASE, _CHUNKS, _KNN, _QRELS, _TOK, SIZE, _chunks, _compact, _hits, _qrels, _queries, _query_vectors, _t
 
 #: What is added to queries by their id, and to chunks by their document and place, so that profiles name terms and chunks hold them.
 ASKED = ["。买卖合同纠纷中，返还定金是否应予支持？", "。出卖人未支付货款，《民法典》第五百九十五条如何认定", "；租赁合同纠纷，押金予以支持，违约金驳回。未开发票", ""]
@@ -88,6 +88,26 @@ def scored_search(spark, sf):
     return plan.search(_query_vectors(spark, sf), _chunks(spark, sf), _t(spark, sf, "embeddings"), corpus.case_docs(_t(spark, sf, "documents")), config, scorer=_Overlap)
 
 
+def prompt_payloads(spark, sf):
+    """What a prompt takes of the ten best cases: their matched chunks, some with a context that names the judgment."""
+    hits = _hits(spark, sf)
+    ranked = fusion.case_rrf(hits).where("case_rank <= 10").select("query_id", "doc_id")
+    title = F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_TITLES.items() for x in kv]), F.col("section_type"))
+    context = F.when(F.col("section_index") % 3 == 0, F.concat(F.lit("判决如下："), "chunk_text"))
+    texts = _chunks(spark, sf).select("chunk_id", F.struct("section_type", title.alias("section_title"), "chunk_text", context.alias("context_text")).alias("c"))
+    listed = fusion.top_chunks(hits).join(ranked, ["query_id", "doc_id"], "left_semi").join(texts, "chunk_id").groupBy("query_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_rank", "c"))), lambda x: x["c"]).alias("chunks"))
+    rows = results.prompt_payload(ranked.join(listed, ["query_id", "doc_id"], "left"))
+    return rows.select("query_id", "doc_id", "claims", "facts", "reasoning", "judgment")
+
+
+def chunk_rerank(spark, sf):
+    """The first 20 chunks of every query's raw search in the order of the lexical scorer."""
+    found = lexical.top_k(lexical.bm25_top(_queries(spark, sf), _chunks(spark, sf), 20), 20).drop("rank")
+    texts = found.join(_chunks(spark, sf).select("chunk_id", "chunk_text"), "chunk_id").join(_queries(spark, sf), "query_id")
+    scores = texts.select("query_id", "chunk_id", rerank.lexical_model_score(F.col("query_text"), F.col("chunk_text")).alias("model_score"))
+    return rerank.rerank_chunks(found, scores, 20)
+
+
 def upsert_table(spark, sf):
     """The last order of every customer, put into a stored table in three batches, the middle one twice."""
     orders = _t(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
@@ -121,7 +141,7 @@ def rewrite_cache(spark, sf):
     return rows.select("conv_id", "turn", "cached", "rewrite.used", "rewrite.fallback_reason", "rewrite.legal_issue", F.array_join("rewrite.focus_labels", "|").alias("focus_labels"))
 
 
-QUERIES = {f.__name__: f for f in (grid_metrics, grid_best, fired_profiles, fired_routes, fired_hits, fired_guardrails, rewrite_cache, scored_search, upsert_table)}
+QUERIES = {f.__name__: f for f in (grid_metrics, grid_best, fired_profiles, fired_routes, fired_hits, fired_guardrails, rewrite_cache, scored_search, prompt_payloads, chunk_rerank, upsert_table)}
 
 
 # --- SQL --------------------------------------------------------------------
@@ -208,6 +228,11 @@ def _positive(text: str, terms: list[str]) -> str:
     return "(" + " OR ".join(one) + ")" if one else "false"
 
 
+def _cut(x: str, limit: int = results.PROMPT_CHARS) -> str:
+    whole = _compact(x)
+    return f"CASE WHEN length({whole}) > {limit} THEN {whole}[1:{limit - 1}] || '…' ELSE {whole} END"
+
+
 def _factor(k: int, f: dict, required: bool) -> str:
     """The pairs that a factor applies to, and whether it speaks against them."""
     asked = _any("asked", f["query_any"]) + "".join(f" AND contains(asked, '{t}')" for t in f.get("query_all", []))
@@ -232,6 +257,15 @@ SELECT o.*, name FROM (SELECT * FROM o WHERE queries >= 30 OR NOT (SELECT max(qu
     "fired_profiles": f"WITH {_PROFILE} SELECT query_id, {', '.join(f"array_to_string({k}, '|') AS {k}" for k in ('reasons', 'requests', 'focus', 'facts', 'negatives', 'relations', 'statutes'))}, tendency FROM fp",
     "fired_routes": f"WITH {_FIRED} SELECT * FROM froutes",
     "fired_hits": f"WITH {_FIRED_HITS} SELECT * FROM fh",
+    "prompt_payloads": f"""WITH {_CASE}, top AS (SELECT query_id, doc_id FROM cs WHERE case_rank <= 10), tc AS (SELECT query_id, doc_id, chunk_id, {_PICK.format(o='score DESC, chunk_id')} AS chunk_rank FROM merged QUALIFY chunk_rank <= 3),
+tx AS (SELECT query_id, doc_id, chunk_rank AS r, ch.section_type AS kind, {_case('ch.section_type', SECTION_TITLES, None)} AS title, {_cut('chunk_text')} AS t, {_cut("CASE WHEN section_index % 3 = 0 THEN '判决如下：' || chunk_text ELSE chunk_text END")} AS around FROM tc JOIN top USING (query_id, doc_id) JOIN ch USING (chunk_id)),
+tg AS (SELECT query_id, doc_id, arg_min(t, r) FILTER (kind = 'claims') AS claims, arg_min(t, r) FILTER (kind = 'facts') AS facts, arg_min(t, r) FILTER (kind = 'reasoning') AS reasoning, arg_min(t, r) FILTER (kind = 'judgment') AS judgment,
+  arg_min(around, r) FILTER (contains(title, '本院认为') OR contains(around, '本院认为')) AS r2, arg_min(around, r) FILTER (contains(title, '裁判结果') OR contains(around, '判决如下') OR contains(around, '裁定如下')) AS j2 FROM tx GROUP BY ALL)
+SELECT query_id, doc_id, coalesce(claims, '') AS claims, coalesce(facts, '') AS facts, coalesce(reasoning, r2, '') AS reasoning, coalesce(judgment, j2, '') AS judgment FROM top LEFT JOIN tg USING (query_id, doc_id)""",
+    "chunk_rerank": f"""WITH {_CHUNKS}, {_Q}, {_bm25('ch', 'chunk_id', 'chunk_text', 'q', 'bm')}, h AS (SELECT query_id, id AS chunk_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20),
+s AS (SELECT query_id, chunk_id, score AS pre_rerank, list_distinct({_TOK.format(x='query_text')}) AS wq, {_TOK.format(x='chunk_text')} AS wt FROM h JOIN ch USING (chunk_id) JOIN q USING (query_id)),
+m AS (SELECT query_id, chunk_id, pre_rerank, round(len(list_intersect(wq, wt)) / greatest(1, len(wq)), 6) AS score FROM s)
+SELECT query_id, chunk_id, score, pre_rerank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM m""",
     "scored_search": SHARED["hybrid_search"],
     "upsert_table": SHARED["cache_upsert"],
     "fired_guardrails": f"""WITH {_GUARDED} SELECT query_id, doc_id, round(coalesce(penalty, 0), 6) AS penalty, round(CASE WHEN matched > 0 AND wrong = 0 THEN least(0.02::DOUBLE, 0.008::DOUBLE * matched) ELSE 0 END, 6) AS bonus, coalesce(missing, '') AS missing, coalesce(conflicts, '') AS conflicts
