@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -159,8 +159,10 @@ SKETCH_BITS = 256
 #: Standard deviations that a pair's tally may lie under its mean at the similarity.
 SLACK = 4.5
 #: Rounds in which the members of a list are compared with a leader of another group before what is still apart
-#: is paired; the first round takes one list of so many.
-LEADER_ROUNDS, FIRST_SHARE = 3, 8
+#: meets in its rare shingles; the first round takes one list of so many.
+LEADER_ROUNDS, FIRST_SHARE = 2, 8
+#: Shingles of a batch that leaves a Python worker.
+SHINGLE_ROWS = 1 << 18
 
 
 def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
@@ -284,6 +286,58 @@ def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _shingle_rows(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """``node``, ``size`` (shingles of the node) and ``shingle``, a row for each distinct shingle of (node, text)."""
+    names = ["node", "size", "shingle"]
+
+    def rows(held):
+        sizes = np.array([len(s) for _, s in held], np.int64)
+        nodes = np.array([node for node, _ in held], np.int64)
+        columns = (np.repeat(nodes, sizes), np.repeat(sizes, sizes), np.concatenate([s for _, s in held]).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def run(batches):
+        held, total = [], 0
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1), strict=True):
+                held.append((node.as_py(), shingle_set(text.as_py(), shingle_words)))
+                total += len(held[-1][1])
+                if total >= SHINGLE_ROWS:
+                    yield rows(held)
+                    held, total = [], 0
+        if held:
+            yield rows(held)
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, shingle long")
+
+
+def _rare_pairs(apart: DataFrame, texts: DataFrame, kept, shingle_words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups (node, root, sketch); all pairs at the similarity are among them.
+
+    The shingles of a node stand in one order for all nodes, from rare to common.
+    Two sets at the similarity share so many shingles that the first shared one
+    stands early in both: within a fifth of the larger set and a ninth of the
+    smaller one at 0.8. So texts that have a common passage, but not enough
+    beside it, never meet, however many they are.
+    """
+    nodes = apart.select("node", "root", "sketch").dropDuplicates(["node"])
+    rows = kept(_shingle_rows(texts.join(nodes.select("node"), "node", "left_semi"), shingle_words))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = join_hot(rows, often, "shingle")  # a shingle of one node comes first and meets nobody
+    of_node = Window.partitionBy("node")
+    place = F.col("size") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("df", "shingle")) - 1
+    first = shared.select("node", "size", "shingle", place.alias("at"))
+    posted = first.where(F.col("size") - F.col("at") >= similarity * F.col("size") - 1e-6).join(nodes, "node")
+    end = lambda e: posted.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "size", "at", "root", "sketch")])
+    both = similarity / (1 + similarity)
+    least = both * (F.col("size_a") + F.col("size_b")) - 1e-6
+    fit = (F.struct("size_a", "node_a") < F.struct("size_b", "node_b")) & (F.col("size_a") >= similarity * F.col("size_b") - 1e-6)
+    fit = fit & (F.col("size_a") - F.col("at_a") >= least) & (F.col("size_b") - F.col("at_b") >= least)
+    fit = fit & (F.col("root_a") != F.col("root_b")) & near_sketches("sketch_a", "sketch_b", similarity)
+    small = end("a").where(F.col("size_a") - F.col("at_a") >= 2 * both * F.col("size_a") - 1e-6)
+    return small.join(end("b"), "shingle").where(fit).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """``node`` and ``root``, tags of their first rows, of all sets of shingles (node, keys, sketch, bytes, tag, text) that have a near copy."""
     spark = rows.sparkSession
@@ -316,10 +370,7 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) ->
         apart = kept(part.join(mixed, "key", "left_semi"))
         if apart.isEmpty():
             return roots
-    left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "sketch")]) for end in "ab")
-    fit = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near_sketches("sketch_a", "sketch_b", similarity)
-    rest = left.join(right, "key").where(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return connected_components(edges.union(decided(rest)))
+    return connected_components(edges.union(decided(_rare_pairs(apart, texts, kept, shingle_words, similarity))))
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -329,9 +380,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     Equal sets are merged first. The index posts each set under ``KEYS`` tuples
     of ``POSITIONS`` positional bytes, minwise hashes of its shingles; pairs that
     meet, and whose sketches are near, get their shared bytes tallied, and those
-    with enough are decided by the shingles of their texts. The members of a list are compared with leaders, and
-    whatever these leave in different groups is then paired in full, so no list
-    is capped. Nulls, empty texts and repeated rows are as in ``simhash_groups``.
+    with enough are decided by the shingles of their texts. The members of a list are compared with leaders; what
+    these leave in different groups meets once more in its rare shingles, where
+    no pair at the similarity is lost, so no list is capped or paired in full. Nulls, empty texts and repeated rows are as in ``simhash_groups``.
     """
     marked, name = _mark_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle_words)
     rows = marked.select("doc_id", "text", *[F.col(n).alias(c) for c, n in name.items()])
