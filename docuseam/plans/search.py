@@ -19,6 +19,10 @@ SMALL_ROWS = 200_000
 FEW_FOLDERS = 4
 
 
+#: The routes that take a query as it is.
+RAW_ROUTES = ("bm25_raw", "vector_raw")
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """The frame with a broadcast hint if its bound of rows allows it; else a shuffle joins it."""
     return F.broadcast(df) if rows <= SMALL_ROWS else df
@@ -34,7 +38,9 @@ def query_routes(queries: DataFrame, config: SearchConfig, rewrite: str | None =
 
     ``text_id`` names a query's text: routes with the same text share its search.
     """
-    rows = profile.routes(profile.add_profile(queries), rewrite)
+    rows = profile.routes(profile.add_profile(queries), rewrite if config.profiles else None)
+    if not config.profiles:
+        rows = rows.where(F.col("route").isin(*RAW_ROUTES))
     given = F.create_map(*[F.lit(x) for kv in (config.route_weights or {"": 0.0}).items() for x in (kv[0], float(kv[1]))])
     same = Window.partitionBy("query_id", "query")
     lead = F.min("route_ord").over(same).cast("string")
@@ -78,7 +84,7 @@ def route_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, config
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return with_bonus(out, queries, chunks, bound)
+    return with_bonus(out, queries, chunks, bound) if config.profiles and config.bonus else out
 
 
 def with_bonus(hits: DataFrame, queries: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:

@@ -6,8 +6,10 @@ import json
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..constants import SECTION_TITLES
+from ..operators.upkeep import upsert_stored
 from ..plans import index_build
 from ..session import drop_folder, shared_folder
 
@@ -20,6 +22,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def load_build(spark: SparkSession, build: str, out: str, batch: str = "0", dry_run: bool = False, recreate: bool = False, skip_create: bool = False) -> dict:
+    """Load an exported build into stored tables ``out``/cases and ``out``/chunks by id; returns the summary.
+
+    A missing part counts 0 rows. ``dry_run`` only counts; ``recreate`` deletes
+    the tables first; without it an existing table is an error, unless
+    ``skip_create`` adds to it. ``batch`` orders loads: of rows with one id that
+    of the greatest batch stays, so a load that is run again changes nothing.
+    """
+    keys = {"cases": "doc_id", "chunks": "chunk_id"}
+    told: dict = {"build": build, "out": out, "dry_run": dry_run}
+    for part in keys:
+        told[f"{part[:-1]}_count"] = spark.read.text(f"{build}/{part}").where(F.trim("value") != "").count() if _exists(spark, f"{build}/{part}") else 0
+    if dry_run:
+        return told
+    if recreate and not skip_create:
+        for part in keys:
+            drop_folder(spark, f"{out}/{part}")
+    elif not skip_create and (there := [p for p in keys if _exists(spark, f"{out}/{p}")]):
+        raise FileExistsError(f"{out} holds {', '.join(there)}: recreate them or skip their creation")
+    mapping = json.loads(spark.read.text(f"{build}/mapping").first()[0])
+    for part, key in keys.items():
+        if told[f"{part[:-1]}_count"]:
+            rows = spark.read.schema(StructType.fromJson(mapping[part])).json(f"{build}/{part}")
+            upsert_stored(rows.where(F.col(key).isNotNull()).withColumn("batch", F.lit(batch)), f"{out}/{part}", key, "batch")
+    return told
+
+
 def _of_kind(kind: str):
     return F.coalesce(F.sum(F.size(F.filter("kinds", lambda x: x == kind))), F.lit(0)).alias(kind)
 

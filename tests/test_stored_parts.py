@@ -1,6 +1,7 @@
 """Exports of a build in one pass, stored upserts, scorers that are plugged in."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,34 @@ def test_search_with_text_ids(spark, sf):
     got, pairs = rows.collect(), {(r.query_id, f"case#{r.doc_id:06d}") for r in want.collect()}
     assert len(got) == len(pairs) and all(r.doc_id.startswith("case#") and r.case_name for r in got)
     assert len({(r.query_id, r.doc_id) for r in got} & pairs) >= 0.9 * len(pairs)
+
+
+def test_load_of_a_build(spark, sf, tmp_path):
+    build, out = str(tmp_path / "build"), str(tmp_path / "tables")
+    stats = export.export_build(build_catalogue.nested_documents(spark, sf).limit(20), build, source_file="docs")
+    told = export.load_build(spark, build, out, dry_run=True)
+    assert (told["case_count"], told["chunk_count"]) == (20, stats["chunks"]) and not os.path.exists(out)
+    export.load_build(spark, build, out, "1")
+    with pytest.raises(FileExistsError):
+        export.load_build(spark, build, out, "2")
+    for kw in ({"skip_create": True}, {"skip_create": True}, {"recreate": True}):
+        export.load_build(spark, build, out, "2", **kw)
+        chunks = spark.read.parquet(f"{out}/chunks")
+        assert chunks.count() == chunks.select("chunk_id").distinct().count() == stats["chunks"]
+        assert [r.batch for r in chunks.select("batch").distinct().collect()] == ["2"]
+    plain = spark.read.parquet(f"{out}/cases").drop("batch", "folder")
+    given = spark.read.schema(plain.schema).json(f"{build}/cases")
+    assert plain.exceptAll(given).count() == given.exceptAll(plain).count() == 0
+    assert export.load_build(spark, str(tmp_path / "none"), out, dry_run=True)["case_count"] == 0
+
+
+def test_methods_and_raw_routes(spark, sf):
+    from docuseam.config import chosen_methods
+
+    assert chosen_methods() == ["hybrid", "hybrid_rerank"] and chosen_methods("hybrid") == ["hybrid"]
+    assert chosen_methods(["x", "hybrid_rerank", "hybrid", "hybrid_rerank"]) == ["hybrid_rerank", "hybrid"] and chosen_methods(["x"]) == ["hybrid_rerank"]
+    queries = search_catalogue._fired_queries(spark, sf).limit(30)
+    every = plan.query_routes(queries, SearchConfig())
+    raw = plan.query_routes(queries, SearchConfig(profiles=False))
+    assert {r.route for r in raw.select("route").distinct().collect()} == set(plan.RAW_ROUTES)
+    assert every.select("route").distinct().count() > 2 and raw.count() == 2 * queries.count()
