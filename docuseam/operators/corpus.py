@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CHUNK_SIZES, CLAIM_MARKER, DEFENSE_MARKER, FACT_BOUNDARY, OTHER_CHUNK_SIZE, PLEADING_TAIL, REASONING_BOUNDARY, SECTION_ORDER, SECTION_TITLES, SECTION_WEIGHTS
 from ..functions import text as tx
+from ..session import bounded_batches
 
 
 def section_weight(section: Column, stored: Column | None = None, default: float = 0.6) -> Column:
@@ -69,6 +71,57 @@ def embedding_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("embedding_text", F.concat_ws("\n", line("案由：", F.col("lang")), line("法院：", F.col("source")), line("段落：", title), line("", F.col("chunk_text"))))
 
 
+PLACED = "array<struct<start:int,end:int,line_start:int,line_end:int>>"
+
+
+def place_pieces(text: str | None, pieces: Iterable[str | None]) -> Iterator[tuple[int, int | None]]:
+    """(start, end), 0-based, of a case's pieces in its full text; see ``chunk_spans``."""
+    text, hint = text or "", 0
+    for piece in pieces:
+        if piece is None:
+            yield 0, None
+            continue
+        lines = [piece]
+        at = _find(text, piece, hint)
+        if at < 0:
+            lines = _clean(piece).split("\n")
+            at = _find(text, lines[0], hint) if lines[0] else -1
+        if at < 0:
+            yield 0, len(piece)
+            continue
+        hint = at + len(lines[0])
+        for line in lines[1:]:
+            found = text.find(line, hint)
+            hint = found + len(line) if found >= 0 else hint
+        yield at, hint
+
+
+def _find(text: str, part: str, at: int) -> int:
+    """Where a part starts, looked for from a place on, else anywhere; an empty one starts the text."""
+    found = text.find(part, at) if part else 0
+    return text.find(part) if found < 0 and at > 0 else found
+
+
+def placed(text: Column, pieces: Column) -> Column:
+    """Array of start, end and their lines of a case's pieces, an array of texts, in its full text; see ``chunk_spans``.
+
+    One pass over the text of a case: lines come from the places of its line feeds.
+    """
+
+    @F.pandas_udf(PLACED)
+    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        def one(t, pieces):
+            if pieces is None:
+                return None
+            feeds = [m.start() for m in re.finditer("\n", t)] if t is not None else None
+            line = lambda at: bisect_left(feeds, at) + 1 if feeds is not None and at is not None else None
+            return [{"start": a, "end": b, "line_start": line(a), "line_end": line(b)} for a, b in place_pieces(t, pieces)]
+
+        return pd.Series([one(t, x) for t, x in zip(texts, lists, strict=True)], dtype=object)
+
+    return run(text, pieces)
+
+
 def chunk_spans(text: Column, chunks: Column) -> Column:
     """Array of (chunk_id, start, end), 0-based, of a case's chunks in its full text.
 
@@ -77,33 +130,18 @@ def chunk_spans(text: Column, chunks: Column) -> Column:
     its first line and on through those of the others that follow; else it
     counts from the start of the text and the next search is not moved.
     """
-    find = lambda x, at: F.coalesce(F.nullif(F.position(x, text, at + 1), F.lit(0)), F.nullif(F.position(x, text), F.lit(0))) - 1
-    kind = "array<struct<chunk_id:string,start:int,end:int>>"
-
-    def through(first, lines):
-        step = lambda at, x: F.coalesce(F.nullif(F.position(x, text, at + 1), F.lit(0)) - 1 + F.length(x), at)
-        return F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), first + F.length(lines[0]), step)
-
-    def place(acc, c):
-        whole = find(c["chunk_text"], acc["hint"])
-        lines = F.filter(F.split(tx.clean_lines(c["chunk_text"]), "\n"), lambda x: x != "")
-        head = F.when(whole.isNull() & (F.size(lines) > 0), find(F.get(lines, F.lit(0)), acc["hint"]))
-        start = F.coalesce(whole, head, F.lit(0))
-        end = F.when(whole.isNotNull(), whole + F.length(c["chunk_text"])).when(head.isNotNull(), through(head, lines)).otherwise(F.length(c["chunk_text"]))
-        one = F.array(F.struct(c["chunk_id"].alias("chunk_id"), start.cast("int").alias("start"), end.cast("int").alias("end")))
-        found = whole.isNotNull() | head.isNotNull()
-        return F.struct(F.when(found, end).otherwise(acc["hint"]).cast("int").alias("hint"), F.concat(acc["out"], one).alias("out"))
-
-    return F.aggregate(chunks, F.struct(F.lit(0).alias("hint"), F.array().cast(kind).alias("out")), place, lambda a: a["out"])
+    places = placed(text, F.transform(chunks, lambda c: c["chunk_text"]))
+    return F.zip_with(chunks, places, lambda c, p: F.struct(c["chunk_id"].alias("chunk_id"), p["start"].alias("start"), p["end"].alias("end")))
 
 
 def locate_chunks(rows: DataFrame, cases: DataFrame, text: str = "full_text") -> DataFrame:
     """chunk_id, char_start, char_end, line_start and line_end of every chunk. ``cases``: doc_id and the full text."""
+    bounded_batches(rows.sparkSession)
     per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "chunk_id", "chunk_text"))).alias("xs"))  # the chunks of one case
     both = per.join(cases.select("doc_id", F.col(text).alias("t")), "doc_id")
-    spans = both.select("t", F.explode(chunk_spans(F.col("t"), F.transform("xs", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["chunk_text"].alias("chunk_text"))))).alias("s"))
-    line = lambda at: tx.line_number(F.col("t"), F.col(at))
-    return spans.select("s.chunk_id", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), line("s.start").alias("line_start"), line("s.end").alias("line_end"))
+    spans = both.select(F.transform("xs", lambda x: x["chunk_id"]).alias("ids"), placed(F.col("t"), F.transform("xs", lambda x: x["chunk_text"])).alias("at"))
+    found = spans.select(F.explode(F.arrays_zip("ids", "at")).alias("s"))
+    return found.select(F.col("s.ids").alias("chunk_id"), F.col("s.at.start").alias("char_start"), F.col("s.at.end").alias("char_end"), "s.at.line_start", "s.at.line_end")
 
 
 def section_counts(rows: DataFrame) -> DataFrame:

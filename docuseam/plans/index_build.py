@@ -176,22 +176,24 @@ def chunk_rows(cases: DataFrame, embedding_model: str = "", embedding_version: s
     bounded_batches(cases.sparkSession)
     whole = cases if cut else cases.withColumn("pieces", pieces(F.col("sections")))
     cid = lambda x: F.format_string("%s#%s#%02d#%03d", F.col("doc_id"), x["section_type"], x["section_index"], x["pos"])
-    named = whole.withColumn("ids", F.transform("pieces", cid))
-    spans = corpus.chunk_spans(F.col("full_text"), F.transform("pieces", lambda x, i: F.struct(F.get("ids", i).alias("chunk_id"), x["chunk_text"].alias("chunk_text"))))
-    rows = named.withColumn("spans", spans).select("*", F.posexplode("pieces").alias("i", "x")).drop("pieces", "sections")
-    near = lambda k: F.coalesce(F.get("ids", F.col("i") + k), F.lit(""))
-    span, body, kind = F.get("spans", F.col("i")), F.col("x.chunk_text"), F.col("x.section_type")
+    named = whole.withColumns({"ids": F.transform("pieces", cid), "spans": corpus.placed(F.col("full_text"), F.transform("pieces", lambda x: x["chunk_text"]))})
+    # a piece holds all that it needs of its case's lists and full text, so that no row of a piece carries them
+    near = lambda i, k: F.coalesce(F.get("ids", i + k), F.lit(""))
+    made = F.transform("pieces", lambda x, i: F.struct(F.get("ids", i).alias("id"), near(i, -1).alias("prev"), near(i, 1).alias("next"), x.alias("x"), F.get("spans", i).alias("span")))
+    held = named.withColumn("made", made).drop("pieces", "sections", "ids", "spans", "full_text")
+    # the outer form infers no filter by the length of the list, which would make the list twice
+    rows = held.select("*", F.posexplode_outer("made").alias("i", "m")).drop("made").where("i IS NOT NULL").select("*", "m.x", "m.span")
+    span, body, kind = F.col("span"), F.col("x.chunk_text"), F.col("x.section_type")
     title = F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_TITLES.items() for x in kv]), kind)
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_WEIGHTS.items() for x in kv]), kind), F.lit(OTHER_STORED_WEIGHT))
     always = lambda label, x: F.concat(F.lit(f"{label}："), x)
     some = lambda label, x: F.when(F.col(x) != "", always(label, F.col(x)))
     embedded = F.concat_ws("\n", always("案由", F.col("reason")), always("审级", F.col("trial_level")), always("法院", F.col("court_name")), some("法律关系", "legal_relation"), some("标的物", "subject_type"), some("裁判结果", "result_label"), some("核心争点", "core_issue"), always("章节", title), always("正文", body))
-    line = lambda at: tx.line_number(F.col("full_text"), at).cast("int")
     return rows.select(
-        F.get("ids", F.col("i")).alias("chunk_id"), "doc_id", body.alias("chunk_text"), embedded.alias("embedding_text"), kind.alias("section_type"), title.alias("section_title"),
+        F.col("m.id").alias("chunk_id"), "doc_id", body.alias("chunk_text"), embedded.alias("embedding_text"), kind.alias("section_type"), title.alias("section_title"),
         F.col("x.section_index").alias("section_index"), F.col("i").alias("chunk_index_in_case"), F.col("x.pos").alias("chunk_index_in_section"),
-        span["start"].alias("char_start"), span["end"].alias("char_end"), line(span["start"]).alias("line_start"), line(span["end"]).alias("line_end"),
-        near(-1).alias("prev_chunk_id"), near(1).alias("next_chunk_id"), F.length(body).alias("chunk_char_len"), F.sha2(body.cast("binary"), 256).alias("chunk_hash"), "full_text_hash",
+        span["start"].alias("char_start"), span["end"].alias("char_end"), span["line_start"].alias("line_start"), span["line_end"].alias("line_end"),
+        F.col("m.prev").alias("prev_chunk_id"), F.col("m.next").alias("next_chunk_id"), F.length(body).alias("chunk_char_len"), F.sha2(body.cast("binary"), 256).alias("chunk_hash"), "full_text_hash",
         "case_name", "case_code", "court_name", "court_region", "reason", "trial_level", "judge_date", "publish_date", "case_type", "statutes",
         F.lit(embedding_model).alias("embedding_model"), F.lit(embedding_version).alias("embedding_version"), F.lit(embedding_dim).alias("embedding_dim"),
         weight.alias("section_weight"), F.array(*[F.lit(q) for q in QUALITY_FLAGS]).alias("quality_flags"), "schema_version",

@@ -101,3 +101,22 @@ def test_chunkify_is_the_splitter_of_the_kind(spark):
     for k, v in got.items():
         assert [v[i] for i in range(len(v))] == corpus.split_section(k, text)
     assert len(got["facts"]) > len(got["judgment"]) > 1
+
+
+def test_rows_of_pieces_carry_no_case_text(spark, sf):
+    """What is dealt out as rows must not hold the full text or the lists of its case, whose size would count once per piece."""
+    rows = build_catalogue.chunk_build(spark, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Generate " in line and "explode" in line]
+    assert len(dealt) == 1 and "full_text#" not in dealt[0] and "ids#" not in dealt[0] and "spans#" not in dealt[0]
+
+
+def test_places_of_many_pieces(spark):
+    lines = [f"word{i} of {i % 7}" for i in range(20_000)]
+    text, pieces = "\n".join(lines), [*lines, lines[3], "none", "word5 of 5\n lost \nword9 of 2"]
+    got = list(corpus.place_pieces(text, pieces))
+    starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(10)]
+    assert [text[a:b] for a, b in got[:20_000]] == lines and [a for a, _ in got] == sorted({a for a, _ in got[:20_000]}) + [starts[3], 0, starts[5]]
+    assert got[-2:] == [(0, 4), (starts[5], starts[9] + len(lines[9]))]
+    row = spark.createDataFrame([(text, pieces)], "t string, p array<string>").select(corpus.placed("t", "p").alias("s")).first()
+    assert [(x.start, x.end) for x in row.s] == got and [x.line_start for x in row.s][:3] == [1, 2, 3] and row.s[-1].line_end == 10
