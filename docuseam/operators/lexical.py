@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
+from ..functions.text import or_empty, tokens
 from ..session import bounded_batches
 
 K1, B = 1.2, 0.75
-#: Queries of a broadcast block, and the most of its terms times queries, which are the numbers a task holds.
-BLOCK_QUERIES, BLOCK_CELLS = 128, 4 << 20
+#: Queries of a broadcast block, and about the most weights of their terms.
+BLOCK_QUERIES, BLOCK_WEIGHTS = 512, 4 << 20
+#: Terms of a broadcast block, and the products of weights and values that are held at once.
+BLOCK_TERMS, PRODUCTS = 1 << 20, 1 << 20
+#: Rows that a task holds before those that no longer reach a k-th best are left out.
+HELD_ROWS = 1 << 19
 
 
 def postings(rows: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
@@ -42,88 +46,193 @@ def corpus_stats(posted: DataFrame, key: str = "chunk_id") -> DataFrame:
     return per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def letters() -> np.ndarray:
+    """Whether a code point is a letter or a number, which words are made of, as in ``tokens``."""
+    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)])
+
+
+def _words(texts: pa.Array, letter: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The row of every word of an Arrow batch of lower-cased texts, and the words: what ``tokens`` finds, for all texts at once on their bytes."""
+    texts = texts.cast(pa.string())
+    _, offsets, held = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or at[0] == at[-1]:
+        return np.zeros(0, np.int64), pa.array([], pa.string())
+    data, at = np.frombuffer(held, np.uint8)[at[0] : at[-1]], at - at[0]
+    inside = np.append(letter[:128], np.zeros(128, bool))[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead].astype(np.int32)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & np.array([0, 0, 31, 15, 7])[size]
+    for k in (1, 2, 3):
+        some = size > k
+        code[some] = code[some] << 6 | (data[lead[some] + k] & 63)
+    lead, size = lead[letter[code]], size[letter[code]]
+    for k in range(4):
+        inside[lead[size > k] + k] = True
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    before[at[:-1][at[:-1] < len(data)]] = False  # no word goes on in the next text
+    after[at[1:][at[1:] > 0] - 1] = False
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    ends = np.append(0, np.cumsum(end - start)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside])))
+    return np.searchsorted(at, start, side="right") - 1, words
+
+
+def _counted(texts: pa.Array, letter: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, owner, term, tf): the words of every text, and how often it holds each of the terms, by text and term."""
+    owner, words = _words(texts, letter)
+    lengths = np.bincount(owner, minlength=len(texts))
+    at = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy(zero_copy_only=False)
+    known = at >= 0
+    code, tf = np.unique(owner[known] * max(1, len(terms)) + at[known], return_counts=True)
+    return lengths, *np.divmod(code, max(1, len(terms))), tf
+
+
 def term_statistics(queries: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """(term, df, words) of the queries' terms, in one pass; the term '' says how many rows have words, and how many words."""
-    terms = queries.select(F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    wanted = terms.union(queries.select(F.lit("").alias("term"))).distinct()
-    listed = rows.select(tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
-    seen = listed.select(F.size("_words").alias("dl"), F.explode(F.array_append(F.array_distinct("_words"), F.lit(""))).alias("term"))
-    return seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
+    """(term, df, words) of the queries' terms, in one pass; the term '' says how many rows have words, and how many words.
+
+    Every task counts by itself, so that no row of a word leaves it. Terms are broadcast in blocks of bounded size.
+    """
+    spark = rows.sparkSession
+    wanted = queries.select(F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct().persist()
+    blocks, letter, out = max(1, -(-wanted.count() // BLOCK_TERMS)), letters(), None
+    for b in range(blocks):
+        terms = wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()["term"].combine_chunks().cast(pa.string())
+        shared = spark.sparkContext.broadcast((letter, terms))
+        found = rows.select(F.lower(or_empty(F.col(text))).alias("_text")).mapInArrow(_count(shared, b == 0), "term string, df long, words long")
+        out = found if out is None else out.unionByName(found)
+    wanted.unpersist()
+    return out.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+
+
+def _count(shared, whole: bool):
+    def run(batches):
+        letter, terms = shared.value
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        for b in batches:
+            lengths, _, term, _ = _counted(b.column(0), letter, terms)
+            df += np.bincount(term, minlength=len(terms))
+            n, total = n + int((lengths > 0).sum()), total + int(lengths.sum())
+        some = np.flatnonzero(df)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(some)), pa.array(df[some]), pa.array(np.zeros(len(some), np.int64))], ["term", "df", "words"])
+        if whole and n:
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([n]), pa.array([total])], ["term", "df", "words"])
+
+    return run
 
 
 def bm25_top(queries: DataFrame, rows: DataFrame, k: int, key: str = "chunk_id", text: str = "chunk_text", group: str | None = None, boost: float = 1.0) -> DataFrame:
     """(query_id, key, score): every pair that may be among the k best of its query, or of its query and ``group``.
 
     Scores are rounded to 6 digits; rows without a common term have none. Terms
-    are counted inside the row and multiplied with the weights of a block of
-    queries at once, and each task passes on only what reaches its own k-th best
-    score, so what is shuffled afterwards does not grow with the rows of a task.
-    Document frequencies are those of all rows. Null texts count as empty.
+    are found and counted on the bytes of an Arrow batch and multiplied with the
+    weights of a block of queries at once, and each task passes on only what
+    reaches its own k-th best score, so what is shuffled afterwards does not grow
+    with the rows of a task. Document frequencies are those of all rows. Null
+    texts count as empty.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
     asked = queries.select("query_id", "query_text").persist()
     stats = term_statistics(asked, rows, text).persist()
     total, words = asked.agg(F.count("*"), F.coalesce(F.sum(F.size(F.array_distinct(tokens(F.col("query_text"))))), F.lit(0))).first()
-    # with so many blocks a block has a part of the queries and of their terms
-    blocks = max(1, -(-total // BLOCK_QUERIES), math.ceil(math.sqrt(words * total / BLOCK_CELLS)))
+    blocks = max(1, -(-total // BLOCK_QUERIES), -(-words // BLOCK_WEIGHTS))
     whole = stats.where("term = ''").first()
     n, mean = (whole["df"], whole["words"] / whole["df"]) if whole else (0, 1.0)
     idf_of = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).join(stats, "term").select("query_id", "term", idf_of.alias("idf"))
-    listed = rows.select(key, *([group] if group else []), tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *listed.drop("_words").schema.fields, T.StructField("score", T.DoubleType())])
-    out = None
+    listed = rows.select(key, *([group] if group else []), F.lower(or_empty(F.col(text))).alias("_text"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *listed.drop("_text").schema.fields, T.StructField("score", T.DoubleType())])
+    letter, out = letters(), None
     for b in range(blocks):
         part = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
         ids, terms = (pa.chunked_array(part[c]).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
-        weights = np.zeros((len(terms.dictionary), len(ids.dictionary)))
-        weights[terms.indices.to_numpy(), ids.indices.to_numpy()] = part["idf"].to_numpy()
-        shared = spark.sparkContext.broadcast((ids.dictionary, terms.dictionary, weights))
-        found = listed.mapInArrow(_scan(shared, k, mean, boost, group is not None), schema)
+        order = np.argsort(terms.indices.to_numpy(), kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary))))
+        held = (ends, ids.indices.to_numpy()[order].astype(np.int64), part["idf"].to_numpy()[order])
+        shared = spark.sparkContext.broadcast((letter, ids.dictionary, terms.dictionary.cast(pa.string()), held))
+        found = listed.mapInArrow(_scan(shared, k, mean, boost, group is not None, schema.names), schema)
         out = found if out is None else out.unionByName(found)
     asked.unpersist()
     stats.unpersist()
     return out
 
 
-def _scan(shared, k: int, mean: float, boost: float, grouped: bool):
-    """Scores of a block of queries, batch by batch; ``best`` holds the k best scores so far of all rows and of each group."""
+def _scores(owner: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int, width: int, held) -> np.ndarray:
+    """Scores of rows under queries: the weights that hold a row's terms, times their values, summed; what is multiplied at once is bounded."""
+    ends, query, weight = held
+    out = np.zeros(rows * width)
+    sizes = np.diff(ends)[term]
+    upto = np.append(0, np.cumsum(sizes))
+    i = 0
+    while i < len(term):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PRODUCTS, side="right")) - 1)
+        size = sizes[i:j]
+        pair = np.repeat(ends[term[i:j]] - (upto[i:j] - upto[i]), size) + np.arange(upto[j] - upto[i])
+        low = int(owner[i]) * width
+        got = np.bincount(np.repeat(owner[i:j] * width, size) + query[pair] - low, np.repeat(value[i:j], size) * weight[pair])
+        out[low : low + len(got)] += got
+        i = j
+    return out.reshape(rows, width)
+
+
+def _scan(shared, k: int, mean: float, boost: float, grouped: bool, names: list[str]):
+    """Scores of a block of queries, batch by batch; ``best`` holds the k best scores so far of all rows and of each group, and only what reaches them in the end is passed on."""
 
     def run(batches):
-        ids, terms, weights = shared.value
-        size, width = weights.shape
-        best: dict = {}
+        letter, ids, terms, weights = shared.value
+        width = len(ids)
+        best, places, held = {None: np.zeros((k, width))}, {None: 0}, []
         if not width:
             return
+
+        def reaching(found):
+            """What still reaches the k-th best of all rows or of its group."""
+            least = np.stack([x.min(axis=0) for x in best.values()])
+            columns, query, group, value = found
+            some = np.flatnonzero((value >= least[0, query]) | (grouped & (value >= least[group, query])))
+            return [x.take(pa.array(some)) for x in columns], query[some], group[some], value[some]
+
+        def batch_of(found):
+            columns, query, _, value = found
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), *columns, pa.array(value)], names)
+
+        def joined():
+            columns = [pa.concat_arrays(x) for x in zip(*(h[0] for h in held), strict=True)]
+            return reaching((columns, *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))))
+
         for b in batches:
-            words = b.column(b.num_columns - 1)
-            lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-            at = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
-            known = at >= 0
-            code, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths)[known] * size + at[known], return_counts=True)
-            owner, term = np.divmod(code, max(1, size))
+            lengths, owner, term, tf = _counted(b.column(b.num_columns - 1), letter, terms)
             value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
-            scores = np.zeros((len(lengths), width))
-            for i in range(0, len(owner), 1 << 14):  # bounds what is multiplied at once
-                own = owner[i : i + (1 << 14)]
-                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                part = weights[term[i : i + (1 << 14)]] * value[i : i + (1 << 14), None]
-                scores[own[first]] += np.add.reduceat(part, first, axis=0)
-            scores = np.round(boost * scores, 6)
+            scores = _scores(owner, term, value, len(lengths), width, weights)
+            scores *= boost
             keep = np.zeros(scores.shape, bool)
-            parts = {None: np.arange(len(lengths))}
+            parts, group = {None: np.arange(len(lengths))}, np.zeros(len(lengths), np.int64)
             if grouped:
-                names = b.column(1).dictionary_encode()
-                codes = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)
-                parts |= {("group", names.dictionary[int(c)].as_py() if c >= 0 else None): np.flatnonzero(codes == c) for c in np.unique(codes)}
+                kinds = b.column(1).dictionary_encode()
+                codes = pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False)
+                parts |= {("group", kinds.dictionary[int(c)].as_py() if c >= 0 else None): np.flatnonzero(codes == c) for c in np.unique(codes)}
             for name, some in parts.items():
-                top = np.concatenate([best.get(name, np.zeros((k, width))), scores[some]])
+                group[some] = places.setdefault(name, len(places))
+                before = best.setdefault(name, np.zeros((k, width)))
+                # only what may reach a query's k-th best so far is rounded and ranked
+                some = some[((scores[some] > 0) & (scores[some] >= before.min(axis=0) - 1e-6)).any(axis=1)]
+                own = np.round(scores[some], 6)
+                top = np.concatenate([before, own])
                 best[name] = np.partition(top, len(top) - k, axis=0)[len(top) - k :]
-                keep[some] |= scores[some] >= best[name].min(axis=0)
-            row, query = np.nonzero(keep & (scores > 0))
-            held = [b.column(i).take(pa.array(row)) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), *held, pa.array(scores[row, query])], ["query_id", *b.schema.names[:-1], "score"])
+                keep[some] |= own >= best[name].min(axis=0)
+            row, query = np.nonzero(keep)
+            value = np.round(scores[row, query], 6)
+            row, query, value = (x[value > 0] for x in (row, query, value))
+            held.append(([b.column(i).take(pa.array(row)) for i in range(b.num_columns - 1)], query, group[row], value))
+            if sum(len(h[1]) for h in held) > HELD_ROWS:
+                held = [joined()]
+                if len(held[0][1]) > HELD_ROWS // 2:  # many equal scores
+                    yield batch_of(held.pop())
+        if held:
+            yield batch_of(joined())
 
     return run
 

@@ -39,7 +39,8 @@ def _query_vectors(spark, sf):
 
 
 def _hits(spark, sf):
-    return plan.route_hits(_query_vectors(spark, sf), _chunks(spark, sf), _t(spark, sf, "embeddings"), SearchConfig(candidate_size=SIZE))
+    """Hits of all routes, searched once: what reads them several times reads their rows, at most so many as routes and candidates."""
+    return kept(plan.route_hits(_query_vectors(spark, sf), _chunks(spark, sf), _t(spark, sf, "embeddings"), SearchConfig(candidate_size=SIZE)))
 
 
 # --- evaluation fixtures: neighbours by cosine as the run, labels as grades ---

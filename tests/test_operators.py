@@ -204,3 +204,30 @@ def test_chunk_spans(spark):
     chunks = F.array(*[F.struct(F.lit(k).alias("chunk_id"), F.lit(c).alias("chunk_text")) for k, c in (("1", "aa"), ("2", "aa"), ("3", "bb"), ("4", "cc\n dd "), ("5", "none"))])
     got = one(spark.range(1).select(corpus.chunk_spans(F.lit(text), chunks).alias("s"))).s
     assert [(x.start, x.end) for x in got] == [(0, 2), (9, 11), (3, 5), (6, 14), (0, 4)]
+
+
+def test_words_on_bytes_are_those_of_the_regular_expression(spark):
+    texts = ["Ein Übermaß, 3½ mal!", "", "a_b—c…d́e 东京都。東京", None, "x", "z\U0001d400z \U0001f600 9", "naïve\nCAFÉ"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    want = [(r.i, w) for r in rows.select("i", tx.tokens(F.col("t")).alias("w")).collect() for w in r.w]
+    batch = rows.select(F.lower(tx.or_empty(F.col("t"))).alias("t")).toArrow()["t"].combine_chunks()
+    for some in (batch, batch.slice(2, 4)):
+        owner, words = lexical._words(some, lexical.letters())
+        low = 0 if some is batch else 2
+        assert [(int(o) + low, w) for o, w in zip(owner, words.to_pylist())] == [x for x in want if low <= x[0] < low + len(some)]
+
+
+def test_a_task_passes_on_its_last_best_only(spark, monkeypatch):
+    """Scores that were among the best for a while, but not in the end, are not shuffled; blocks of queries and of products change nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = spark.createDataFrame([(f"k{i:03}", " ".join(["a"] * (i + 1) + ["b"] * 40), "xy"[i % 2]) for i in range(60)], "chunk_id string, chunk_text string, g string").coalesce(1)
+    queries = spark.createDataFrame([(1, "a"), (2, "a b")], "query_id long, query_text string")
+    monkeypatch.setattr(lexical, "bounded_batches", lambda spark: None)
+    plain = sorted(map(tuple, lexical.bm25_top(queries, rows, 2, group="g").collect()))
+    assert len(plain) <= 2 * 2 * 3
+    for name, value in (("HELD_ROWS", 8), ("PRODUCTS", 3), ("BLOCK_QUERIES", 1), ("BLOCK_TERMS", 1)):
+        monkeypatch.setattr(lexical, name, value)
+    by = ("query_id", "g")
+    got = lexical.top_k(lexical.bm25_top(queries, rows, 2, group="g"), 2, by).drop("rank").collect()
+    want = lexical.top_k(spark.createDataFrame(plain, "query_id long, chunk_id string, g string, score double"), 2, by).drop("rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
