@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
+from ..functions.text import or_empty, tokens
 from ..session import bounded_batches
-from .lexical import K1, B
+from .lexical import K1, B, _words, letters
 
 BLOCK_ROWS = 4096
 #: Folders that terms are dealt to; heads of blocks have folder -1.
@@ -46,26 +46,30 @@ def append_postings(rows: DataFrame, path: str, batch: str, key: str = "chunk_id
     if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
         raise ValueError("a batch is named by letters, digits, _ and -")
     bounded_batches(rows.sparkSession)
-    listed = rows.select(F.col(key).cast("string").alias("key"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"), tokens(F.col(text)).alias("words")).where(F.size("words") > 0)
+    listed = rows.select(F.col(key).cast("string").alias("key"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"), F.lower(or_empty(F.col(text))).alias("text"))
     schema = "block string, term string, at array<int>, tf array<int>, dl array<int>, keys array<string>, grps array<string>"
-    posted = listed.mapInArrow(_post(batch), schema).withColumn("folder", F.when(F.col("term").isNull(), HEAD).otherwise(_folder("term", folders)))
+    posted = listed.mapInArrow(_post(batch, rows.sparkSession.sparkContext.broadcast(letters())), schema).withColumn("folder", F.when(F.col("term").isNull(), HEAD).otherwise(_folder("term", folders)))
     # one folder's rows meet in few files; large folders are split, small ones put together
     dealt = posted.hint("rebalance", "folder").sortWithinPartitions("folder", "term")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(f"{path}/batch={batch}")
 
 
-def _post(batch: str):
+def _post(batch: str, shared):
     def run(batches):
         from pyspark import TaskContext
 
-        part, turn = TaskContext.get().partitionId(), 0
+        part, turn, letter = TaskContext.get().partitionId(), 0, shared.value
         for b in batches:
             for i in range(0, b.num_rows, BLOCK_ROWS):
                 rows = b.slice(i, BLOCK_ROWS)
-                sizes = rows.column(2).value_lengths().to_numpy()
-                coded = rows.column(2).flatten().dictionary_encode()
+                owner, words = _words(rows.column(2), letter)
+                if not len(owner):
+                    continue
+                sizes = np.bincount(owner, minlength=rows.num_rows)
+                rows, owner, sizes = rows.filter(pa.array(sizes > 0)), (np.cumsum(sizes > 0) - 1)[owner], sizes[sizes > 0]
+                coded = words.dictionary_encode()
                 n = len(coded.dictionary)
-                code, tf = np.unique(coded.indices.to_numpy() * np.int64(len(sizes)) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+                code, tf = np.unique(coded.indices.to_numpy() * np.int64(len(sizes)) + owner, return_counts=True)
                 term, at = np.divmod(code, len(sizes))
                 ends = pa.array(np.searchsorted(term, np.arange(n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, tf)]

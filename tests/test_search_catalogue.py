@@ -88,3 +88,19 @@ def test_stored_index_of_many_blocks_and_frequent_terms(spark, tmp_path, monkeyp
         got, want = (sorted(map(tuple, lexical.top_k(r, 4, by).collect()), key=repr) for r in (stored_index.bm25_stored(stored_index.read_postings(spark, at), queries, 4, group=group), lexical.bm25_top(queries, rows, 4, group=group)))
         assert len(got) == len(want) and [g[:-2] for g in got] == [w[:-2] for w in want]
         assert np.allclose([g[-2] for g in got], [w[-2] for w in want], atol=2e-6)
+
+
+def test_postings_read_no_word_twice(spark, sf, tmp_path):
+    """Texts reach the tasks as they are: words are found there, once; chunks without words leave no trace."""
+    rows = spark.createDataFrame([("a", "Übermaß x x"), ("b", " … "), ("c", None), ("d", "x")], "chunk_id string, chunk_text string").coalesce(1)
+    seen = []
+    whole = type(rows).mapInArrow
+    try:
+        type(rows).mapInArrow = lambda self, *a, **k: (seen.append(self._jdf.queryExecution().optimizedPlan().toString()), whole(self, *a, **k))[1]
+        stored_index.append_postings(rows, str(tmp_path / "at"), "one", group=None)
+    finally:
+        type(rows).mapInArrow = whole
+    assert len(seen) == 1 and "regexp_extract_all" not in seen[0]
+    index = stored_index.read_postings(spark, str(tmp_path / "at"))
+    assert stored_index.index_size(index) == (2, 4)
+    assert sorted(map(tuple, stored_index.term_counts(index).collect())) == [("x", 2, 3), ("übermaß", 1, 1)]
