@@ -158,8 +158,8 @@ _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, KEYS * POSITIONS, dtyp
 SKETCH_BITS = 256
 #: Standard deviations that a pair's tally may lie under its mean at the similarity.
 SLACK = 4.5
-#: Rounds in which the members of a list are compared with a leader of another group before what is still apart
-#: meets in its rare shingles; the first round takes one list of so many.
+#: Rounds in which the members of a list are compared with its leader, the one that meets most in all its lists,
+#: before what is still apart meets in its rare shingles; the first round takes one list of so many.
 LEADER_ROUNDS, FIRST_SHARE = 2, 8
 #: Shingles of a batch that leaves a Python worker.
 SHINGLE_ROWS = 1 << 18
@@ -346,9 +346,10 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) ->
     firsts = rows.groupBy("node").agg(F.min("tag").alias("tag"))
     prints = rows.join(firsts.select("tag"), "tag", "left_semi").select(F.col("tag").alias("id"), "keys", "sketch", "bytes")
     postings = prints.select("id", F.explode("keys").alias("key"))
-    lists = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    met = postings.join(lists, "key").select("key", F.col("id").alias("node"))
-    shared = kept(met.join(prints.select(F.col("id").alias("node"), "sketch"), "node"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = postings.join(lists, "key").select("key", F.col("id").alias("node"), "n")
+    # whom a node meets in all its lists together: the middle of a group meets most of it
+    shared = kept(met.join(prints.select(F.col("id").alias("node"), "sketch"), "node").withColumn("met", F.sum("n").over(Window.partitionBy("node"))).drop("n"))
     some = shared.select("node").distinct()
     signs = kept(prints.join(some.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "bytes"))
     texts = kept(rows.select(F.col("tag").alias("node"), "text").join(some, "node", "left_semi"))
@@ -358,14 +359,14 @@ def _near_copy_roots(rows: DataFrame, shingle_words: int, similarity: float) ->
     edges, apart = None, shared.withColumn("root", F.col("node"))
     for k in range(LEADER_ROUNDS):
         some = apart if k else apart.where(F.pmod("key", F.lit(FIRST_SHARE)) == 0)
-        led = some.groupBy("key").agg(F.min_by(F.struct("node", "root", "sketch"), F.xxhash64("node", F.lit(k))).alias("f"))
+        led = some.groupBy("key").agg(F.max_by(F.struct("node", "root", "sketch"), F.struct("met", "node")).alias("f"))
         led = led.select("key", F.col("f.node").alias("leader"), F.col("f.root").alias("root_of"), F.col("f.sketch").alias("sketch_of"))
         fit = (F.col("root") != F.col("root_of")) & near_sketches("sketch", "sketch_of", similarity)
         stars = some.join(led, "key").where(fit).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         found = decided(stars)
         edges = found if edges is None else edges.union(found)
         roots = connected_components(edges)
-        part = apart.drop("root").join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
+        part = apart.drop("root").join(roots, "node", "left").select("key", "node", "sketch", "met", F.coalesce("root", "node").alias("root"))
         mixed = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         apart = kept(part.join(mixed, "key", "left_semi"))
         if apart.isEmpty():
@@ -380,8 +381,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     Equal sets are merged first. The index posts each set under ``KEYS`` tuples
     of ``POSITIONS`` positional bytes, minwise hashes of its shingles; pairs that
     meet, and whose sketches are near, get their shared bytes tallied, and those
-    with enough are decided by the shingles of their texts. The members of a list are compared with leaders; what
-    these leave in different groups meets once more in its rare shingles, where
+    with enough are decided by the shingles of their texts. The members of a list are compared with a leader, the
+    member that meets most in all its lists: where a group has a middle, it leads.
+    What leaders leave in different groups meets once more in its rare shingles, where
     no pair at the similarity is lost, so no list is capped or paired in full. Nulls, empty texts and repeated rows are as in ``simhash_groups``.
     """
     marked, name = _mark_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle_words)

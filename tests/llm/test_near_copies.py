@@ -51,6 +51,28 @@ def test_pairs_in_long_lists(spark):
     assert groups(spark, rows) == want
 
 
+def test_copies_of_one_original_do_not_meet_in_pairs(spark, monkeypatch):
+    """Copies with edits of their own are alike to their original at 0.81, but not to each other."""
+    rng, seen = random.Random(5), []
+    base = [word(rng) for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 150):
+        copy = list(base)
+        for at in rng.sample(range(5, 140), 3):
+            copy[at] = word(rng)
+        rows.append((d, " ".join(copy)))
+    rare = simhash_dedup._rare_pairs
+
+    def counted(*given):
+        found = rare(*given)
+        seen.append(found.distinct().count())
+        return found
+
+    monkeypatch.setattr(simhash_dedup, "_rare_pairs", counted)
+    assert set(groups(spark, rows).values()) == {0}
+    assert sum(seen) < len(rows)
+
+
 def test_rows_stay_by_group(spark):
     rng = random.Random(4)
     one, two, three, four = (" ".join(word(rng) for _ in range(50)) for _ in range(4))
