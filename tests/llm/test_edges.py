@@ -132,6 +132,32 @@ def test_search_passes_over_blocks():
     assert shard.scored < every
 
 
+def test_search_takes_many_queries_together():
+    """Queries that a shard answers together get what scoring every document gives: terms in a few documents, in most and in none, with and without a threshold, and more results than a block holds."""
+    rng = np.random.default_rng(5)
+    terms = [np.unique(np.append(rng.integers(0, 4000, 20), rng.integers(5000, 5030, 12))) for _ in range(700)] + [np.zeros(0, np.int64)]
+    freqs = [rng.integers(1, 5, len(t)).astype(np.int32) for t in terms]
+    ids, parts = topk_search._shard_row(list(range(701)), [int(f.sum()) for f in freqs], terms, freqs)
+    shard = topk_search.Shard(*parts, 60.0)
+    assert 0 < len(shard.matrix) < len(shard.terms)
+    asked = [terms[q] for q in range(0, 700, 70)] + [np.array([9999]), np.array([5001]), np.zeros(0, np.int64)]
+    weights = [rng.random(len(t)) + 0.1 for t in asked]
+    owner = np.repeat(np.arange(len(asked)), [len(t) for t in asked])
+    for k, least in ((10, 0.0), (10, 6.0), (200, 0.0)):
+        got = {}
+        for q, rank, at, score in zip(*shard.top_all(owner, shard.find(np.concatenate(asked)), np.concatenate(weights), len(asked), k, np.full(len(asked), least)), strict=True):
+            got.setdefault(int(q), []).append((int(rank), ids[at], float(score)))
+        for q, (t, w) in enumerate(zip(asked, weights, strict=True)):
+            gain = dict(zip(t.tolist(), w.tolist(), strict=True))
+            scores = []
+            for d, (own, f) in enumerate(zip(terms, freqs, strict=True)):
+                s = round(sum(gain[x] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * int(f.sum()) / 60.0)) for x, n in zip(own.tolist(), f.tolist(), strict=True) if x in gain), 6)
+                scores += [(-s, d)] if s > 0 and s >= least else []
+            want = sorted(scores)[:k]
+            assert [(r, d) for r, d, _ in got.get(q, [])] == [(i, d) for i, (_, d) in enumerate(want)]
+            assert np.allclose([s for _, _, s in got.get(q, [])], [-s for s, _ in want], atol=2e-6)
+
+
 def test_pages(spark):
     rows = [(1, "http://A.example.com/de/1?x#y", "<p>Hi</p>", 1), (1, "http://A.example.com/de/1?x#y", "<p>Hi</p>", 1), (2, None, None, 2), (3, "no scheme", "", 3), (4, "x://h.net", "<nav>menu</nav>", 4), (5, "x://h.net/", "<p>" + LONG, 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict int")
