@@ -158,6 +158,34 @@ def test_search_takes_many_queries_together():
             assert np.allclose([s for _, _, s in got.get(q, [])], [-s for s, _ in want], atol=2e-6)
 
 
+def test_search_multiplies_what_is_frequent_among_neighbours():
+    """A term of a few alike documents is frequent in their block only, and scored there with the block's matrix instead of its list; results are those of scoring every document."""
+    rng = np.random.default_rng(7)
+    terms = [np.append(np.sort(rng.choice(35, 30, replace=False)), 99) + 100 * (i % 64) for i in range(2048)]
+    freqs = [np.where(t % 100 == 99, 9, rng.integers(1, 4, len(t))).astype(np.int32) for t in terms]
+    ids, parts = topk_search._shard_row(list(range(2048)), [int(f.sum()) for f in freqs], terms, freqs)
+    shard = topk_search.Shard(*parts, 60.0)
+    assert shard.size.sum() < 0.2 * sum(map(len, terms))
+    asked = [np.append(terms[q], terms[q + 1][:5]) for q in range(0, 2000, 190)]  # of one group of documents and a little of another
+    weights = [rng.random(len(t)) + 0.1 for t in asked]
+    found = shard.top_all(np.repeat(np.arange(len(asked)), [len(t) for t in asked]), shard.find(np.concatenate(asked)), np.concatenate(weights), len(asked), 10, np.zeros(len(asked)))
+    for q, (t, w) in enumerate(zip(asked, weights, strict=True)):
+        gain, scores = dict(zip(t.tolist(), w.tolist(), strict=True)), []
+        for d, (own, f) in enumerate(zip(terms, freqs, strict=True)):
+            scores.append((-round(sum(gain.get(x, 0) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * int(f.sum()) / 60.0)) for x, n in zip(own.tolist(), f.tolist(), strict=True)), 6), d))
+        assert [(ids[at], -float(s)) for own, _, at, s in zip(*found, strict=True) if own == q] == [(d, s) for s, d in sorted(scores)[:10]]
+    assert len(found[0]) == 10 * len(asked)
+
+
+def test_search_order_of_queries():
+    """Queries that share their most common term stand together, and every term keeps its query."""
+    ids, term = np.array([0, 1, 2, 0, 1, 2, 3, 3]), np.array([5, 6, 5, 1, 2, 3, 6, 4])
+    line, at = topk_search._alike(ids, term, 4)
+    assert sorted(line.tolist()) == [0, 1, 2, 3] and line[at].tolist() == ids.tolist()
+    assert {*line[:2].tolist()} in ({0, 2}, {1, 3})
+    assert len(topk_search._alike(ids[:0], term[:0], 0)[0]) == 0
+
+
 def test_pages(spark):
     rows = [(1, "http://A.example.com/de/1?x#y", "<p>Hi</p>", 1), (1, "http://A.example.com/de/1?x#y", "<p>Hi</p>", 1), (2, None, None, 2), (3, "no scheme", "", 3), (4, "x://h.net", "<nav>menu</nav>", 4), (5, "x://h.net/", "<p>" + LONG, 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict int")
