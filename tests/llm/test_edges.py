@@ -1,6 +1,10 @@
 """Nulls, empty and long texts, repeated rows, extra columns and empty tables for every operator."""
 
+import glob
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +190,70 @@ def test_search_order_of_queries():
     assert len(topk_search._alike(ids[:0], term[:0], 0)[0]) == 0
 
 
+def test_search_scores_copies_once(spark):
+    """Documents and queries that are copies are scored once, and all of them are ranked as if each had been."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(3, 30))) for _ in range(40)]
+    rows = [(i * 1010 + j, t if i % 2 else " ".join(reversed(t.split()))) for i in range(6) for j, t in enumerate(texts)]  # six shards, every second one asks for other documents
+    rows += [(None, texts[0]), (None, None), (9000, ""), (9001, "W5, w5 \u0130x"), (9001, texts[3])]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    asked = docs.where("doc_id % 20 = 0").union(spark.createDataFrame([(9500, texts[7]), (9500, "w1 w1"), (9501, "none")], docs.schema))
+    k, every = 5, [topk_search._WORD.findall((t or "").lower()) for _, t in rows]
+    n, mean = sum(1 for w in every if w), sum(map(len, every)) / sum(1 for w in every if w)
+    df = {t: sum(t in w for w in every) for t in {t for w in every for t in w}}
+    asks = {}
+    for r in asked.collect():
+        asks.setdefault(r.doc_id, []).extend(topk_search._WORD.findall((r.text or "").lower()))
+    want = {}
+    for q, words in asks.items():
+        found = []
+        for (d, _), w in zip(rows, every, strict=True):
+            s = sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in words if t in w)
+            found += [(-round(float(s), 6), -1 if d is None else d)] if s > 0 else []
+        want[q] = sorted(found)[:k]
+    before = set(glob.glob(f"{(spark.sparkContext.getCheckpointDir() or '').removeprefix('file:')}/top-k-*"))
+    got = {}
+    for r in topk_search.search(docs, asked, k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, -1 if r.doc_id is None else r.doc_id))
+    assert {q: [d for _, _, d in sorted(x)] for q, x in got.items()} == {q: [d for _, d in x] for q, x in want.items() if x}
+    assert all(np.allclose([s for _, s, _ in sorted(x)], [s for s, _ in want[q]], atol=2e-6) for q, x in got.items())
+    made = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/top-k-*")) - before
+    assert sum(spark.read.parquet(f"{x}/*").count() for x in made) <= 5 * k * 3  # of five different queries
+
+
+def test_search_waves():
+    """Every shard is in one wave, and the first wave, whose k-th best scores all others start with, is small."""
+    for n in (0, 1, 2, 3, 8, 32, 385):
+        waves = topk_search._waves(list(range(n)), 6)
+        assert sorted(x for w in waves for x in w) == list(range(n)) and all(waves)
+        assert n < 4 or len(waves[0]) <= max(1, min(6, n / 3))
+
+
+def test_search_starts_with_the_threshold_of_earlier_waves():
+    """A shard passes on only what reaches the k-th best score that its task was given."""
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.integers(0, 500, 30)) for _ in range(900)]
+    ids, parts = topk_search._shard_row(list(range(900)), [len(t) for t in terms], terms, [np.ones(len(t), np.int32) for t in terms])
+    row = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([ids]), *[pa.array([x], pa.binary()) for x in parts]], ["shard", "ids", *topk_search._PARTS])
+    asked = terms[:50]
+    asks = SimpleNamespace(value=(pa.array(range(50)), np.cumsum([len(t) for t in asked]), np.arange(500), np.concatenate(asked).astype(np.int32), np.ones(sum(map(len, asked)))))
+    run = lambda least: pa.Table.from_batches(topk_search._scan(asks, SimpleNamespace(value=(least, {7: np.ones(900, np.int32)})), 28.0, 10)([row])).to_pylist()
+    whole = run(np.zeros(50))
+    assert len(whole) == 500
+    least = np.array([sorted(r["score"] for r in whole if r["line"] == q)[-3] for q in range(50)])
+    assert run(least) == [r for r in whole if r["score"] >= least[r["line"]]]
+
+
+def test_search_words():
+    """Words are those of the pattern on lower-cased text, equal ones alike and others apart, long texts included."""
+    texts = ["Stra\u00dfe \u00c4\u00d6_9 \u0391\u03a3 \u03a3", "", None, "\u0130stanbul \ufb01 \U0001d7d8x \ud800 a\u0301b x_ " * 3, "\u65e5\u672c\u8a9e " * 10, "a" * 100 + " " + "a" * 101, "\n\n", "x", "one two " * 150_000]
+    found, told = topk_search.Words().hashes(texts), {}
+    for text, bits in zip(texts, found, strict=True):
+        for word, b in zip(topk_search._WORD.findall((text or "").lower()), bits.tolist(), strict=True):
+            assert told.setdefault(word, b) == b >= 0
+    assert len(set(told.values())) == len(told)
+
+
 def test_pages(spark):
     rows = [(1, "http://A.example.com/de/1?x#y", "<p>Hi</p>", 1), (1, "http://A.example.com/de/1?x#y", "<p>Hi</p>", 1), (2, None, None, 2), (3, "no scheme", "", 3), (4, "x://h.net", "<nav>menu</nav>", 4), (5, "x://h.net/", "<p>" + LONG, 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict int")
